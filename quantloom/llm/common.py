@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that are no longer used now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(text: str = "text") -> Column:
     """64 bits of a text; with doc_id, it tells apart rows that repeat an id."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\0null")))
