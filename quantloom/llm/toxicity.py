@@ -5,10 +5,9 @@ r"""Toxicity by noisy-channel deobfuscation: Viterbi decoding of character latti
    character for one or two of it, and single characters spelled out with separators may be one word. The Viterbi path
    maximises channel plus trigram log-probability; other tokens stay as they are.
 3. A score is learned from at most `max_labelled` labelled rows: whole words and word starts of four to seven letters
-   whose share of toxic documents is significantly above the clean ones' become features with log-odds weights. The
-   rows are those with the smallest hashes of their ids, so the sample is the same in every run.
-4. Every document is scored: one Aho-Corasick pass finds the features in its restored text; the score is the logistic of
-   prior log-odds plus the weights of the features found.
+   that significantly more toxic than clean documents have become features with their rates in either. The rows are those with the smallest hashes of their ids, so the sample is the same in every run.
+4. Every document is scored: one Aho-Corasick pass counts the features in its restored text; the score is the posterior
+   that some feature's count comes from toxic rather than clean texts.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 3 is not 1. Labels, lang, source and doc_id are never
 inputs of a score. Defined results: a null or empty text has the score of a text without features; several labels of one
@@ -33,15 +32,20 @@ from quantloom.llm.common import cut
 #: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SIGNS = "".join(LEET)
+#: What a sign that stands for itself in a suspect token costs, in nats.
+SIGN_COST = 9.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SIZE = len(ALPHABET) + 1
 _CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 _CLASS = r"[^\W\d_]"
 _S = re.escape(SIGNS)
-#: Tokens that may be disguised: a sign between letters, before a letter at a token's start, or digits after its last letter; a character three times; four or more single characters in a row with a separator between.
-SUSPECT = re.compile(rf"(?<!\S)(?:[^\s{_S}]*{_CLASS}[{_S}]+{_CLASS}\S*|[{_S}]+{_CLASS}\S*|[^\s{_S}]*{_CLASS}\d+(?![^\s.,;:!?]))")
-REPEAT = re.compile(rf"\S*({_CLASS})\1\1\S*")
+#: Signs next to a letter; then the tokens that may be disguised: a sign between letters, before a letter at a token's start, or digits after its last letter.
+NEAR = re.compile(rf"[{_S}](?:(?<={_CLASS}.)|(?={_CLASS}))")
+SUSPECT = re.compile(rf"(?:[^\s{_S}]*{_CLASS}[{_S}]+{_CLASS}\S*|[{_S}]+{_CLASS}\S*|[^\s{_S}]*{_CLASS}\d+(?![^\s.,;:!?]))")
+#: A letter three times; four or more single characters in a row with a separator between.
+REPEAT = re.compile(rf"({_CLASS})\1\1")
 SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_CLASS}|[{_S}])[ .\-_*]){{3,}}(?:{_CLASS}|[{_S}])(?![^\W_])")
+ANY = re.compile(r"\S+")
 TAIL = re.compile(r"(?:[.,;:?!\"')\]}#*%&]+|\${2,})+$")
 HEAD = re.compile(r"^[\"'(\[{#*%&]+(?=\w)")
 
@@ -97,7 +101,7 @@ class Decoder:
             if n == 1:
                 out.append(reads)
             else:
-                out.append([(x * k, p - (0.7 if n > 2 else 1.6 * (k != n))) for x, p in reads for k in (1, 2)])
+                out.append([(x * k, p - (0.7 if n > 2 else 3.0 * (k != n))) for x, p in reads for k in (1, 2)])
         return out
 
     def decode(self, token: str, spelled: bool = False) -> str:
@@ -111,7 +115,7 @@ class Decoder:
                     x, y, s = a, b, score + p
                     for ch in text:
                         z = _CODE.get(ch, 0)
-                        s += logp(x, y, z) - (0.0 if z or ch == " " else 4.0)
+                        s += logp(x, y, z) - (0.0 if z or ch == " " else SIGN_COST)
                         x, y = y, z
                     if (x, y) not in ahead or s > ahead[x, y][0]:
                         ahead[x, y] = (s, (back, text))
@@ -139,50 +143,76 @@ class Decoder:
             return word[:at] + self.decode(word[at:end]) + word[end:] if end > at else word
 
         text = SPELLED.sub(lambda m: self.decode(m[0], True), text)
-        text = SUSPECT.sub(token, text)
-        return REPEAT.sub(token, text)
+        for core, whole in ((NEAR, SUSPECT), (REPEAT, ANY)):
+            parts, last = [], 0
+            for m in core.finditer(text):
+                if m.start() < last:
+                    continue
+                start = m.start()
+                while start > last and not text[start - 1].isspace():
+                    start -= 1
+                if found := whole.match(text, start):
+                    parts += [text[last:start], token(found)]
+                    last = found.end()
+                elif end := ANY.match(text, start):
+                    parts.append(text[last : end.end()])
+                    last = end.end()
+            if parts:
+                text = "".join([*parts, text[last:]])
+        return text
 
 
 WORD = re.compile(rf"{_CLASS}+")
 
 
-def features_of(text: str) -> set[str]:
-    """A text's features: "word " for each whole word, its first four to seven letters for longer ones."""
-    out = set()
-    for w in set(WORD.findall(text)):
-        out.add(w + " ")
-        out.update(w[:n] for n in range(4, min(7, len(w) - 1) + 1))
+def features_of(text: str) -> dict[str, int]:
+    """How often a text has each feature: "word " for whole words, their first four to seven letters for longer ones."""
+    out: dict[str, int] = {}
+    for w in WORD.findall(text):
+        for f in (w + " ", *(w[:n] for n in range(4, min(7, len(w) - 1) + 1))):
+            out[f] = out.get(f, 0) + 1
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled: int = 8_000, max_features: int = 2_000, significance: float = 40.0) -> tuple[float, dict[str, float]]:
-    """(prior log-odds, feature -> weight) from at most max_labelled labelled rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled: int = 8_000, max_features: int = 500, ratio: float = 6.0, error: float = 0.05) -> tuple[float, dict[str, tuple[float, float, float]]]:
+    """(prior log-odds, feature -> (share, rate in toxic texts with it, rate in clean texts)) from at most max_labelled labelled rows that are not held out."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows: small enough to broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     shared = spark.sparkContext.broadcast(counts)
+    names = ["clean", "toxic", "n_clean", "n_toxic", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, found = Decoder(shared.value), {}
+        decoder, found = Decoder(shared.value), {"": [0] * 5}
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                at = int(toxic > 0)
-                for f in (*features_of(decoder.restore(text.as_py())), ""):
+                said, at = decoder.restore(text.as_py()), int(toxic > 0)
+                n = len(said.split())
+                found[""][at] += 1
+                found[""][2 + at] += n
+                for f, k in features_of(said).items():
                     if f not in found:
-                        found[f] = [0, 0]
-                    found[f][at] += 1
-        for lo in range(0, len(found), 100_000):
-            part = list(found.items())[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], names=["f", "clean", "toxic"])
-
-    sums = cut(rows.select("text", "toxic").mapInArrow(run, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 5 or f = ''"))
+                        found[f] = [0] * 5
+                    x = found[f]
+                    x[at] += 1
+                    x[2 + at] += k
+                    x[4] += n * at
+        every = list(found.items())
+        for lo in range(0, len(every), 100_000):
+            part = every[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), *(pa.array([v[i] for _, v in part], pa.int64()) for i in range(5))], names=["f", *names])
+
+    made = rows.select("text", "toxic").mapInArrow(run, "f string, " + ", ".join(f"{x} long" for x in names))
+    sums = cut(made.groupBy("f").agg(*(F.sum(x).alias(x) for x in names)).where("toxic + clean >= 4 or f = ''"))
     whole = sums.where("f = ''").collect()
-    n0, n1 = (whole[0].clean, whole[0].toxic) if whole else (0, 0)
+    n0, n1, w0, w1 = (whole[0].clean, whole[0].toxic, whole[0].n_clean, whole[0].n_toxic) if whole else (0, 0, 0, 0)
     prior = math.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else -2.0
     if not n1 or not n0:
         return min(prior, 0.0), {}
-    top = sums.where("f <> ''").where(F.col("toxic") * n0 > 8 * F.col("clean") * n1).orderBy(F.desc("toxic"), "f").limit(max_features * 5).collect()
+    tested = sums.where("f <> ''")
+    least = 2 * math.log(max(1, tested.count()) / error)  # of the likelihood ratio, for so many tests
+    top = tested.where(F.col("toxic") * n0 > 2 * F.col("clean") * n1).orderBy(F.desc("toxic"), "f").limit(20 * max_features).collect()
 
     def g2(tox: int, clean: int) -> float:
         out = 0.0
@@ -192,39 +222,45 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled:
                 out += 2 * k * math.log(k / (n * p)) if k else 0.0
         return out
 
-    ok = {r.f: (r.toxic, r.clean) for r in top if g2(r.toxic, r.clean) > significance}
-    weights: dict[str, float] = {}
-    for f, (tox, clean) in sorted(ok.items(), key=lambda x: (len(x[0]), x[0])):
-        if any(f[:n] in weights for n in range(4, len(f.rstrip()) + 1) if f[:n] != f):
-            continue  # a shorter start that says the same stands for it
-        weight = math.log((tox + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
-        if len(weights) < max_features:
-            weights[f] = weight
-    return prior, weights
+    ranked = sorted(((g2(r.toxic, r.clean), r) for r in top if r.n_toxic * w0 > ratio * r.n_clean * w1), key=lambda x: (-x[0], x[1].f[-1] == " ", -len(x[1].f), x[1].f))
+    out: dict[str, tuple[float, float, float]] = {}
+    for worth, r in ranked:
+        if worth <= least or len(out) >= max_features:
+            break
+        if not any(r.f.startswith(f) or f.startswith(r.f) for f in out):  # of related starts the most telling one
+            out[r.f] = (r.toxic / n1, r.n_toxic / r.words, (r.n_clean + 0.5) / w0)
+    total = max(1.0, sum(x[0] for x in out.values()))
+    return prior, {f: (s / total, a, b) for f, (s, a, b) in out.items()}
 
 
 class Scorer:
-    """Scores restored texts: an automaton finds the features at word starts."""
-
-    def __init__(self, prior: float, weights: dict[str, float]) -> None:
-        self.prior, self.automaton = prior, ahocorasick.Automaton()
-        for f, w in weights.items():
-            self.automaton.add_word(f.rstrip(), (f, len(f.rstrip()), w))
-        if weights:
+    """Scores restored texts. An automaton counts the features at word starts; a toxic text is one that some feature marks,
+    whose count then follows a geometric law around its rate in such texts, against one around its rate in clean texts."""
+
+    def __init__(self, prior: float, features: dict[str, tuple[float, float, float]]) -> None:
+        self.prior, self.features, self.automaton = prior, features, ahocorasick.Automaton()
+        for f in features:
+            self.automaton.add_word(f.rstrip(), f)
+        if features:
             self.automaton.make_automaton()
-        self.any = bool(weights)
 
     def score(self, text: str) -> float:
-        found: dict[str, float] = {}
-        if self.any:
-            for end, (f, n, w) in self.automaton.iter(text):
-                start = end - n + 1
-                if f in found or start and text[start - 1].isalpha():
-                    continue
-                if f[-1] == " " and end + 1 < len(text) and text[end + 1].isalpha():
+        found: dict[str, int] = {}
+        if self.features:
+            for end, f in self.automaton.iter(text):
+                start = end - len(f.rstrip()) + 1
+                if start and text[start - 1].isalpha() or f[-1] == " " and end + 1 < len(text) and text[end + 1].isalpha():
                     continue
-                found[f] = w
-        z = self.prior + sum(found.values())
+                found[f] = found.get(f, 0) + 1
+        if not found:
+            return 1 / (1 + math.exp(2.0 - self.prior))
+        n, best = len(text.split()), []
+        for f, c in found.items():
+            share, high, low = self.features[f]
+            m1, m0 = n * high, n * low
+            best.append(math.log(share) + c * math.log(m1 * (1 + m0) / (m0 * (1 + m1))) - math.log((1 + m1) / (1 + m0)))
+        top = max(best)
+        z = self.prior + top + math.log(sum(math.exp(x - top) for x in best))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
