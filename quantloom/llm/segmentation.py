@@ -7,9 +7,9 @@ log-probability below it, which is drawn from its parent's key, so the first k l
 of k distinct segmentations without replacement. A node's untaken children are one queue entry, since their largest key
 is one truncated Gumbel draw. The (k+1)-th key is the threshold of the inclusion scores.
 
-No piece crosses a space that follows another character or a newline, so backward sums are computed by unit, for all
-distinct units of a batch at once. Draws are hashes of (row key, sample, unit, step): a row's samples do not depend on
-its batch or partition. Memory: one batch of at most `batch_chars` characters, or one text.
+No piece joins letters with other signs, or crosses a digit, a newline or a space that follows another character (checked
+when the model is read), so backward sums are computed by unit, for all distinct units of a batch at once. Draws
+are hashes of (row key, sample, unit, step): a row's samples do not depend on its batch or partition. Memory: one batch of at most `batch_chars` characters, or one text.
 
 Defined results: a null or empty text has one empty segmentation; a text with fewer than k segmentations gives all of
 them with inclusion 1; a null id is a key of its own; rows that repeat an id and text repeat its samples; an empty table
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import utf8
 
 SPACE = "▁"
-UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Units: letters, one digit, or other signs, each with the spaces before it; a newline; spaces at the end.
+_LETTER = "[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]"
+UNIT = re.compile(f"\n|{SPACE}*(?:{_LETTER}+|[0-9]|(?:(?!{_LETTER})[^0-9{SPACE}\n])+)|{SPACE}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03))
 _BASE = np.uint64(0x100000001B3)
@@ -51,6 +53,11 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h * _A) >> np.uint64(46)
+
+
 class Pieces:
     """A model's pieces by length and hash, with log-probabilities."""
 
@@ -64,7 +71,7 @@ class Pieces:
                 self.byte[int(self.sp.id_to_piece(i)[1:-1], 16)] = i
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 normal.append((i, self.sp.id_to_piece(i)))
-        crossing = [p for _, p in normal if SPACE in p.lstrip(SPACE) or "\n" in p]
+        crossing = [p for _, p in normal if not UNIT.fullmatch(p)]
         if crossing:
             raise ValueError(f"pieces cross units: {crossing[:3]}")
         self.longest = max(len(p) for _, p in normal)
@@ -78,131 +85,174 @@ class Pieces:
                 for ch in p:
                     h = h * _BASE + np.uint64(ord(ch) + 1)
                 by[len(p)].append((int(h), i, alpha * (math.log(weight[rank - 1]) - total)))
+            starts: list[set] = [set() for _ in range(self.longest + 1)]
+            for _, p in normal:
+                h = np.uint64(0)
+                for n, ch in enumerate(p, 1):
+                    h = h * _BASE + np.uint64(ord(ch) + 1)
+                    starts[n].add(int(h))
+        # by length: pieces in order of hash, and two bit tables that tell most hashes of no piece or of no piece's start
         self.tables = []
-        for found in by:
+        for found, begun in zip(by, starts, strict=True):
             found.sort()
-            self.tables.append((np.array([x[0] for x in found], dtype=np.uint64), np.array([x[1] for x in found], dtype=np.int32), np.array([x[2] for x in found])))
+            hashes = np.array([x[0] for x in found], dtype=np.uint64)
+            marks = np.zeros((2, 1 << 18), dtype=bool)
+            marks[0, _slot(hashes)] = True
+            marks[1, _slot(np.array(sorted(begun), dtype=np.uint64))] = True
+            self.tables.append((hashes, np.array([x[1] for x in found], dtype=np.int32), np.array([x[2] for x in found]), marks))
 
 
 class Lattice:
-    """The lattices of distinct units: node = a character's place; edge to node + length for each piece that starts there."""
+    """The lattices of distinct units. Node: a character's place; an edge goes to node + length for each piece that starts there. Edges lie by distance from their unit's end, then by node."""
 
     def __init__(self, units: list[str], pieces: Pieces) -> None:
-        joined, most = "".join(units), pieces.longest
-        size = np.array([len(u) for u in units], dtype=np.int64)
-        self.end = np.cumsum(size)
-        self.start = self.end - size
+        joined = "".join(units)
+        length = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        self.end = np.cumsum(length, dtype=np.int32)  # places fit 32 bits: a batch is a few million characters, or one text
+        self.start = self.end - length.astype(np.int32)
         n = len(joined)
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = np.concatenate([self.points.astype(np.uint64) + np.uint64(1), np.zeros(most, dtype=np.uint64)])
-        left = np.repeat(self.end, size) - np.arange(n)  # characters up to the unit's end
-        most = int(min(most, size.max(initial=1)))
-        weight = np.full((n, most), -np.inf)
-        self.piece = np.full((n, most), -1, dtype=np.int32)
-        h = np.zeros(n, dtype=np.uint64)
-        rows = np.arange(n)
+        codes = self.points.astype(np.uint64) + np.uint64(1)
+        left = np.repeat(self.end, length) - np.arange(n, dtype=np.int32)  # characters up to the unit's end
+        rows, h, single = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
+        found: list[tuple] = []
         with np.errstate(over="ignore"):
-            for k in range(most):
-                fits = rows[left[rows] > k]
-                h = h[left[rows] > k] * _BASE + codes[fits + k]
-                rows = fits
-                keys, ids, logp = pieces.tables[k + 1]
-                if len(keys) and len(rows):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[at] == h
-                    weight[rows[hit], k], self.piece[rows[hit], k] = logp[at[hit]], ids[at[hit]]
-        bare = np.flatnonzero(self.piece[:, 0] < 0)  # no piece of one character: its bytes
+            for k in range(pieces.longest):
+                h = h * _BASE + codes[rows + k]
+                keys, ids, logp, marks = pieces.tables[k + 1]
+                slot = _slot(h)
+                may = np.flatnonzero(marks[0, slot])
+                if len(may):
+                    at = np.minimum(np.searchsorted(keys, h[may]), len(keys) - 1)
+                    hit = keys[at] == h[may]
+                    at, own = at[hit], rows[may[hit]]
+                    found.append((own, np.full(len(own), k + 1, dtype=np.int32), logp[at], ids[at]))
+                    if not k:
+                        single[own] = True
+                more = marks[1, slot] & (left[rows] > k + 1)
+                rows, h = rows[more], h[more]
+                if not len(rows):
+                    break
+        bare = np.flatnonzero(~single)  # no piece of one character: its bytes
         c = self.points[bare]
-        weight[bare, 0] = pieces.byte_logp * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        beta = np.zeros(n + most + 1)
-        order = np.argsort(left, kind="stable")
-        steps = np.arange(1, most + 1)
-        for rows in np.split(order, np.flatnonzero(np.diff(left[order])) + 1):
-            if len(rows):
-                k = min(most, int(left[rows[0]]))
-                to = rows[:, None] + steps[:k]
-                s = weight[rows, :k] + np.where(left[rows[0]] == steps[:k], 0.0, beta[to])
-                top = s.max(axis=1)
-                beta[rows] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        ahead = np.where(left[:, None] == steps, 0.0, beta[np.minimum(np.arange(n)[:, None] + steps, n + most)])
-        self.logp = weight + ahead - beta[:n, None]
+        found.append((bare.astype(np.int32), np.ones(len(bare), dtype=np.int32), pieces.byte_logp * (1.0 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)), np.where(c < 0x80, pieces.byte[np.minimum(c, 0x7F)], -1).astype(np.int32)))
+        node, size, weight, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(node, kind="stable")
+        order = order[np.argsort(np.minimum(left[node[order]], 32767).astype(np.int16), kind="stable")] if len(left) and left.max() < 32767 else order[np.argsort(left[node[order]], kind="stable")]
+        self.node, self.size, weight, self.piece = node[order], size[order], weight[order], piece[order]
+        fresh = np.concatenate([[True], self.node[1:] != self.node[:-1]])
+        heads = np.flatnonzero(fresh)  # first edge of each node
+        degree = np.diff(np.concatenate([heads, [len(self.node)]]))
+        self.first, self.last = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+        self.first[self.node[heads]], self.last[self.node[heads]] = heads, heads + degree - 1
+        beta, to = np.zeros(n + 1), self.node + self.size
+        far = left[self.node[heads]]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(far)) + 1, [len(heads)]])
+        at_end = self.size == left[self.node]
+        score = np.empty(len(weight))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = heads[a], heads[b] if b < len(heads) else len(weight)
+            s = weight[lo:hi] + np.where(at_end[lo:hi], 0.0, beta[to[lo:hi]])
+            score[lo:hi] = s
+            top = np.maximum.reduceat(s, heads[a:b] - lo)
+            beta[self.node[heads[a:b]]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree[a:b])), heads[a:b] - lo))
+        self.logp = np.minimum(score - beta[self.node], 0.0)  # of an edge, given its node
         p = np.exp(self.logp)
-        self.cum = np.cumsum(p, axis=1)
-        self.total = beta[self.start]  # log of each unit's sum
+        total = np.cumsum(p)
+        self.cum = total - np.repeat(total[heads] - p[heads], degree)
         with np.errstate(divide="ignore"):
-            self.rest = np.log(np.maximum(0.0, np.stack([p[:, np.arange(most) != k].sum(axis=1) for k in range(most)], axis=1)))
+            self.rest = np.log(-np.expm1(self.logp))  # of a node's other edges
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """For each node the length of a piece, by its share."""
-        cum = self.cum[nodes]
-        k = (cum < (u * cum[:, -1])[:, None]).sum(axis=1)
-        return np.minimum(k, cum.shape[1] - 1) + 1
+        """For each node an edge, by its share."""
+        edge, last = self.first[nodes], self.last[nodes]
+        on = np.flatnonzero((u >= self.cum[edge]) & (edge < last))
+        while len(on):
+            edge[on] += 1
+            on = on[(u[on] >= self.cum[edge[on]]) & (edge[on] < last[on])]
+        return edge
 
 
 class Path:
-    """One segmentation: nodes and lengths of its pieces, its perturbed log-probability, and the queue's keys of the untaken children at each step."""
+    """One segmentation: the edges of its pieces, its perturbed log-probability, and the queue's keys of the untaken children of its first steps.
 
-    __slots__ = ("node", "size", "logp", "keys", "gumbel", "unit", "taken")
+    A uniform draw has 53 bits, so no Gumbel exceeds NOISE; steps whose log-probability lies further below a key than that cannot have a larger one and are not drawn.
+    """
 
-    def __init__(self, lattice: Lattice, node: np.ndarray, size: np.ndarray, unit: np.ndarray, gumbel: float, seed: int, first: int) -> None:
-        self.node, self.size, self.unit, self.gumbel, self.taken = node, size, unit, gumbel, {}
-        self.logp = lattice.logp[node, size - 1]
-        loc = np.cumsum(self.logp) - self.logp + lattice.rest[node, size - 1]
-        with np.errstate(over="ignore"):
-            u = _uniform(np.uint64(seed) + np.arange(len(node), dtype=np.uint64) * _D)
-        self.keys = loc - np.logaddexp(loc - gumbel, np.log(-np.log(u)))
-        self.keys[~np.isfinite(loc)] = -np.inf
-        self.keys[:first] = -np.inf  # those belong to the path it branched from
+    NOISE = 38.0
 
+    def __init__(self, lattice: Lattice, edge: np.ndarray, unit_of, gumbel: float, seed: int, first: int) -> None:
+        self.edge, self.unit_of, self.gumbel, self.seed, self.taken = edge, unit_of, gumbel, seed, {}
+        self.logp = lattice.logp[edge]
+        self.total, self.lattice = float(self.logp.sum()), lattice
+        self.before, self.keys = 0.0, np.zeros(0)
+        self.extend(first + 192)
+        self.keys[:first] = -np.inf  # those belong to the path it branched from
 
-def search(lattice: Lattice, fresh: list[tuple], k: int, seed: int) -> tuple[list[Path], float]:
-    """Perturbed A*: the k segmentations with the largest keys, and the next key (-inf if there is none). fresh: for each sample (nodes, lengths, units, first place of each unit) drawn top down."""
+    def extend(self, upto: int) -> None:
+        """Draws the keys of the steps before `upto`."""
+        lo, hi = len(self.keys), min(upto, len(self.edge))
+        if hi <= lo:
+            return
+        logp = self.logp[lo:hi]
+        ahead = self.before + np.cumsum(logp)
+        loc = ahead - logp + self.lattice.rest[self.edge[lo:hi]]
+        with np.errstate(over="ignore"):
+            u = _uniform(np.uint64(self.seed) + np.arange(lo, hi, dtype=np.uint64) * _D)
+        keys = loc - np.logaddexp(loc - self.gumbel, np.log(-np.log(u)))
+        keys[~np.isfinite(loc)] = -np.inf
+        self.keys, self.before = np.concatenate([self.keys, keys]), float(ahead[-1])
+
+    def best(self) -> tuple[float, int] | None:
+        """The largest key and its step."""
+        while True:
+            t = int(self.keys.argmax()) if len(self.keys) else -1
+            if len(self.keys) == len(self.edge) or t >= 0 and self.keys[t] > self.before + self.NOISE:
+                return (float(self.keys[t]), t) if t >= 0 and self.keys[t] > -np.inf else None
+            self.extend(2 * len(self.keys) + 64)
+
+
+def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int, seed: int) -> tuple[list[Path], float]:
+    """Perturbed A*: the k segmentations with the largest keys, and the next key (-inf if there is none). fresh: for each sample the edges drawn top down and the first place of each unit."""
     h = lambda *x: xxhash.xxh64_intdigest(repr(x), seed)
-    node, size, unit, _ = fresh[0]
+    edge, places = fresh[0]
     u = (h("root") >> 11) * 2.0**-53 + 2.0**-54
-    paths = [Path(lattice, node, size, unit, -math.log(-math.log(u)), h(0), 0)]
+    paths = [Path(lattice, edge, lambda t: int(np.searchsorted(places, t, side="right")) - 1, -math.log(-math.log(u)), h(0), 0)]
     queue: list[tuple[float, int, int]] = []
 
     def push(i: int) -> None:
-        keys = paths[i].keys
-        if len(keys):
-            t = int(keys.argmax())
-            if keys[t] > -np.inf:
-                heapq.heappush(queue, (-float(keys[t]), i, t))
+        if (top := paths[i].best()) is not None:
+            heapq.heappush(queue, (-top[0], i, top[1]))
 
     push(0)
     while queue and len(paths) < k:
         key, i, t = heapq.heappop(queue)
         key, base, j = -key, paths[i], len(paths)
-        at = int(base.node[t])
-        taken = base.taken.setdefault(t, [int(base.size[t])])
-        p = np.exp(lattice.logp[at])
-        p[np.array(taken) - 1] = 0.0
+        node = int(lattice.node[base.edge[t]])
+        lo, hi = int(lattice.first[node]), int(lattice.last[node]) + 1
+        taken = base.taken.setdefault(t, [int(base.edge[t])])
+        p = np.exp(lattice.logp[lo:hi])
+        p[np.array(taken) - lo] = 0.0
         c = np.cumsum(p)
-        u = (h("turn", j) >> 11) * 2.0**-53 * c[-1]
-        took = int(min(np.searchsorted(c, u, side="right"), np.flatnonzero(p)[-1])) + 1
+        took = lo + int(min(np.searchsorted(c, (h("turn", j) >> 11) * 2.0**-53 * c[-1], side="right"), np.flatnonzero(p)[-1]))
         taken.append(took)
-        prefix = float(base.logp[:t].sum())
-        left = c[-1] - p[took - 1]
-        if left > 1e-300 and (np.delete(p, took - 1) > 0).any():
-            loc, u = prefix + math.log(left), (h("rest", j) >> 11) * 2.0**-53 + 2.0**-54
+        p[took - lo] = 0.0
+        base.keys[t] = -np.inf
+        if p.any():
+            loc, u = float(base.logp[:t].sum()) + math.log(p.sum()), (h("rest", j) >> 11) * 2.0**-53 + 2.0**-54
             base.keys[t] = loc - np.logaddexp(loc - key, math.log(-math.log(u)))
-        else:
-            base.keys[t] = -np.inf
         # finish the unit, then go on with the sample's own units
-        nodes, sizes, step = [at], [took], 0
-        node_of, size_of, unit_of, places = fresh[j]
-        now = int(base.unit[t])
-        stop = int(lattice.end[np.searchsorted(lattice.end, at, side="right")])
-        while nodes[-1] + sizes[-1] < stop:
-            nodes.append(nodes[-1] + sizes[-1])
-            step += 1
-            sizes.append(int(lattice.draw(np.array([nodes[-1]]), np.array([(h("step", j, step) >> 11) * 2.0**-53]))[0]))
-        rest = int(places[now + 1]) if now + 1 < len(places) else len(node_of)
-        node = np.concatenate([base.node[:t], nodes, node_of[rest:]])
-        size = np.concatenate([base.size[:t], sizes, size_of[rest:]])
-        unit = np.concatenate([base.unit[:t], np.full(len(nodes), now), unit_of[rest:]])
-        paths.append(Path(lattice, node, size, unit, key, h(j), t + 1))
+        edges, now = [took], base.unit_of(t)
+        stop = int(lattice.end[np.searchsorted(lattice.end, node, side="right")])
+        while (at := int(lattice.node[edges[-1]] + lattice.size[edges[-1]])) < stop:
+            edges.append(int(lattice.draw(np.array([at]), np.array([(h("step", j, len(edges)) >> 11) * 2.0**-53]))[0]))
+        edge, places = fresh[j]
+        rest = int(places[now + 1]) if now + 1 < len(places) else len(edge)
+
+        def unit_of(x: int, t=t, m=len(edges), base=base, now=now, rest=rest, places=places) -> int:
+            return base.unit_of(x) if x < t else now if x < t + m else int(np.searchsorted(places, x - t - m + rest, side="right")) - 1
+
+        paths.append(Path(lattice, np.concatenate([base.edge[:t], edges, edge[rest:]]), unit_of, key, h(j), t + 1))
         push(i)
         push(j)
     return paths, -queue[0][0] if queue else -np.inf
@@ -215,11 +265,11 @@ class Sampler:
         self.pieces, self.k, self.seed = Pieces(model, alpha), k, seed
 
     def ids(self, lattice: Lattice, path: Path) -> np.ndarray:
-        out = lattice.piece[path.node, path.size - 1]
+        out = lattice.piece[path.edge]
         if (out < 0).any():
             parts, last = [], 0
             for t in np.flatnonzero(out < 0):
-                parts += [out[last:t], self.pieces.byte[list(chr(lattice.points[path.node[t]]).encode("utf-8", "surrogatepass"))]]
+                parts += [out[last:t], self.pieces.byte[list(chr(lattice.points[lattice.node[path.edge[t]]]).encode("utf-8", "surrogatepass"))]]
                 last = t + 1
             out = np.concatenate([*parts, out[last:]])
         return out
@@ -229,20 +279,22 @@ class Sampler:
 
     def batch(self, rows: list[tuple[object, str]]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each (key, text) its samples: ids, log-probability, perturbed log-probability, log of the inclusion probability."""
-        known: dict[str, int] = {}
-        which, counts = [], []
+        units, counts = [], []
         for _, text in rows:
-            units = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            counts.append(len(units))
-            which.append(np.fromiter((known.setdefault(u, len(known)) for u in units), dtype=np.int64, count=len(units)))
+            found = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            counts.append(len(found))
+            units += found
         seeds = [xxhash.xxh64_intdigest(repr(key), self.seed) for key, _ in rows]
-        every = np.concatenate(which) if which else np.zeros(0, dtype=np.int64)
-        if not len(every):
+        if not units:
             return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)] for _ in rows]
-        lattice = Lattice(list(known), self.pieces)
+        coded = pa.array(units).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        every = np.asarray(coded.indices)
+        del units, coded
+        lattice = Lattice(known, self.pieces)
         owner = np.repeat(np.array(seeds, dtype=np.uint64), counts)
-        ordinal = np.concatenate([np.arange(c) for c in counts])
         bounds = np.concatenate([[0], np.cumsum(counts)])
+        ordinal = np.arange(len(every)) - np.repeat(bounds[:-1], counts)
         fresh = [self._fresh(lattice, every, owner, ordinal, j) for j in range(self.k)]
         out = []
         for d, seed in enumerate(seeds):
@@ -251,13 +303,13 @@ class Sampler:
                 out.append([(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)])
                 continue
             own = []
-            for node, size, unit, places in fresh:
+            for edge, places in fresh:
                 a, b = int(places[lo]), int(places[hi])
-                own.append((node[a:b], size[a:b], unit[a:b], places[lo:hi] - a))
+                own.append((edge[a:b], places[lo:hi] - a))
             paths, after = search(lattice, own, self.k, seed)
             found = []
             for p in paths:
-                logp = float(p.logp.sum())
+                logp = p.total
                 x = logp - after  # inclusion: the chance that a Gumbel at logp exceeds the threshold
                 inclusion = 0.0 if after == -np.inf or x > 700 else (x if x < -30 else math.log(-math.expm1(-math.exp(x))))
                 found.append((self.ids(lattice, p), logp, float(p.gumbel), inclusion))
@@ -266,26 +318,24 @@ class Sampler:
 
     @staticmethod
     def _fresh(lattice: Lattice, every: np.ndarray, owner: np.ndarray, ordinal: np.ndarray, j: int) -> tuple:
-        """One top-down sample of every unit: nodes, lengths and unit ordinals in text order, and the first place of each unit."""
+        """One top-down sample of every unit: edges in text order, and the first place of each unit."""
         with np.errstate(over="ignore"):
             key = _mix(owner + ordinal.astype(np.uint64) * _A + np.uint64(j + 1) * _C)
-            live, at, stop = np.arange(len(every)), lattice.start[every], lattice.end[every]
-            steps, count = [], np.zeros(len(every) + 1, dtype=np.int64)
-            s = 0
+            live, at, stop = np.arange(len(every), dtype=np.int32), lattice.start[every], lattice.end[every]
+            steps, count, s = [], np.zeros(len(every) + 1, dtype=np.int64), 0
             while len(live):
-                took = lattice.draw(at, _uniform(key[live] + np.uint64(s + 1) * _D))
-                steps.append((live, at, took))
+                took = lattice.draw(at, _uniform(key + np.uint64(s + 1) * _D))
+                steps.append((live, took))
                 count[live + 1] += 1
-                at = at + took
-                more = at < stop[live]
-                live, at = live[more], at[more]
+                at = at + lattice.size[took]
+                more = np.flatnonzero(at < stop)
+                live, at, stop, key = live[more], at[more], stop[more], key[more]
                 s += 1
         places = np.cumsum(count)
-        node, size, unit = (np.empty(places[-1], dtype=np.int64) for _ in range(3))
-        for i, (live, at, took) in enumerate(steps):
-            where = places[live] + i
-            node[where], size[where], unit[where] = at, took, ordinal[live]
-        return node, size, unit, places
+        edge = np.empty(places[-1], dtype=np.int32)
+        for i, (live, took) in enumerate(steps):
+            edge[places[live] + i] = took
+        return edge, places
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
@@ -302,7 +352,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tup
         yield rows
 
 
-def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, with_ids: bool = True) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 3_000_000, with_ids: bool = True) -> DataFrame:
     """A row for each sample: doc_id, sample (0 first), n_pieces, logp, gumbel, log_inclusion, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and round_trip (the decoded ids against the text), and the ids unless with_ids is false."""
     kind = dict(docs.dtypes)[id_col]
 
