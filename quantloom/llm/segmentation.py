@@ -11,7 +11,8 @@ No piece joins letters with other signs, or crosses a digit, a newline or a spac
 when the model is read), so backward sums are computed by unit, for all distinct units of a batch at once. Draws
 are hashes of (row key, sample, unit, step): a row's samples do not depend on its batch or partition. Memory: one batch of at most `batch_chars` characters, or one text.
 
-Defined results: a null or empty text has one empty segmentation; a text with fewer than k segmentations gives all of
+Defined results: a null or empty text has one empty segmentation; a literal U+2581 is read as a space, as
+SentencePiece does; a text with fewer than k segmentations gives all of
 them with inclusion 1; a null id is a key of its own; rows that repeat an id and text repeat its samples; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -163,6 +164,14 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.rest = np.log(-np.expm1(self.logp))  # of a node's other edges
 
+    def joined(self, other: Lattice) -> Lattice:
+        """The lattices of self's units, then of other's."""
+        out, n, m = object.__new__(Lattice), len(self.points), len(self.node)
+        for name, by in (("end", n), ("start", n), ("points", 0), ("node", n), ("first", m), ("last", m), ("size", 0), ("piece", 0), ("logp", 0), ("cum", 0), ("rest", 0)):
+            mine, its = getattr(self, name), getattr(other, name)
+            setattr(out, name, np.concatenate([mine, its + mine.dtype.type(by) if by else its]))
+        return out
+
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
         edge, last = self.first[nodes], self.last[nodes]
@@ -186,7 +195,7 @@ class Path:
         self.logp = lattice.logp[edge]
         self.total, self.lattice = float(self.logp.sum()), lattice
         self.before, self.keys = 0.0, np.zeros(0)
-        self.extend(first + 192)
+        self.extend(first + 96)
         self.keys[:first] = -np.inf  # those belong to the path it branched from
 
     def extend(self, upto: int) -> None:
@@ -263,6 +272,18 @@ class Sampler:
 
     def __init__(self, model: str = MODEL, k: int = 4, alpha: float = 0.5, seed: int = 1) -> None:
         self.pieces, self.k, self.seed = Pieces(model, alpha), k, seed
+        self.common: tuple[dict[str, int], Lattice] | None = None  # units that the first batch repeats: their lattices serve all batches
+
+    def _lattice(self, units: list[str], counts: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """A lattice that holds the units, and each one's place in it."""
+        if self.common is None:
+            often = [u for u, c in zip(units, (counts > 1).tolist(), strict=True) if c] or units[:1]
+            self.common = {u: i for i, u in enumerate(often)}, Lattice(often, self.pieces)
+        known, lattice = self.common
+        new = [u for u in units if u not in known]
+        at = np.fromiter((known.get(u, -1) for u in units), dtype=np.int64, count=len(units))
+        at[at < 0] = len(known) + np.arange(len(new))
+        return (lattice.joined(Lattice(new, self.pieces)) if new else lattice), at
 
     def ids(self, lattice: Lattice, path: Path) -> np.ndarray:
         out = lattice.piece[path.edge]
@@ -281,17 +302,28 @@ class Sampler:
         """For each (key, text) its samples: ids, log-probability, perturbed log-probability, log of the inclusion probability."""
         units, counts = [], []
         for _, text in rows:
-            found = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            counts.append(len(found))
-            units += found
+            before, lead = len(units), SPACE
+            for part in text.split(" ") if text else ():
+                if not part:
+                    lead += SPACE
+                    continue
+                if lead == SPACE and part.isalpha():
+                    units.append(SPACE + part)
+                else:
+                    units += UNIT.findall(lead + part)
+                lead = SPACE
+            if text and len(lead) > 1:
+                units.append(lead[1:])
+            counts.append(len(units) - before)
         seeds = [xxhash.xxh64_intdigest(repr(key), self.seed) for key, _ in rows]
         if not units:
             return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)] for _ in rows]
         coded = pa.array(units).dictionary_encode()
         known = coded.dictionary.to_pylist()
-        every = np.asarray(coded.indices)
+        which = np.asarray(coded.indices)
+        lattice, at = self._lattice(known, np.bincount(which))
+        every = at[which]
         del units, coded
-        lattice = Lattice(known, self.pieces)
         owner = np.repeat(np.array(seeds, dtype=np.uint64), counts)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         ordinal = np.arange(len(every)) - np.repeat(bounds[:-1], counts)
