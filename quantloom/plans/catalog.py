@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from quantloom.functions.codes import exchange_prefix, exchange_suffix, is_code, normalize_code
 from quantloom.operators import asof, backtest, combine, correlation, guards, ic, market_metadata, metrics, neutralize, pit, preprocess, quantile, scoring, universe, walkforward
 from quantloom.operators import factors as fa
+from quantloom.plans import studies
 from quantloom.plans.sql import CTE, HORIZONS, SUMMARY, ic as ic_sql, rank, with_
 from quantloom.sources import fixtures, ingest
 
@@ -607,3 +608,111 @@ def _(spark, d):
 @query("momentum_diagnosis", "SELECT factor_name, CASE WHEN bool_and(m > 0) THEN 'PERSISTENT_MOMENTUM' WHEN bool_and(m < 0) THEN 'PERSISTENT_REVERSAL' ELSE 'REGIME_DEPENDENT' END AS diagnosis FROM (SELECT factor_name, period, avg(rank_ic) AS m FROM ics GROUP BY factor_name, period) GROUP BY factor_name")
 def _(spark, d):
     return guards.momentum_diagnosis(ic.ic_decay(prep(spark, d), "directed_value", HORIZONS))
+
+
+# --- studies --------------------------------------------------------------------------------------------------------
+
+_VOL = ("volatility_10", "volatility_20", "volatility_40", "volatility_60")
+CTE["lv_tech"] = "SELECT date, stock, close, " + ", ".join(f"CASE WHEN count(r) OVER v{n} = {n} THEN stddev_samp(r) OVER v{n} END AS volatility_{n}" for n in (10, 20, 40, 60)) + ", " + ", ".join(f"lead(close, {h}) OVER w / close - 1 AS forward_return_{h}d" for h in HORIZONS) + " FROM returns WINDOW w AS (PARTITION BY stock ORDER BY date), " + ", ".join(f"v{n} AS (PARTITION BY stock ORDER BY date ROWS {n - 1} PRECEDING)" for n in (10, 20, 40, 60))
+CTE["lv_long"] = " UNION ALL ".join(f"SELECT date, stock, '{f}' AS factor_name, {f} AS v, " + ", ".join(f"forward_return_{h}d" for h in HORIZONS) + f" FROM lv_tech WHERE {f} IS NOT NULL AND forward_return_5d IS NOT NULL" for f in _VOL)
+CTE["lv_bounds"] = "SELECT date, factor_name, any_value(lo) AS lo, any_value(hi) AS hi, any_value(m) AS m, median(abs(v - m)) AS mad FROM (SELECT date, factor_name, v, quantile_cont(v, 0.01) OVER k AS lo, quantile_cont(v, 0.99) OVER k AS hi, median(v) OVER k AS m FROM lv_long WINDOW k AS (PARTITION BY date, factor_name)) GROUP BY date, factor_name"
+CTE["lv_w"] = f"SELECT lv_long.*, least(greatest(v, m - 3 * mad), m + 3 * mad) AS w1, least(greatest(v, lo), hi) AS w2, {rank('v', 'date, factor_name')} / count(*) OVER (PARTITION BY date, factor_name) AS p FROM lv_long JOIN lv_bounds USING (date, factor_name)"
+CTE["lv_z"] = "SELECT *, " + ", ".join(f"-(CASE WHEN stddev_pop(w{i}) OVER k > 1e-12 THEN round((w{i} - avg(w{i}) OVER k) / stddev_pop(w{i}) OVER k, 12) ELSE 0.0 END) AS z{i}" for i in (1, 2)) + ", -p * 100 AS z3 FROM lv_w WINDOW k AS (PARTITION BY date, factor_name)"
+CTE["lv_pairs"] = " UNION ALL ".join(f"SELECT date, stock, factor_name, '{n}' AS variant, {z} AS x, {h} AS period, forward_return_{h}d AS y FROM lv_z WHERE forward_return_{h}d IS NOT NULL" for n, z in (("mad_zscore", "z1"), ("percentile_zscore", "z2"), ("percentile_rank", "z3")) for h in HORIZONS)
+
+
+def _grid_sql(pairs: str) -> str:
+    q = f"""SELECT factor_name, variant, period, avg(q1) AS q1, avg(q2) AS q2, avg(q3) AS q3, avg(q4) AS q4, avg(q5) AS q5, avg(q5 - q1) AS spread FROM (
+      SELECT date, factor_name, variant, period, avg(CASE WHEN q = 1 THEN y END) AS q1, avg(CASE WHEN q = 2 THEN y END) AS q2, avg(CASE WHEN q = 3 THEN y END) AS q3, avg(CASE WHEN q = 4 THEN y END) AS q4, avg(CASE WHEN q = 5 THEN y END) AS q5 FROM (
+        SELECT *, CAST(greatest(1, least(5, ceil(row_number() OVER (PARTITION BY date, factor_name, variant, period ORDER BY x, stock) * 1.0 / count(*) OVER (PARTITION BY date, factor_name, variant, period) * 5))) AS INTEGER) AS q FROM {pairs}) GROUP BY ALL) GROUP BY ALL"""
+    return R(_SUM + " spread monotonicity", f"""(SELECT factor_name, variant, CAST(period AS BIGINT) AS period, s.* EXCLUDE (factor_name, variant, period), spread, (CAST(q2 > q1 AS INTEGER) + CAST(q3 > q2 AS INTEGER) + CAST(q4 > q3 AS INTEGER) + CAST(q5 > q4 AS INTEGER)) / 4.0 AS monotonicity FROM (SELECT factor_name, variant, period, {SUMMARY} FROM ({ic_sql(pairs, ", variant")}) GROUP BY ALL) s JOIN ({q}) q USING (factor_name, variant, period))""", "factor_name variant period observations")
+
+
+@query("robustness_grid_low_vol", _grid_sql("lv_pairs"))
+def _(spark, d):
+    return studies.low_volatility_grid(fixtures.panel(spark, d))
+
+
+CTE["mo_adv"] = "SELECT date, stock, CASE WHEN count(amount) OVER v >= 10 THEN avg(amount) OVER v END AS adv20 FROM panel WINDOW v AS (PARTITION BY stock ORDER BY date ROWS 19 PRECEDING)"
+CTE["mo_base"] = f"SELECT *, {rank('adv20', 'date, factor_name')} / count(adv20) OVER (PARTITION BY date, factor_name) AS liq, quantile_cont(directed_value, 0.01) OVER (PARTITION BY factor_name) AS lo, quantile_cont(directed_value, 0.99) OVER (PARTITION BY factor_name) AS hi FROM prep LEFT JOIN mo_adv USING (date, stock) WHERE factor_name IN ('momentum_20', 'momentum_60')"
+CTE["mo_pairs"] = " UNION ALL ".join(f"SELECT date, stock, factor_name, '{n}' AS variant, directed_value AS x, {h} AS period, forward_return_{h}d AS y FROM mo_base WHERE forward_return_{h}d IS NOT NULL AND {c}" for n, c in (("raw", "TRUE"), ("remove_bottom_20pct_ADV20", "liq > CAST(0.2 AS DOUBLE)"), ("remove_extreme_1pct_each_tail", "directed_value BETWEEN lo AND hi")) for h in HORIZONS)
+
+
+@query("robustness_grid_momentum", _grid_sql("mo_pairs"))
+def _(spark, d):
+    return studies.momentum_grid(prep(spark, d), fixtures.panel(spark, d))
+
+
+@query("robustness_class", f"SELECT factor_name, round(min(m), 6) + 0.0 AS min_ic, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_share, CASE WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) = 1 AND min(m) > 0.03 THEN 'ROBUST' WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) >= 0.75 THEN 'PARTIALLY_ROBUST' ELSE 'NOT_ROBUST' END AS robustness FROM (SELECT factor_name, variant, avg(rank_ic) AS m FROM ({ic_sql('lv_pairs', ', variant')}) WHERE period = 5 GROUP BY factor_name, variant) GROUP BY factor_name")
+def _(spark, d):
+    return studies.robustness(studies.low_volatility_grid(fixtures.panel(spark, d)))
+
+
+def _sweep_sql(sets: dict[str, tuple[str, ...]], methods: tuple[str, ...]) -> None:
+    """Relations of a model sweep: each model has its own calendar, folds and weights."""
+    dim = ", ".join(f"('{m}', '{f}')" for m, names in sets.items() for f in names)
+    CTE["sw_rows"] = f"SELECT model, prep.* FROM prep JOIN (VALUES {dim}) t(model, factor_name) USING (factor_name)"
+    CTE["sw_cal"] = "SELECT model, date, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS i FROM (SELECT DISTINCT model, date FROM sw_rows)"
+    CTE["sw_folds"] = """SELECT f.model, f.fold, a.date AS train_start, b.date AS train_end, f.test_start, f.test_end FROM (
+      SELECT model, CAST(floor((i - 104) / 26.0) AS INTEGER) AS fold, min(date) AS test_start, max(date) AS test_end, min(i) AS first FROM sw_cal WHERE i >= 104 GROUP BY 1, 2) f
+      JOIN sw_cal a ON a.model = f.model AND a.i = greatest(0, f.first - 156) JOIN sw_cal b ON b.model = f.model AND b.i = f.first - 1 WHERE b.i - a.i + 1 >= 104"""
+    CTE["sw_weights"] = f"""SELECT model, fold, method, factor_name, CASE WHEN sum(abs(s)) OVER k <= 1e-12 THEN 1.0 / count(*) OVER k ELSE s / sum(abs(s)) OVER k END AS weight FROM (
+      SELECT model, fold, factor_name, method, CASE method WHEN 'equal_weight' THEN 1.0 WHEN 'rolling_ic_weight' THEN coalesce(m, 0.0) ELSE CASE WHEN d > 1e-12 THEN coalesce(m / d, 0.0) ELSE 0.0 END END AS s FROM (
+        SELECT f.model, f.fold, ics.factor_name, avg(ic) AS m, stddev_samp(ic) AS d FROM ics JOIN (VALUES {dim}) t(model, factor_name) USING (factor_name) JOIN sw_folds f ON f.model = t.model AND date BETWEEN train_start AND train_end WHERE period = 1 GROUP BY ALL)
+      CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in methods)}) t(method)) WINDOW k AS (PARTITION BY model, fold, method)"""
+    CTE["sw_scored"] = "SELECT w.model, w.fold, w.method, p.date, p.stock, sum(w.weight * p.directed_value) AS score, max(p.forward_return_1d) AS r FROM sw_rows p JOIN sw_folds f ON f.model = p.model AND p.date BETWEEN test_start AND test_end JOIN sw_weights w ON w.model = p.model AND w.fold = f.fold AND w.factor_name = p.factor_name GROUP BY ALL HAVING score IS NOT NULL AND r IS NOT NULL"
+    CTE["sw_days"] = "SELECT model, fold, method, date, avg(CASE WHEN held THEN r END) AS gross, avg(r) AS benchmark, list(stock) FILTER (WHERE held) AS holding FROM (SELECT *, score >= quantile_cont(score, 0.8) OVER (PARTITION BY model, fold, method, date) AS held FROM sw_scored) GROUP BY model, fold, method, date"
+    CTE["sw_daily"] = """SELECT model, fold, method, date, gross, benchmark, turnover, turnover * 0.001 AS cost, gross - turnover * 0.001 AS net FROM (SELECT *, CASE WHEN p IS NULL THEN 1.0 ELSE CAST(len(holding) + len(p) - 2 * len(list_intersect(holding, p)) AS DOUBLE) / greatest(len(holding) + len(p), 1) END AS turnover FROM (
+      SELECT *, lag(holding) OVER (PARTITION BY model, fold, method ORDER BY date) AS p FROM sw_days))"""
+    CTE["sw_curve"] = "SELECT *, e / max(e) OVER (PARTITION BY model, method ORDER BY date) - 1 AS drawdown FROM (SELECT *, product(1 + net) OVER (PARTITION BY model, method ORDER BY date) AS e FROM sw_daily)"
+
+
+_CMP = "oos_return annualized_return volatility sharpe max_drawdown turnover transaction_cost beta jensen_alpha tracking_error annualized_excess_return information_ratio"
+_CMP_SQL = """(SELECT *, (m - beta * mb) * 252 AS jensen_alpha FROM (SELECT model, method, product(1 + net) - 1 AS oos_return, CASE WHEN product(1 + net) <= 0 THEN -1.0 ELSE power(product(1 + net), 252.0 / count(net)) - 1 END AS annualized_return, stddev_samp(net) * sqrt(252.0) AS volatility, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252.0) ELSE 0.0 END AS sharpe, min(drawdown) AS max_drawdown, sum(turnover) AS turnover, sum(cost) AS transaction_cost,
+  CASE WHEN var_samp(benchmark) > 1e-16 THEN covar_samp(net, benchmark) / var_samp(benchmark) END AS beta, avg(net) AS m, avg(benchmark) AS mb, stddev_samp(net - benchmark) * sqrt(252.0) AS tracking_error, avg(net - benchmark) * 252 AS annualized_excess_return, CASE WHEN stddev_samp(net - benchmark) > 1e-12 THEN avg(net - benchmark) / stddev_samp(net - benchmark) * sqrt(252.0) ELSE 0.0 END AS information_ratio FROM sw_curve GROUP BY model, method))"""
+
+_sweep_sql(studies.MODELS, studies.METHODS)
+
+
+@query("wf_models", R(_CMP, _CMP_SQL, "model method"))
+def _(spark, d):
+    return studies.compare(studies.model_sweep(prep(spark, d), WF), "model", "method")
+
+
+_RATED = """SELECT model, method, round(score, 6) + 0.0 AS score, round(py, 6) + 0.0 AS positive_years, CASE WHEN r <= 1 + (n - 1) / 4.0 THEN 'REJECT' WHEN r <= 1 + (n - 1) * 2 / 4.0 THEN 'WEAK' WHEN r <= 1 + (n - 1) * 3 / 4.0 THEN 'ACCEPTABLE' ELSE 'STRONGEST' END AS rating FROM (
+  SELECT *, row_number() OVER (ORDER BY score, model, method) AS r, count(*) OVER () AS n FROM (SELECT model, method, py, """ + " + ".join(f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ()" for c in ("round(sharpe, 9)", "round(annualized_excess_return, 9)", "round(max_drawdown, 9)", "round(-turnover, 9)")) + f""" + py - CASE WHEN model IN ('Model_C', 'Model_D') THEN 0.5 ELSE 0.0 END AS score FROM {_CMP_SQL} JOIN (SELECT model, method, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS py FROM (SELECT model, method, year(date) AS y, product(1 + net) - product(1 + benchmark) AS x FROM sw_daily GROUP BY ALL) GROUP BY ALL) USING (model, method)))"""
+
+
+@query("model_ratings", _RATED)
+def _(spark, d):
+    daily = studies.model_sweep(prep(spark, d), WF)
+    return studies.ratings(studies.compare(daily, "model", "method"), studies.yearly_excess(daily))
+
+
+_sweep_sql(studies.ABLATIONS, ("rolling_icir_weight",))
+
+
+@query("ablation", R(_CMP, _CMP_SQL, "model method"))
+def _(spark, d):
+    return studies.compare(studies.model_sweep(prep(spark, d), WF, studies.ABLATIONS, ("rolling_icir_weight",)), "model", "method")
+
+
+@query("factor_attribution", "SELECT factor_name, round(a, 6) + 0.0 AS average_absolute_weight, round(s, 6) + 0.0 AS average_signed_weight, round(a / sum(a) OVER (), 6) + 0.0 AS share FROM (SELECT factor_name, avg(abs(weight)) AS a, avg(weight) AS s FROM fold_weights WHERE method = 'rolling_icir_weight' GROUP BY factor_name)")
+def _(spark, d):
+    p = prep(spark, d)
+    return studies.attribution(walkforward.fold_weights(ic.daily_ic(p, "directed_value", (1,)), walkforward.folds(p, WF), ("rolling_icir_weight",)))
+
+
+@query("subsamples", R(_SUM, f"(SELECT factor_name, CASE WHEN year(date) <= 1998 THEN '1995-1998' ELSE '1999-2001' END AS variant, {SUMMARY} FROM ics WHERE period = 5 GROUP BY ALL)", "factor_name variant observations"))
+def _(spark, d):
+    return studies.subsamples(prep(spark, d), {"1995-1998": (1995, 1998), "1999-2001": (1999, 2001)}).drop("period", "spread", "monotonicity")
+
+
+@query("survivorship_rerun")
+def _(spark, d):
+    return studies.survivorship_rerun(prep(spark, d), fixtures.panel(spark, d), fixtures.master(spark, d), studies.MODELS["Model_B"], "equal_weight", WF).select("fold", "method", "date", "gross", "benchmark", "turnover", "cost", "net")
+
+
+@query("in_sample_metrics")
+def _(spark, d):
+    return walkforward.summarize(walkforward.walk_forward(prep(spark, d), WF, in_sample=True), "fold", "method")
