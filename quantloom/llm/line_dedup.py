@@ -151,9 +151,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column keep_bitmap (null: all lines stay)."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tk": text_key(text_col)})
-    return keyed.join(bitmaps.select("_id", "_tk", "keep_bitmap"), ["_id", "_tk"], "left").drop("_id", "_tk")
+    """docs with the column __keep (null: all lines stay)."""
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__tk": text_key(text_col)})
+    maps = bitmaps.select(F.col("_id").alias("__id"), F.col("_tk").alias("__tk"), F.col("keep_bitmap").alias("__keep"))
+    return keyed.join(maps, ["__id", "__tk"], "left").drop("__id", "__tk")
 
 
 def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, bytes]:
@@ -172,8 +173,8 @@ def rebuild(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_co
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
-            out = [None if x is None else _kept(x, m)[2].decode("utf-8", "surrogatepass") for x, m in zip(t[text_col].to_pylist(), t["keep_bitmap"].to_pylist(), strict=True)]
-            t = t.set_column(t.schema.get_field_index(text_col), text_col, pa.array(out, pa.string())).drop_columns(["keep_bitmap"])
+            out = [None if x is None else _kept(x, m)[2].decode("utf-8", "surrogatepass") for x, m in zip(t[text_col].to_pylist(), t["__keep"].to_pylist(), strict=True)]
+            t = t.set_column(t.schema.get_field_index(text_col), text_col, pa.array(out, pa.string())).drop_columns(["__keep"])
             yield from t.to_batches()
 
     return marked.mapInArrow(text, docs.schema)
@@ -192,7 +193,7 @@ def query(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    return marked.select("doc_id", "text", "keep_bitmap").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.select("doc_id", "text", "__keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""

@@ -170,8 +170,8 @@ def describe(spark, path: str) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, media: DataFrame, seq_col: str = "sequence") -> DataFrame:
-    """A row for each media reference: the sequence's other columns, pos, kind, caption, digest and the media table's columns."""
-    others = [c for c in sequences.columns if c != seq_col]
+    """A row for each media reference: the sequence's other columns, pos, kind, caption, digest and the media table's columns, which replace columns of their names."""
+    others = [c for c in sequences.columns if c not in {seq_col, "pos", "kind", "caption", *media.columns}]
     refs = sequences.select(*others, F.explode(seq_col).alias("_item")).where("_item.kind <> 'text'")
     refs = refs.select(*others, F.col("_item.pos").alias("pos"), F.col("_item.kind").alias("kind"), F.col("_item.caption").alias("caption"), F.col("_item.ref").alias("digest"))
     return refs.join(media, "digest", "left")

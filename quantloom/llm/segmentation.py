@@ -226,7 +226,7 @@ def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int,
     h = lambda *x: xxhash.xxh64_intdigest(repr(x), seed)
     edge, places = fresh[0]
     u = (h("root") >> 11) * 2.0**-53 + 2.0**-54
-    paths = [Path(lattice, edge, lambda t: int(np.searchsorted(places, t, side="right")) - 1, -math.log(-math.log(u)), h(0), 0)]
+    paths = [Path(lattice, edge, lambda t, places=places: int(np.searchsorted(places, t, side="right")) - 1, -math.log(-math.log(u)), h(0), 0)]
     queue: list[tuple[float, int, int]] = []
 
     def push(i: int) -> None:
@@ -416,6 +416,7 @@ def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed:
 
 def decode_ids(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """encoded with the text of its ids in the column `out`; null ids give null."""
+    encoded = encoded.drop(out) if out != ids_col else encoded
     at, names = encoded.columns.index(ids_col), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

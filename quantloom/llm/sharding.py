@@ -3,8 +3,8 @@
 A group is all documents of one text. Its size is summed with partial aggregation, so one text may hold a third of the
 rows. Groups fall into buckets of about `per_bucket` by their digest; each bucket is differenced on its own: the two
 partial partitions with the largest spread are combined oppositely ordered until one is left. What a bucket leaves is
-again a partial partition (n_shards sums), so the driver goes on in the same way over at most `max_buckets` of them,
-a bounded table that is broadcast back as (bucket, part) -> shard.
+again a partial partition (n_shards sums), so the driver goes on in the same way over at most `max_buckets` of them and
+the few groups that are large against a shard, a bounded table that is broadcast back as (bucket, part) -> shard.
 
 Defined results: a null text counts as empty; repeated rows stay together and each gets its own slot; an empty table
 gives an empty result; columns other than the id and the text are ignored.
@@ -55,11 +55,14 @@ def leaves(tree) -> Iterator:
             yield x
 
 
-def assign_groups(groups: DataFrame, n_shards: int, per_bucket: int = 20_000, max_buckets: int = 65_536) -> DataFrame:
-    """groups: (key binary, bytes long). Adds shard int."""
-    n = groups.count()
-    n_buckets = max(1, min(max_buckets, -(-n // per_bucket)))
+def assign_groups(groups: DataFrame, n_shards: int, per_bucket: int = 20_000, max_buckets: int = 65_536, heavy_parts: int = 512) -> DataFrame:
+    """groups: (key binary, bytes long). Adds shard int. Groups of at least a heavy_parts-th of a shard's share (at most n_shards * heavy_parts of them) stay whole for the last differencing, so that no bucket is bent by one of them."""
     spark = groups.sparkSession
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n_buckets = max(1, min(max_buckets, -(-n // per_bucket)))
+    heavy = F.col("bytes") * (n_shards * heavy_parts) >= total
+    large = [(bytes(r.key), r.bytes) for r in groups.where(heavy).collect()]  # at most n_shards * heavy_parts rows
+    groups = groups.where(~heavy)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(bucket, found):
@@ -87,12 +90,13 @@ def assign_groups(groups: DataFrame, n_shards: int, per_bucket: int = 20_000, ma
     sums: dict[int, list[int]] = {}
     for r in solved.where("key is null").collect():  # at most max_buckets * n_shards rows
         sums.setdefault(r.bucket, [0] * n_shards)[r.part] = r.bytes
-    shard_of = []
-    if sums:
-        _, members = difference([(s, [[b, p] for p in range(n_shards)]) for b, s in sorted(sums.items())])
-        shard_of = [(b, p, shard) for shard in range(n_shards) for b, p in leaves(members[shard])]
-    final = spark.createDataFrame(shard_of, "bucket int, part int, shard int")
-    return solved.where("key is not null").join(F.broadcast(final), ["bucket", "part"]).select("key", "shard")
+    parts = [(s, [[b, p] for p in range(n_shards)]) for b, s in sorted(sums.items())]
+    parts += [([size] + [0] * (n_shards - 1), [[key]] + [None] * (n_shards - 1)) for key, size in sorted(large, key=lambda x: (-x[1], x[0]))]
+    members = difference(parts)[1] if parts else [None] * n_shards
+    placed = [(x, shard) for shard in range(n_shards) for x in leaves(members[shard])]
+    final = spark.createDataFrame([(*x, shard) for x, shard in placed if len(x) == 2], "bucket int, part int, shard int")
+    alone = spark.createDataFrame([(*x, shard) for x, shard in placed if len(x) == 1], "key binary, shard int")
+    return solved.where("key is not null").join(F.broadcast(final), ["bucket", "part"]).select("key", "shard").unionByName(alone)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without the documents that the toxicity score rejects."""
-    return toxicity.score_documents(docs, labels, threshold).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_documents(docs, labels, threshold, names=("__score", "__predicted")).where("__predicted = 0").drop("__score", "__predicted")
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
@@ -34,7 +34,7 @@ def _distinct_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs with one row for each (doc_id, text). keys: (doc_id, tk) of all rows; texts are only shuffled if some row repeats."""
     if keys.groupBy("doc_id", "tk").count().where("count > 1").isEmpty():
         return docs
-    return docs.withColumn("_tk", text_key()).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
+    return docs.withColumn("__tk", text_key()).dropDuplicates(["doc_id", "__tk"]).drop("__tk")
 
 
 def without_near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
@@ -49,9 +49,9 @@ def without_near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     rows = cut(keyed.select("doc_id", text_key().alias("tk"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tk long, fp long"))
     found = connected_components(simhash.links(rows.select("fp").distinct(), bits).distinct())
     labelled = rows.join(found, rows.fp == found.node, "left").withColumn("label", F.coalesce("label", "fp"))
-    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tk")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.tk").alias("_tk")).distinct()
-    docs = _distinct_rows(docs, rows).withColumn("_k", text_key())
-    return docs.join(first, docs.doc_id.eqNullSafe(F.col("_id")) & (docs["_k"] == F.col("_tk")), "left_semi").drop("_k")
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tk")).alias("r")).select(F.col("r.doc_id").alias("__i"), F.col("r.tk").alias("__h")).distinct()
+    docs = _distinct_rows(docs, rows).withColumn("__k", text_key())
+    return docs.join(first, docs.doc_id.eqNullSafe(F.col("__i")) & (docs["__k"] == F.col("__h")), "left_semi").drop("__k")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -59,11 +59,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     documents, pieces = mixing.mix(docs, **options)
     names, text_at = docs.columns, docs.columns.index("text")
     count_at = names.index("n_chars") if "n_chars" in names else None
-    taken = pieces.groupBy("doc_id", "_tk", "start").agg(F.sort_array(F.collect_list(F.struct("first", "n", "times"))).alias("_pieces"))
-    sizes = documents.select(F.col("doc_id").alias("_i"), F.col("_tk").alias("_h"), F.col("start").alias("_s"), "size").where("size > 0")
-    taken = taken.join(sizes, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_tk") == F.col("_h")) & (F.col("start") == F.col("_s"))).select("_i", "_h", "size", "_pieces")
-    texts = _distinct_rows(docs, documents.select("doc_id", F.col("_tk").alias("tk"))).withColumn("_k", text_key())
-    joined = texts.join(taken, texts.doc_id.eqNullSafe(F.col("_i")) & (texts["_k"] == F.col("_h"))).select(*names, "size", "_pieces")
+    taken = pieces.groupBy("doc_id", "_tk", "start").agg(F.sort_array(F.collect_list(F.struct("first", "n", "times"))).alias("__pieces"))
+    sizes = documents.select(F.col("doc_id").alias("__i"), F.col("_tk").alias("__h"), F.col("start").alias("__s"), F.col("size").alias("__size")).where("__size > 0")
+    taken = taken.join(sizes, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("_tk") == F.col("__h")) & (F.col("start") == F.col("__s"))).select("__i", "__h", "__size", "__pieces")
+    texts = _distinct_rows(docs, documents.select("doc_id", F.col("_tk").alias("tk"))).withColumn("__k", text_key())
+    joined = texts.join(taken, texts.doc_id.eqNullSafe(F.col("__i")) & (texts["__k"] == F.col("__h"))).select(*names, "__size", "__pieces")
 
     def part(text: str, size: int, pieces: list[dict], times: int) -> str | None:
         runs: list[list[int]] = []
@@ -90,7 +90,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                     if said is not None:
                         which.append(i)
                         texts.append(said)
-            t = pa.Table.from_batches([b.slice(0)]).select(names).take(pa.array(which, pa.int64()))
+            t = pa.Table.from_batches([b]).select(names).take(pa.array(which, pa.int64()))
             t = t.set_column(text_at, "text", pa.array(texts, pa.string()))
             if count_at is not None:
                 t = t.set_column(count_at, "n_chars", pa.array([len(x) for x in texts], t.schema.field(count_at).type))

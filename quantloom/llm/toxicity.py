@@ -272,22 +272,23 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 8_000) -> DataFrame:
-    """docs' columns with score and predicted in addition."""
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 8_000, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs' columns with score and predicted (or other names) in addition; they replace columns of these names."""
     counts = trigram_counts(docs)
     prior, weights = learn(docs, labels, counts, max_labelled)
     shared = docs.sparkSession.sparkContext.broadcast((counts, prior, weights))
-    at, names = docs.columns.index("text"), docs.columns
+    docs = docs.drop(*names)
+    at, all_names = docs.columns.index("text"), [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, prior, weights = shared.value
         decoder, scorer = Decoder(counts), Scorer(prior, weights)
         for b in batches:
             scores = [scorer.score(decoder.restore(x.as_py())) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=all_names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
