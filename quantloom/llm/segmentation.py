@@ -164,14 +164,6 @@ class Lattice:
         with np.errstate(divide="ignore"):
             self.rest = np.log(-np.expm1(self.logp))  # of a node's other edges
 
-    def joined(self, other: Lattice) -> Lattice:
-        """The lattices of self's units, then of other's."""
-        out, n, m = object.__new__(Lattice), len(self.points), len(self.node)
-        for name, by in (("end", n), ("start", n), ("points", 0), ("node", n), ("first", m), ("last", m), ("size", 0), ("piece", 0), ("logp", 0), ("cum", 0), ("rest", 0)):
-            mine, its = getattr(self, name), getattr(other, name)
-            setattr(out, name, np.concatenate([mine, its + mine.dtype.type(by) if by else its]))
-        return out
-
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
         edge, last = self.first[nodes], self.last[nodes]
@@ -182,6 +174,38 @@ class Lattice:
         return edge
 
 
+class Lattices(Lattice):
+    """The lattices of the units added so far, in arrays with room to grow. cut() takes the last ones away again."""
+
+    BY_UNIT, BY_NODE, BY_EDGE = ("end", "start"), ("points", "first", "last"), ("node", "size", "piece", "logp", "cum", "rest")
+
+    def __init__(self) -> None:
+        self.room: dict[str, np.ndarray] = {}
+        self.used = (0, 0, 0)
+
+    def add(self, other: Lattice) -> None:
+        _, n, m = self.used
+        shift = {"end": n, "start": n, "node": n, "first": m, "last": m}
+        for count, names in zip(self.used, (self.BY_UNIT, self.BY_NODE, self.BY_EDGE), strict=True):
+            for name in names:
+                its, mine = getattr(other, name), self.room.get(name)
+                if mine is None or len(mine) < count + len(its):
+                    grown = np.empty(max(1024, (count + len(its)) * 5 // 4), dtype=its.dtype)
+                    if mine is not None:
+                        grown[:count] = mine[:count]
+                    self.room[name] = mine = grown
+                mine[count : count + len(its)] = its
+                if shift.get(name):
+                    mine[count : count + len(its)] += its.dtype.type(shift[name])
+        self.cut((self.used[0] + len(other.end), n + len(other.points), m + len(other.node)))
+
+    def cut(self, used: tuple[int, int, int]) -> None:
+        self.used = used
+        for count, names in zip(used, (self.BY_UNIT, self.BY_NODE, self.BY_EDGE), strict=True):
+            for name in names:
+                setattr(self, name, self.room[name][:count])
+
+
 class Path:
     """One segmentation: the edges of its pieces, its perturbed log-probability, and the queue's keys of the untaken children of its first steps.
 
@@ -267,23 +291,50 @@ def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int,
     return paths, -queue[0][0] if queue else -np.inf
 
 
+class _Index(dict):
+    """Numbers units as they are first asked for, and remembers those that are new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = n = len(self)
+        return n
+
+
 class Sampler:
-    """Segments texts; see the module's docstring."""
+    """Segments texts; see the module's docstring. Lattices of the units seen first serve all batches, up to KEPT characters of them."""
+
+    KEPT = 800_000
 
     def __init__(self, model: str = MODEL, k: int = 4, alpha: float = 0.5, seed: int = 1) -> None:
         self.pieces, self.k, self.seed = Pieces(model, alpha), k, seed
-        self.common: tuple[dict[str, int], Lattice] | None = None  # units that the first batch repeats: their lattices serve all batches
-
-    def _lattice(self, units: list[str], counts: np.ndarray) -> tuple[Lattice, np.ndarray]:
-        """A lattice that holds the units, and each one's place in it."""
-        if self.common is None:
-            often = [u for u, c in zip(units, (counts > 1).tolist(), strict=True) if c] or units[:1]
-            self.common = {u: i for i, u in enumerate(often)}, Lattice(often, self.pieces)
-        known, lattice = self.common
-        new = [u for u in units if u not in known]
-        at = np.fromiter((known.get(u, -1) for u in units), dtype=np.int64, count=len(units))
-        at[at < 0] = len(known) + np.arange(len(new))
-        return (lattice.joined(Lattice(new, self.pieces)) if new else lattice), at
+        self.index, self.lattices = _Index(), Lattices()
+        self.said = np.array([self._bytes(i) for i in range(self.pieces.sp.get_piece_size())], dtype=object)
+
+    def _bytes(self, i: int) -> bytes:
+        """What a piece adds to a decoded text."""
+        sp = self.pieces.sp
+        if sp.is_byte(i):
+            return bytes([int(sp.id_to_piece(i)[1:-1], 16)])
+        return b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
+
+    def _lattice(self, units: list[str]) -> tuple[Lattices, np.ndarray, tuple[int, int, int]]:
+        """The lattices, each unit's place in them, and what of them was there before; _forget() takes the rest away once there are KEPT nodes."""
+        index, before = self.index, self.lattices.used
+        every = np.fromiter(map(index.__getitem__, units), dtype=np.int32, count=len(units))
+        if index.new:
+            self.lattices.add(Lattice(index.new, self.pieces))
+        return self.lattices, every, before
+
+    def _forget(self, before: tuple[int, int, int]) -> None:
+        new, self.index.new = self.index.new, []
+        if self.lattices.used[1] > self.KEPT and new:
+            for u in new:
+                del self.index[u]
+            self.lattices.cut(before) if before[0] else self.lattices.__init__()
 
     def ids(self, lattice: Lattice, path: Path) -> np.ndarray:
         out = lattice.piece[path.edge]
@@ -296,7 +347,11 @@ class Sampler:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.pieces.sp.decode(ids.tolist())
+        return self.decoded(ids).decode("utf-8", "replace")
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """A decoded text in UTF-8, without the space that encoding puts first."""
+        return b"".join(self.said[ids].tolist())[1:]
 
     def batch(self, rows: list[tuple[object, str]]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each (key, text) its samples: ids, log-probability, perturbed log-probability, log of the inclusion probability."""
@@ -318,12 +373,8 @@ class Sampler:
         seeds = [xxhash.xxh64_intdigest(repr(key), self.seed) for key, _ in rows]
         if not units:
             return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)] for _ in rows]
-        coded = pa.array(units).dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        which = np.asarray(coded.indices)
-        lattice, at = self._lattice(known, np.bincount(which))
-        every = at[which]
-        del units, coded
+        lattice, every, before = self._lattice(units)
+        del units
         owner = np.repeat(np.array(seeds, dtype=np.uint64), counts)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         ordinal = np.arange(len(every)) - np.repeat(bounds[:-1], counts)
@@ -346,6 +397,7 @@ class Sampler:
                 inclusion = 0.0 if after == -np.inf or x > 700 else (x if x < -30 else math.log(-math.expm1(-math.exp(x))))
                 found.append((self.ids(lattice, p), logp, float(p.gumbel), inclusion))
             out.append(found)
+        self._forget(before)
         return out
 
     @staticmethod
@@ -384,7 +436,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tup
         yield rows
 
 
-def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 3_000_000, with_ids: bool = True) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000, with_ids: bool = True) -> DataFrame:
     """A row for each sample: doc_id, sample (0 first), n_pieces, logp, gumbel, log_inclusion, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and round_trip (the decoded ids against the text), and the ids unless with_ids is false."""
     kind = dict(docs.dtypes)[id_col]
 
@@ -394,9 +446,11 @@ def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed:
             cols: list[list] = [[] for _ in range(10)]
             for (key, text), found in zip(rows, sampler.batch(rows), strict=True):
                 data = utf8(text)
+                whole = hashlib.sha256(data).hexdigest()
                 for i, (ids, logp, gumbel, inclusion) in enumerate(found):
-                    said = sampler.decode(ids).encode()
-                    values = (key, i, len(ids), logp, gumbel, inclusion, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(said).hexdigest(), said == data, ids)
+                    said = sampler.decoded(ids)
+                    same = said == data
+                    values = (key, i, len(ids), logp, gumbel, inclusion, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), whole if same else hashlib.sha256(said).hexdigest(), same, ids)
                     for c, v in zip(cols, values, strict=True):
                         c.append(v)
             kinds = [None, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]

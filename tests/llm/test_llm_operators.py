@@ -88,6 +88,13 @@ def test_segmentation_exhausts_small_lattices():
     assert keys == sorted(keys, reverse=True)
 
 
+def test_decoding_agrees_with_the_library():
+    sampler = segmentation.Sampler(k=2)
+    for text in ("a  b", "  lead", "trail  ", "\n\n x", "one, two", "5 6 77", "日本 xé", "", " ", "a \n b", "tab\tx²", "😀 z"):
+        for ids, *_ in sampler.batch([(1, text)])[0]:
+            assert sampler.decode(ids) == sampler.pieces.sp.decode(ids.tolist()) == text
+
+
 def test_segmentation_operator(spark, docs, empty):
     out = segmentation.sample_segmentations(docs, k=3).collect()
     assert all(r.round_trip for r in out)
