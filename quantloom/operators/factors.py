@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import ratio, rolling
-from quantloom.schema import BY_STOCK, HORIZONS, require_columns
+from quantloom.schema import HORIZONS, by_stock, require_columns
 
 TECHNICAL = ("momentum_20", "momentum_60", "volatility_20", "volatility_60", "volume_change_20")
 
@@ -53,27 +53,27 @@ def lower_is_better() -> list[str]:
 
 
 def momentum(n: int) -> Column:
-    return ratio("close", F.lag("close", n).over(BY_STOCK)) - 1
+    return ratio("close", F.lag("close", n).over(by_stock())) - 1
 
 
 def daily_return() -> Column:
-    return ratio("close", F.lag("close").over(BY_STOCK)) - 1
+    return ratio("close", F.lag("close").over(by_stock())) - 1
 
 
 def forward_return(n: int) -> Column:
     if not isinstance(n, int) or n <= 0:
         raise ValueError("period must be a positive integer")
-    return ratio(F.lead("close", n).over(BY_STOCK), "close") - 1
+    return ratio(F.lead("close", n).over(by_stock()), "close") - 1
 
 
 def with_volatility(df: DataFrame, *sizes: int) -> DataFrame:
     """Adds volatility_n for each n: the sample deviation of n daily returns."""
     df = df.withColumn("_r", daily_return())
-    return df.withColumns({f"volatility_{n}": rolling(F.stddev_samp, "_r", BY_STOCK, n) for n in sizes}).drop("_r")
+    return df.withColumns({f"volatility_{n}": rolling(F.stddev_samp, "_r", by_stock(), n) for n in sizes}).drop("_r")
 
 
 def volume_change(n: int) -> Column:
-    return ratio("volume", rolling(F.avg, "volume", BY_STOCK, n))
+    return ratio("volume", rolling(F.avg, "volume", by_stock(), n))
 
 
 def technical_factors(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:

@@ -15,7 +15,7 @@ def with_drawdown(df: DataFrame, r: str, *keys: str) -> DataFrame:
     """Adds equity (running product of 1 + r) and drawdown (equity over its running maximum, minus 1; the starting wealth is no peak)."""
     over = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("equity", F.product(1 + F.col(r)).over(over))
-    return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(over) - 1)
+    return df.withColumn("drawdown", ratio("equity", F.max("equity").over(over)) - 1)
 
 
 def total_return(r: str) -> Column:

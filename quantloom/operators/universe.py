@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.codes import CODE, LISTED
 from quantloom.functions.stats import rolling
-from quantloom.schema import BY_STOCK, require_columns
+from quantloom.schema import by_stock, require_columns
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def eligible(history: DataFrame, config: UniverseConfig = UniverseConfig()) -> D
     """Eligible rows of all dates at once, with trading_age and adv20 from each row's own past."""
     require_columns(history, ["date", "stock", "close", "volume"], "universe history")
     amount = F.col("amount") if "amount" in history.columns else F.col("close") * F.col("volume")
-    df = history.withColumns({"trading_age": F.row_number().over(BY_STOCK).cast("long"), "adv20": rolling(F.avg, amount, BY_STOCK, 20)})
+    df = history.withColumns({"trading_age": F.row_number().over(by_stock()).cast("long"), "adv20": rolling(F.avg, amount, by_stock(), 20)})
     df = df.where(F.col("close").isNotNull() & F.col("volume").isNotNull() & (F.col("trading_age") >= config.min_listing_days))
     flag = lambda c: ~F.coalesce(F.col(c).cast("boolean"), F.lit(False))
     if config.exclude_suspended:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.stats import percentile_rank, rolling
 from quantloom.operators import factors as fa
 from quantloom.operators import guards, ic, metrics, neutralize, preprocess, quantile, universe, walkforward
-from quantloom.schema import BY_STOCK, HORIZONS
+from quantloom.schema import HORIZONS, by_stock
 
 #: The model sets of the final study.
 MODELS = {
@@ -52,7 +52,7 @@ def low_volatility_grid(prices: DataFrame) -> DataFrame:
 
 def with_liquidity(df: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds liq_pct: the day's percentile of the 20-row mean amount (at least 10 rows)."""
-    adv = prices.withColumn("adv20", rolling(F.avg, "amount", BY_STOCK, 20, 10)).select("date", "stock", "adv20")
+    adv = prices.withColumn("adv20", rolling(F.avg, "amount", by_stock(), 20, 10)).select("date", "stock", "adv20")
     return df.join(adv, ["date", "stock"], "left").withColumn("liq_pct", percentile_rank("adv20", "date", "factor_name"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,10 @@ PRICE_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField(
 FACTOR_COLUMNS = ["date", "stock", "factor_name", "factor_value", "return"]
 HORIZONS = (1, 5, 10, 20, 40)
 
-#: Windows over one security's history and over one factor's cross-section.
-BY_STOCK = Window.partitionBy("stock").orderBy("date")
-BY_CROSS_SECTION = Window.partitionBy("date", "factor_name")
+
+def by_stock() -> WindowSpec:
+    """The window over one security's history."""
+    return Window.partitionBy("stock").orderBy("date")
 
 
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "data") -> DataFrame:
