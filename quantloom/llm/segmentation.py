@@ -219,7 +219,7 @@ class Path:
         self.logp = lattice.logp[edge]
         self.total, self.lattice = float(self.logp.sum()), lattice
         self.before, self.keys = 0.0, np.zeros(0)
-        self.extend(first + 96)
+        self.extend(first + 224)
         self.keys[:first] = -np.inf  # those belong to the path it branched from
 
     def extend(self, upto: int) -> None:
@@ -357,18 +357,22 @@ class Sampler:
         """For each (key, text) its samples: ids, log-probability, perturbed log-probability, log of the inclusion probability."""
         units, counts = [], []
         for _, text in rows:
-            before, lead = len(units), SPACE
-            for part in text.split(" ") if text else ():
-                if not part:
-                    lead += SPACE
-                    continue
-                if lead == SPACE and part.isalpha():
-                    units.append(SPACE + part)
-                else:
-                    units += UNIT.findall(lead + part)
-                lead = SPACE
-            if text and len(lead) > 1:
-                units.append(lead[1:])
+            before, lead, parts = len(units), SPACE, text.split(" ") if text else []
+            if "" not in parts:
+                for part in parts:
+                    if part.isalpha():
+                        units.append(SPACE + part)
+                    else:
+                        units += UNIT.findall(SPACE + part)
+            else:
+                for part in parts:
+                    if part:
+                        units += UNIT.findall(lead + part)
+                        lead = SPACE
+                    else:
+                        lead += SPACE
+                if len(lead) > 1:
+                    units.append(lead[1:])
             counts.append(len(units) - before)
         seeds = [xxhash.xxh64_intdigest(repr(key), self.seed) for key, _ in rows]
         if not units:
