@@ -440,7 +440,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tup
         yield rows
 
 
-def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 500_000, with_ids: bool = True) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 250_000, with_ids: bool = True) -> DataFrame:
     """A row for each sample: doc_id, sample (0 first), n_pieces, logp, gumbel, log_inclusion, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and round_trip (the decoded ids against the text), and the ids unless with_ids is false."""
     kind = dict(docs.dtypes)[id_col]
 
