@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm import line_dedup, mixing, segmentation, simhash, toxicity
+from quantloom.llm import line_dedup, mixing, segmentation, simhash, similarity, toxicity
 from quantloom.llm.common import connected_components, cut, text_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,7 +47,17 @@ def without_near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x - 2**64 if x >= 2**63 else x for x in fps], pa.int64())], names=["doc_id", "tk", "fp"])
 
     rows = cut(keyed.select("doc_id", text_key().alias("tk"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tk long, fp long"))
-    found = connected_components(simhash.links(rows.select("fp").distinct(), bits).distinct())
+    return _firsts(docs, rows, connected_components(simhash.links(rows.select("fp").distinct(), bits).distinct()))
+
+
+def without_similar(docs: DataFrame, percent: int = similarity.PERCENT, width: int = similarity.WIDTH) -> DataFrame:
+    """One document of each component of texts whose shingle sets have a Jaccard similarity of percent or more: the same choice."""
+    rows = cut(similarity.keyed(docs, percent, width))
+    return _firsts(docs, rows.select("doc_id", "tk", "fp"), similarity.components(docs, rows, percent, width))
+
+
+def _firsts(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The first document of each component. rows: (doc_id, tk, fp) of all rows; found: (node, label) of linked fps."""
     labelled = rows.join(found, rows.fp == found.node, "left").withColumn("label", F.coalesce("label", "fp"))
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tk")).alias("r")).select(F.col("r.doc_id").alias("__i"), F.col("r.tk").alias("__h")).distinct()
     docs = _distinct_rows(docs, rows).withColumn("__k", text_key())

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, line_dedup, media, mixing, phrase_dedup, quality_rules, segmentation, sharding, simhash, stages, toxicity, url_filter
+import corpus_pipeline
+from quantloom.llm import common, line_dedup, media, mixing, phrase_dedup, quality_rules, segmentation, sharding, similarity, simhash, stages, toxicity, url_filter
 
 from . import fixtures
 
@@ -493,3 +494,44 @@ def test_results_do_not_hang_on_partitions(docs):
     one, two = (sorted((r.doc_id is None, r.doc_id, r.fingerprint) for r in simhash.near_duplicates(x).collect()) for x in (docs, docs.repartition(5)))
     assert one == two
     assert docs.select(F.max("doc_id")).first()[0] == 77
+
+
+def test_pipeline_near_dedup_links_all_pairs_of_similarity(spark, docs, empty, monkeypatch):
+    """Against brute force on shingle sets: copies with a changed stretch mostly differ in more than three bits of a fingerprint."""
+    rng = np.random.default_rng(8)
+    rows = list(fixtures.rows())
+    for base in range(12):
+        words_ = [f"w{rng.integers(0, 5000)}" for _ in range(int(rng.integers(60, 200)))]
+        for copy in range(6):
+            said = list(words_)
+            for _ in range(copy):
+                said[int(rng.integers(0, len(said)))] = f"other{rng.integers(0, 5000)}"
+            rows.append((1000 + 10 * base + copy, " ".join(said), *rows[0][2:]))
+    frame = fixtures.table(spark, rows).cache()
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    found = [(r.doc_id, grams(r.text)) for r in frame.collect()]
+    parent = list(range(len(found)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, x) in enumerate(found):
+        for j, (_, y) in enumerate(found[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                parent[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, (d, _) in enumerate(found):
+        groups[find(i)].append((d is None, d or 0))
+    want = sorted(min(g) for g in groups.values())
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    for share in (similarity.SAMPLE, 1):  # with few and with all texts in the sample for common shingles
+        monkeypatch.setattr(similarity, "SAMPLE", share)
+        got = stage(spark, frame, "")
+        assert got.columns == frame.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == want
+    assert stage(spark, empty, "").count() == 0
