@@ -648,6 +648,21 @@ def _(spark, d):
     return studies.robustness(studies.low_volatility_grid(fixtures.panel(spark, d)))
 
 
+CTE["lq_base"] = f"SELECT *, {rank('adv20', 'date, factor_name')} / count(adv20) OVER (PARTITION BY date, factor_name) AS liq FROM prep LEFT JOIN mo_adv USING (date, stock) WHERE factor_name = 'volatility_20'"
+CTE["lq_pairs"] = " UNION ALL ".join(f"SELECT date, stock, factor_name, 'remove_bottom_{c}pct_ADV20' AS variant, directed_value AS x, 5 AS period, forward_return_5d AS y FROM lq_base WHERE forward_return_5d IS NOT NULL AND adv20 IS NOT NULL AND liq > CAST({c / 100} AS DOUBLE)" for c in (10, 20))
+CTE["core_pairs"] = "SELECT * FROM lv_pairs WHERE factor_name = 'volatility_20' AND period = 5 UNION ALL SELECT * FROM lq_pairs"
+
+
+@query("robustness_liquidity_low_vol", _grid_sql("lq_pairs"))
+def _(spark, d):
+    return studies.low_volatility_liquidity(prep(spark, d), fixtures.panel(spark, d))
+
+
+@query("robustness_class_low_vol", f"SELECT factor_name, round(min(m), 6) + 0.0 AS min_ic, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_share, CASE WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) = 1 AND min(m) > 0.03 THEN 'ROBUST' WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) >= 0.75 THEN 'PARTIALLY_ROBUST' ELSE 'NOT_ROBUST' END AS robustness FROM (SELECT factor_name, variant, avg(rank_ic) AS m FROM ({ic_sql('core_pairs', ', variant')}) GROUP BY factor_name, variant) GROUP BY factor_name")
+def _(spark, d):
+    return studies.low_volatility_robustness(prep(spark, d), fixtures.panel(spark, d))
+
+
 def _sweep_sql(sets: dict[str, tuple[str, ...]], methods: tuple[str, ...]) -> None:
     """Relations of a model sweep: each model has its own calendar, folds and weights."""
     dim = ", ".join(f"('{m}', '{f}')" for m, names in sets.items() for f in names)

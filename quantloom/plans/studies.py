@@ -56,6 +56,18 @@ def with_liquidity(df: DataFrame, prices: DataFrame) -> DataFrame:
     return df.join(adv, ["date", "stock"], "left").withColumn("liq_pct", percentile_rank("adv20", "date", "factor_name"))
 
 
+def low_volatility_liquidity(prepared: DataFrame, prices: DataFrame) -> DataFrame:
+    """The metric grid of volatility_20 at five days without the least liquid tenth and fifth of a day."""
+    base = with_liquidity(prepared.where("factor_name = 'volatility_20'"), prices)
+    kept = F.array(*(F.when(F.col("liq_pct") > cut / 100, f"remove_bottom_{cut}pct_ADV20") for cut in (10, 20)))
+    return metric_grid(base.withColumn("variant", F.explode(F.filter(kept, lambda x: x.isNotNull()))), (5,))
+
+
+def low_volatility_robustness(prepared: DataFrame, prices: DataFrame) -> DataFrame:
+    """robustness() of volatility_20 over its three preparations and its two liquidity filters."""
+    return robustness(low_volatility_grid(prices).where("factor_name = 'volatility_20'").unionByName(low_volatility_liquidity(prepared, prices)))
+
+
 def momentum_grid(prepared: DataFrame, prices: DataFrame) -> DataFrame:
     """Momentum as it is, without the least liquid fifth of a day, and without the outer percents of the whole sample."""
     base = with_liquidity(prepared.where(F.col("factor_name").isin("momentum_20", "momentum_60")), prices)
