@@ -648,6 +648,29 @@ def _(spark, d):
     return studies.robustness(studies.low_volatility_grid(fixtures.panel(spark, d)))
 
 
+CTE["m120_long"] = "SELECT * FROM (SELECT date, stock, 'momentum_120' AS factor_name, close / lag(close, 120) OVER w - 1 AS v, " + ", ".join(f"lead(close, {h}) OVER w / close - 1 AS forward_return_{h}d" for h in HORIZONS) + " FROM panel WINDOW w AS (PARTITION BY stock ORDER BY date)) WHERE v IS NOT NULL AND forward_return_5d IS NOT NULL"
+CTE["m120_bounds"] = "SELECT date, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM m120_long GROUP BY date"
+CTE["m120_z"] = "SELECT *, CASE WHEN stddev_pop(b) OVER k > 1e-12 THEN round((b - avg(b) OVER k) / stddev_pop(b) OVER k, 12) ELSE 0.0 END AS z FROM (SELECT m120_long.*, least(greatest(v, lo), hi) AS b FROM m120_long JOIN m120_bounds USING (date)) WINDOW k AS (PARTITION BY date)"
+CTE["ms_pairs"] = " UNION ALL ".join([*(f"SELECT date, stock, factor_name, 'full' AS variant, z AS x, {h} AS period, forward_return_{h}d AS y FROM m120_z WHERE forward_return_{h}d IS NOT NULL" for h in HORIZONS), "SELECT date, stock, factor_name, CAST(year(date) AS VARCHAR) AS variant, directed_value AS x, 5 AS period, forward_return_5d AS y FROM prep WHERE factor_name IN ('momentum_20', 'momentum_60') AND forward_return_5d IS NOT NULL"])
+CTE["mr_pairs"] = "SELECT * FROM mo_pairs UNION ALL SELECT * FROM ms_pairs"
+
+
+@query("robustness_momentum_scopes", "SELECT * RENAME (variant AS scope) FROM (" + _grid_sql("ms_pairs") + ")")
+def _(spark, d):
+    return studies.momentum_scopes(prep(spark, d), fixtures.panel(spark, d))
+
+
+@query("momentum_reversal", f"SELECT CASE WHEN bool_and(coalesce(m < 0, FALSE)) THEN 'PERSISTENT_REVERSAL' ELSE 'REGIME_DEPENDENT' END AS diagnosis FROM (SELECT avg(rank_ic) AS m FROM ({ic_sql('mr_pairs', ', variant')}) GROUP BY factor_name, variant, period)")
+def _(spark, d):
+    return studies.momentum_reversal(prep(spark, d), fixtures.panel(spark, d))
+
+
+@query("momentum_short_term", "SELECT factor_name, CASE WHEN count(*) FILTER (WHERE period IN (1, 5) AND m < 0) = 2 AND count(*) FILTER (WHERE period IN (20, 40) AND m > 0) > 0 THEN 'short-term reversal pattern' WHEN bool_and(coalesce(m < 0, FALSE)) THEN 'momentum broadly ineffective in this sample' ELSE 'sample noise / regime dependence' END AS diagnosis FROM (SELECT factor_name, period, avg(rank_ic) AS m FROM ics WHERE factor_name IN ('momentum_20', 'momentum_60') GROUP BY factor_name, period) GROUP BY factor_name")
+def _(spark, d):
+    p = prep(spark, d).where(F.col("factor_name").isin("momentum_20", "momentum_60"))
+    return guards.short_term_diagnosis(ic.ic_decay(p, "directed_value", HORIZONS))
+
+
 CTE["lq_base"] = f"SELECT *, {rank('adv20', 'date, factor_name')} / count(adv20) OVER (PARTITION BY date, factor_name) AS liq FROM prep LEFT JOIN mo_adv USING (date, stock) WHERE factor_name = 'volatility_20'"
 CTE["lq_pairs"] = " UNION ALL ".join(f"SELECT date, stock, factor_name, 'remove_bottom_{c}pct_ADV20' AS variant, directed_value AS x, 5 AS period, forward_return_5d AS y FROM lq_base WHERE forward_return_5d IS NOT NULL AND adv20 IS NOT NULL AND liq > CAST({c / 100} AS DOUBLE)" for c in (10, 20))
 CTE["core_pairs"] = "SELECT * FROM lv_pairs WHERE factor_name = 'volatility_20' AND period = 5 UNION ALL SELECT * FROM lq_pairs"

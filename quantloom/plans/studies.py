@@ -77,6 +77,19 @@ def momentum_grid(prepared: DataFrame, prices: DataFrame) -> DataFrame:
     return metric_grid(base.withColumn("variant", F.explode(F.filter(kept, lambda x: x.isNotNull()))))
 
 
+def momentum_scopes(prepared: DataFrame, prices: DataFrame) -> DataFrame:
+    """What the momentum grid lacks: momentum_120 at all horizons, and momentum_20 and momentum_60 as they are by year at five days."""
+    wide = prices.withColumns({"momentum_120": fa.momentum(120), **{f"forward_return_{h}d": fa.forward_return(h) for h in HORIZONS}})
+    longest = preprocess.with_direction(preprocess.preprocess_factors(fa.to_long(wide, ("momentum_120",))))
+    years = prepared.where(F.col("factor_name").isin("momentum_20", "momentum_60")).withColumn("scope", F.year("date").cast("string"))
+    return metric_grid(longest.withColumn("scope", F.lit("full")), variant="scope").unionByName(metric_grid(years, (5,), variant="scope"))
+
+
+def momentum_reversal(prepared: DataFrame, prices: DataFrame) -> DataFrame:
+    """The class over all variants and horizons of the momentum grid, momentum_120 and the years."""
+    return guards.reversal_class(momentum_grid(prepared, prices).select("mean_rank_ic").unionByName(momentum_scopes(prepared, prices).select("mean_rank_ic")))
+
+
 def robustness(grid: DataFrame) -> DataFrame:
     """By factor: the least five-day rank IC over variants, the share of positive ones and the class."""
     out = grid.where("period = 5").groupBy("factor_name").agg(F.min("mean_rank_ic").alias("min_ic"), F.avg((F.col("mean_rank_ic") > 0).cast("double")).alias("positive_share"))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.operators import guards
 from quantloom.plans import catalog, studies
 from quantloom.sources import fixtures
 
@@ -42,3 +43,26 @@ def test_liquidity_filters_of_low_volatility_count_in_its_class(panel, prepared)
     five = three + [r.mean_rank_ic for r in got.values()]
     r = studies.low_volatility_robustness(prepared, panel).first()
     assert len(three) == 3 and math.isclose(r.min_ic, min(five), abs_tol=1e-12) and math.isclose(r.positive_share, np.mean([x > 0 for x in five]), abs_tol=1e-12)
+
+
+def test_momentum_scopes_and_labels(spark, panel, prepared):
+    got = {(r.factor_name, r.scope, r.period): r.mean_rank_ic for r in studies.momentum_scopes(prepared, panel).collect()}
+    x = panel.toPandas().sort_values(["stock", "date"])
+    close = x.groupby("stock").close
+    x["factor_value"] = x.close / close.shift(120) - 1
+    x["forward_return_5d"], x["forward_return_20d"] = close.shift(-5) / x.close - 1, close.shift(-20) / x.close - 1
+    x = x.dropna(subset=["factor_value", "forward_return_5d"]).copy()
+    bounds = x.groupby("date").factor_value.quantile([0.01, 0.99]).unstack()
+    x["directed_value"] = x.factor_value.clip(x.date.map(bounds[0.01]), x.date.map(bounds[0.99]))  # a z-score keeps ranks
+    assert {k[2] for k in got if k[:2] == ("momentum_120", "full")} == {1, 5, 10, 20, 40}
+    for h in (5, 20):
+        assert math.isclose(got["momentum_120", "full", h], mean_rank_ic(x, ret=f"forward_return_{h}d"), abs_tol=1e-9)
+    base = prepared.where("factor_name = 'momentum_20'").toPandas()
+    for year, g in base.groupby(pd.to_datetime(base.date).dt.year):
+        assert math.isclose(got["momentum_20", str(year), 5], mean_rank_ic(g), abs_tol=1e-9)
+    grid = spark.createDataFrame([("full", -0.1), ("2001", 0.01), ("2002", -0.2)], "scope string, mean_rank_ic double")
+    assert guards.reversal_class(grid).first()[0] == "REGIME_DEPENDENT" and guards.reversal_class(grid.where("scope <> '2001'")).first()[0] == "PERSISTENT_REVERSAL"
+    decays = {"turns": (-1, -1, 1, 1, -1), "falls": (-1,) * 5, "mixed": (1, -1, -1, -1, -1)}
+    rows = [(f, h, float(v)) for f, values in decays.items() for h, v in zip((1, 5, 10, 20, 40), values, strict=True)]
+    labels = {r.factor_name: r.diagnosis for r in guards.short_term_diagnosis(spark.createDataFrame(rows, "factor_name string, period int, mean_rank_ic double")).collect()}
+    assert labels == {"turns": "short-term reversal pattern", "falls": "momentum broadly ineffective in this sample", "mixed": "sample noise / regime dependence"}
