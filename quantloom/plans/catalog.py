@@ -671,6 +671,14 @@ def _(spark, d):
     return guards.short_term_diagnosis(ic.ic_decay(p, "directed_value", HORIZONS))
 
 
+CTE["ld_pairs"] = " UNION ALL ".join([*(f"SELECT date, stock, factor_name, 'full' AS variant, directed_value AS x, {h} AS period, forward_return_{h}d AS y FROM prep WHERE factor_name IN ('volatility_20', 'volatility_60') AND forward_return_{h}d IS NOT NULL" for h in HORIZONS), "SELECT date, stock, factor_name, CAST(year(date) AS VARCHAR) AS variant, directed_value AS x, 5 AS period, forward_return_5d AS y FROM prep WHERE factor_name IN ('volatility_20', 'volatility_60') AND forward_return_5d IS NOT NULL"])
+
+
+@query("low_volatility_diagnostic", "SELECT * RENAME (variant AS scope) FROM (" + _grid_sql("ld_pairs") + ")")
+def _(spark, d):
+    return studies.low_volatility_diagnostic(prep(spark, d))
+
+
 CTE["lq_base"] = f"SELECT *, {rank('adv20', 'date, factor_name')} / count(adv20) OVER (PARTITION BY date, factor_name) AS liq FROM prep LEFT JOIN mo_adv USING (date, stock) WHERE factor_name = 'volatility_20'"
 CTE["lq_pairs"] = " UNION ALL ".join(f"SELECT date, stock, factor_name, 'remove_bottom_{c}pct_ADV20' AS variant, directed_value AS x, 5 AS period, forward_return_5d AS y FROM lq_base WHERE forward_return_5d IS NOT NULL AND adv20 IS NOT NULL AND liq > CAST({c / 100} AS DOUBLE)" for c in (10, 20))
 CTE["core_pairs"] = "SELECT * FROM lv_pairs WHERE factor_name = 'volatility_20' AND period = 5 UNION ALL SELECT * FROM lq_pairs"
@@ -709,6 +717,16 @@ _CMP = "oos_return annualized_return volatility sharpe max_drawdown turnover tra
 _CMP_SQL = """(SELECT *, (m - beta * mb) * 252 AS jensen_alpha FROM (SELECT model, method, product(1 + net) - 1 AS oos_return, CASE WHEN product(1 + net) <= 0 THEN -1.0 ELSE power(product(1 + net), 252.0 / count(net)) - 1 END AS annualized_return, stddev_samp(net) * sqrt(252.0) AS volatility, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252.0) ELSE 0.0 END AS sharpe, min(drawdown) AS max_drawdown, sum(turnover) AS turnover, sum(cost) AS transaction_cost,
   CASE WHEN var_samp(benchmark) > 1e-16 THEN covar_samp(net, benchmark) / var_samp(benchmark) END AS beta, avg(net) AS m, avg(benchmark) AS mb, stddev_samp(net - benchmark) * sqrt(252.0) AS tracking_error, avg(net - benchmark) * 252 AS annualized_excess_return, CASE WHEN stddev_samp(net - benchmark) > 1e-12 THEN avg(net - benchmark) / stddev_samp(net - benchmark) * sqrt(252.0) ELSE 0.0 END AS information_ratio FROM sw_curve GROUP BY model, method))"""
 
+CTE["cs_daily"] = "SELECT method, CAST(bp AS BIGINT) AS bp, date, benchmark, turnover, turnover * bp / 10000.0 AS cost, gross - turnover * bp / 10000.0 AS net FROM wf_daily CROSS JOIN (VALUES (0), (5), (10), (20), (30)) t(bp)"
+CTE["cs_curve"] = "SELECT *, e / max(e) OVER (PARTITION BY method, bp ORDER BY date) - 1 AS drawdown FROM (SELECT *, product(1 + net) OVER (PARTITION BY method, bp ORDER BY date) AS e FROM cs_daily)"
+_CS_SQL = _CMP_SQL.replace("sw_curve", "cs_curve").replace("model, method", "method, bp")
+
+
+@query("cost_metrics", R(_CMP, f"(SELECT *, CASE WHEN h > 0 AND 1 - h / nullif(b, 0) < 0.4 THEN 'ROBUST_TO_COST' WHEN h > 0 THEN 'MODERATELY_SENSITIVE' ELSE 'HIGHLY_SENSITIVE' END AS cost_status FROM (SELECT *, max(CASE WHEN bp = 30 THEN annualized_return END) OVER (PARTITION BY method) AS h, max(CASE WHEN bp = 10 THEN annualized_return END) OVER (PARTITION BY method) AS b FROM {_CS_SQL}))", "method bp cost_status"))
+def _(spark, d):
+    return studies.cost_sweep(walkforward.walk_forward(prep(spark, d), WF))
+
+
 _sweep_sql(studies.MODELS, studies.METHODS)
 
 

@@ -150,6 +150,22 @@ def cost_label(annual_highest, annual_base):
     return F.when((annual_highest > 0) & (loss < 0.4), "ROBUST_TO_COST").when(annual_highest > 0, "MODERATELY_SENSITIVE").otherwise("HIGHLY_SENSITIVE")
 
 
+def cost_sweep(daily: DataFrame, points: tuple[int, ...] = (0, 5, 10, 20, 30), base: int = 10) -> DataFrame:
+    """method, bp: compare() of walk-forward rows at each single-sided cost, and by method how the highest cost compares with the base."""
+    swept = daily.withColumn("bp", F.explode(F.array(*map(F.lit, points)))).withColumn("cost", F.col("turnover") * F.col("bp") / 10000.0).withColumn("net", F.col("gross") - F.col("cost"))
+    out = compare(swept, "method", "bp")
+    at = lambda bp: F.max(F.when(F.col("bp") == bp, F.col("annualized_return")))
+    status = out.groupBy("method").agg(at(max(points)).alias("_high"), at(base).alias("_base")).select("method", cost_label(F.col("_high"), F.nullif("_base", F.lit(0.0))).alias("cost_status"))
+    return out.join(status, "method")
+
+
+def low_volatility_diagnostic(prepared: DataFrame) -> DataFrame:
+    """The metric grid of volatility_20 and volatility_60 over the whole sample at all horizons and by year at five days."""
+    base = prepared.where(F.col("factor_name").isin("volatility_20", "volatility_60"))
+    full, years = base.withColumn("scope", F.lit("full")), base.withColumn("scope", F.year("date").cast("string"))
+    return metric_grid(full, variant="scope").unionByName(metric_grid(years, (5,), variant="scope"))
+
+
 def research(prices: DataFrame, factors: DataFrame, exposures: DataFrame | None = None, provider: universe.UniverseProvider | None = None, horizons: tuple[int, ...] = HORIZONS) -> dict[str, DataFrame]:
     """The research pipeline: eligible rows, preparation, neutralization, ICs, quantiles and guards, as named frames."""
     df = factors

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -66,3 +67,24 @@ def test_momentum_scopes_and_labels(spark, panel, prepared):
     rows = [(f, h, float(v)) for f, values in decays.items() for h, v in zip((1, 5, 10, 20, 40), values, strict=True)]
     labels = {r.factor_name: r.diagnosis for r in guards.short_term_diagnosis(spark.createDataFrame(rows, "factor_name string, period int, mean_rank_ic double")).collect()}
     assert labels == {"turns": "short-term reversal pattern", "falls": "momentum broadly ineffective in this sample", "mixed": "sample noise / regime dependence"}
+
+
+def test_cost_sweep_gives_metrics_and_status(spark):
+    gross = {"kept": [0.02, 0.01, 0.03, -0.005], "eaten": [0.002, 0.001, 0.003, -0.0005]}
+    rows = [(m, dt.date(2020, 1, 1 + i), g, 0.001 * i, 0.5) for m, values in gross.items() for i, g in enumerate(values)]
+    got = {(r.method, r.bp): r for r in studies.cost_sweep(spark.createDataFrame(rows, "method string, date date, gross double, benchmark double, turnover double")).collect()}
+    assert len(got) == 10 and {r.cost_status for k, r in got.items() if k[0] == "kept"} == {"ROBUST_TO_COST"} and {r.cost_status for k, r in got.items() if k[0] == "eaten"} == {"HIGHLY_SENSITIVE"}
+    for (m, bp), r in got.items():
+        net = np.array(gross[m]) - 0.5 * bp / 10000
+        assert math.isclose(r.annualized_return, np.prod(1 + net) ** (252 / 4) - 1, rel_tol=1e-9) and math.isclose(r.transaction_cost, 2 * bp / 10000, abs_tol=1e-12)
+        assert math.isclose(r.volatility, np.std(net, ddof=1) * 252**0.5, rel_tol=1e-9) and r.max_drawdown <= 0
+
+
+def test_low_volatility_diagnostic(prepared):
+    got = {(r.factor_name, r.scope, r.period): r for r in studies.low_volatility_diagnostic(prepared).collect()}
+    base = prepared.where("factor_name = 'volatility_60'").toPandas()
+    years = pd.to_datetime(base.date).dt.year
+    assert {k[1:] for k in got if k[0] == "volatility_60"} >= {("full", h) for h in (1, 5, 10, 20, 40)} | {(str(y), 5) for y in years.unique()}
+    assert math.isclose(got["volatility_60", "full", 5].mean_rank_ic, mean_rank_ic(base), abs_tol=1e-9)
+    for year, g in base.groupby(years):
+        assert math.isclose(got["volatility_60", str(year), 5].mean_rank_ic, mean_rank_ic(g), abs_tol=1e-9)
