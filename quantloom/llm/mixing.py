@@ -1,14 +1,19 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial draws, pseudorandom index permutations, a join by index.
 
-Every source's documents, in the order of their ids' hashes, are one stream of words that is cut into blocks of `block`
-words (the last one may be shorter). Output shards draw how many of their slots each source fills from a multinomial over
-what the sources still owe, so that each source's total is met exactly. Slot j of a source takes block perm(j mod n) in
-its pass j div n, where perm is a Feistel network keyed by seed and source, walked until it falls below n. Slots and the
-documents' pieces of blocks meet in an equi-join on (source, block).
+Every source's documents, in the order of a hash of their ids and texts, are one stream of words that is cut into blocks of
+`block` words (the last one may be shorter). Each output shard has `shard_slots` slots (the last one the rest) and draws how
+many of them each source fills from its own multinomial at the target weights. Slots are numbered by source over the shards;
+slot j of a source takes block perm(j mod n) in its pass j div n, where perm is a Feistel network keyed by seed and source,
+walked until it falls below n. Slots and the documents' pieces of blocks meet in an equi-join on (source, block).
 
-Word offsets come from two steps: sums of chunks (a source has as many as there are shuffle partitions, so a source with
-a third of all rows is spread) and a running sum inside each chunk. The driver sees one row a source and at most
-`max_shards` draws.
+A last correction bounds the draws' noise: a source whose total lies more than `tolerance` from its target, or above two
+passes, loses its last slots, or gets slots in shards of its own after the others, up to that bound. Inside it the draw
+decides what is taken.
+
+The result depends on the rows and the seed alone, not on partitions: a shard's draw is keyed by its number, documents are
+ordered by their hashes, and the sums of chunks that give word and slot offsets are the same for any number of chunks. The
+driver sees a row a source, which bounds the number of sources; draws, offsets and slots are made by executors, at most
+`shard_slots` rows a batch.
 
 Defined results: a null text has size 0 and nothing to take; a null source is a source, last in the order; repeated rows
 are documents of their own; an empty table gives an empty result; a source without words has target 0.
@@ -50,22 +55,15 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
             return [held[i] for i in range(len(sizes))]
 
 
-def draw(owed: list[int], shard_slots: int, max_shards: int, seed: int) -> list[list[int]]:
-    """For each output shard its count of slots by source: multinomial over what is still owed; totals are met exactly."""
-    left, rng = np.array(owed, dtype=np.int64), np.random.default_rng(seed)
-    n = max(1, min(max_shards, -(-int(left.sum()) // shard_slots)))
-    out = []
-    for shard in range(n):
-        want = -(-int(left.sum()) // (n - shard))
-        got = np.zeros_like(left)
-        while want:
-            rest = left - got
-            more = np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
-            got += more
-            want -= int(more.sum())
-        left -= got
-        out.append(got.tolist())
-    return out
+def draw(shard: int, weights: np.ndarray, total: int, shard_slots: int, seed: int) -> np.ndarray:
+    """How many slots of one output shard each source fills; total: the slots of all shards."""
+    rng = np.random.Generator(np.random.Philox(key=np.array([seed, shard], dtype=np.uint64)))
+    return rng.multinomial(min(shard_slots, total - shard * shard_slots), weights / weights.sum())
+
+
+def limits(owed: list[int], blocks: list[int], tolerance: float) -> list[tuple[int, int]]:
+    """The least and the most slots of each source: tolerance from what it is owed, and at most two passes."""
+    return [(int(np.ceil(n * (1 - tolerance))), min(2 * b, int(n * (1 + tolerance)))) for n, b in zip(owed, blocks, strict=True)]
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -91,57 +89,87 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _running(rows: DataFrame, keys: list[str], chunk: str, order: list[str], size: str, out: str) -> DataFrame:
+    """rows with the sum of `size` over the rows before each, by keys: sums of chunks, then a running sum inside each chunk."""
+    sums = rows.groupBy(*keys, chunk).agg(F.sum(size).alias("_s"))
+    before = sums.select(*(F.col(k).alias(f"_b_{k}") for k in keys), F.col(chunk).alias("_b_chunk"), (F.sum("_s").over(Window.partitionBy(*keys).orderBy(chunk)) - F.col("_s")).alias("_before"))
+    inside = F.sum(size).over(Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
+    same = F.col(chunk) == F.col("_b_chunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return rows.withColumn("_inside", inside).join(before, same).withColumn(out, F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_b_chunk", *(f"_b_{k}" for k in keys))
+
+
 def layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, _tk, source, size, start: each document's place in its source's stream of words."""
+    """doc_id, _tk, source, size, start: each document's place in its source's stream of words. Chunks are ranges of the hash, so the order is the hash's for any number of them."""
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0null"))).alias("_tk"), F.col(source_col).alias("source"), n_words(text_col).alias("size")))
-    n_chunks = n_partitions(docs.sparkSession)
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "_tk")).withColumn("chunk", F.pmod("h", F.lit(n_chunks)).cast("int"))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("s"))
-    before = sums.select("source", "chunk", (F.sum("s").over(Window.partitionBy("source").orderBy("chunk")) - F.col("s")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    placed = rows.withColumn("inside", inside).alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.chunk") == F.col("b.chunk")))
-    return placed.select("r.doc_id", "r._tk", "r.source", "r.size", (F.col("b.before") + F.col("r.inside")).alias("start"))
+    bits = min(20, max(6, (4 * n_partitions(docs.sparkSession)).bit_length()))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "_tk")).withColumn("chunk", F.shiftright("h", 64 - bits))
+    return _running(rows, ["source"], "chunk", ["h", "doc_id"], "size", "start").select("doc_id", "_tk", "source", "size", "start")
+
 
+def _slots(spark, owed: list[int], blocks: list[int], shard_slots: int, tolerance: float, seed: int) -> DataFrame:
+    """shard, slot, src, block: every slot of every output shard with the block that fills it."""
+    total, weights = sum(owed), np.array(owed, dtype=np.float64)
+    n_shards = -(-total // shard_slots)
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 4096, max_shards: int = 4096, seed: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: doc_id, _tk, source, size, source_size, target, src. pieces: a document's part of a block and how often the mix takes it: doc_id, _tk, start, first, n (words first to first + n of the document), times."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                n = draw(shard, weights, total, shard_slots, seed)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array(at.astype(np.int32)), pa.array((np.cumsum(n) - n)[at]), pa.array(n[at])], names=["shard", "src", "at", "n"])
+
+    spread = min(n_partitions(spark), max(1, n_shards))
+    drawn = spark.range(n_shards, numPartitions=spread).mapInArrow(counts, "shard long, src int, at long, n long")
+    drawn = cut(_running(drawn.withColumn("chunk", F.expr("shard div 1024")), ["src"], "chunk", ["shard"], "n", "first").select("shard", "src", "at", "first", "n"))
+    got = {r.src: r.n for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}  # one row a source
+    bounds, more, shard = limits(owed, blocks, tolerance), [], n_shards
+    for src, (least, _) in enumerate(bounds):
+        for first in range(got.get(src, 0), least, shard_slots):
+            more.append((shard, src, 0, first, min(shard_slots, least - first)))
+            shard += 1
+    dims = spark.createDataFrame([(i, b, most) for i, (b, (_, most)) in enumerate(zip(blocks, bounds, strict=True))], "src int, n_blocks long, most long")  # one row a source
+    plan = drawn.unionByName(spark.createDataFrame(more, "shard long, src int, at long, first long, n long"))
+    plan = plan.join(F.broadcast(dims), "src").where("first < most").select("shard", "src", "at", "first", F.least("n", F.col("most") - F.col("first")).alias("n"), "n_blocks")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, src, at, first, n, n_blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                size = min(shard_slots, total - shard * shard_slots) if shard < n_shards else n
+                slot = permute(np.arange(at, at + n, dtype=np.int64), size, seed * 7_368_787 + shard)
+                block = permute(np.arange(first, first + n, dtype=np.int64) % n_blocks, n_blocks, seed * 1_000_003 + src)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int64)), pa.array(slot), pa.array(np.full(n, src, np.int32)), pa.array(block)], names=["shard", "slot", "src", "block"])
+
+    return plan.repartition(spread).mapInArrow(fill, "shard long, slot long, src int, block long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 4096, tolerance: float = 0.02, seed: int = 9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, slots, pieces). documents: doc_id, _tk, source, size, start, source_size, target, src. slots: the mix itself:
+    shard, slot, src, block. pieces: a document's part of a block and how often the mix takes it: doc_id, _tk, start, first, n
+    (words first to first + n of the document), times."""
     spark = docs.sparkSession
     placed = cut(layout(docs, id_col, text_col, source_col))
     totals = [(r.source, r.s) for r in placed.groupBy("source").agg(F.sum("size").alias("s")).collect()]  # one row a source
-    totals.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
+    totals.sort(key=lambda x: (x[0] is None, str(x[0] or "").encode("utf-8", "surrogatepass")))
     sizes = [s for _, s in totals]
     target = targets(sizes) if totals else []
     blocks = [-(-s // block) for s in sizes]
     owed = [min(2 * b, round(t / s * b)) if s else 0 for t, s, b in zip(target, sizes, blocks, strict=True)]
-    drawn = draw(owed, shard_slots, max_shards, seed) if sum(owed) else []
-    plan, done = [], [0] * len(owed)
-    for shard, counts in enumerate(drawn):
-        for src, n in enumerate(counts):
-            if n:
-                plan.append((shard, src, done[src], n, blocks[src]))
-                done[src] += n
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, src, first, n, n_blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                j = np.arange(first, first + n, dtype=np.int64)
-                at = permute(j % n_blocks, n_blocks, seed * 1_000_003 + src)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, src, np.int32)), pa.array(at)], names=["shard", "src", "block"])
-
-    dims = spark.createDataFrame([(s, z, t, i) for i, ((s, z), t) in enumerate(zip(totals, target, strict=True))], "source string, source_size long, target double, src int")
+    slots = _slots(spark, owed, blocks, shard_slots, tolerance, seed) if sum(owed) else spark.createDataFrame([], "shard long, slot long, src int, block long")
+    dims = spark.createDataFrame([(s, z, t, i) for i, ((s, z), t) in enumerate(zip(totals, target, strict=True))], f"source {dict(docs.dtypes)[source_col]}, source_size long, target double, src int")
     documents = placed.alias("r").join(F.broadcast(dims).alias("d"), F.col("r.source").eqNullSafe(F.col("d.source"))).select("r.doc_id", "r._tk", "r.source", "r.size", "r.start", "d.source_size", "d.target", "d.src")
-    planned = spark.createDataFrame(plan, "shard int, src int, first long, n long, n_blocks long").repartition(n_partitions(spark))
-    taken = planned.mapInArrow(slots, "shard int, src int, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
+    taken = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     span = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
     pieces = documents.where("size > 0").select("doc_id", "_tk", "src", "size", "start", F.explode(span).alias("block"))
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.join(taken, ["src", "block"]).select("doc_id", "_tk", "start", (low - F.col("start")).alias("first"), (high - low).alias("n"), "times")
-    return documents, pieces
+    return documents, slots, pieces
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    documents, pieces = mix(docs, **options)
+    documents, _, pieces = mix(docs, **options)
     taken = pieces.groupBy("doc_id", "_tk", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     d, t = documents.alias("d"), taken.alias("t")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._tk") == F.col("t._tk")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0)

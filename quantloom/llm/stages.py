@@ -66,7 +66,7 @@ def _firsts(docs: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """What the mix takes: for each document and pass the text of its blocks that are taken in that pass; n_chars follows the text."""
-    documents, pieces = mixing.mix(docs, **options)
+    documents, _, pieces = mixing.mix(docs, **options)
     names, text_at = docs.columns, docs.columns.index("text")
     count_at = names.index("n_chars") if "n_chars" in names else None
     taken = pieces.groupBy("doc_id", "_tk", "start").agg(F.sort_array(F.collect_list(F.struct("first", "n", "times"))).alias("__pieces"))

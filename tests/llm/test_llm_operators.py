@@ -415,8 +415,68 @@ def test_mixing_parts():
     assert mixing.targets([0, 10]) == [0, 15] and mixing.targets([1, 1, 1000]) == [2, 2, 1499]
     for n in (1, 2, 3, 7, 64, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 9).tolist()) == list(range(n))
-    drawn = mixing.draw([500, 30, 7], 64, 100, 1)
-    assert np.array(drawn).sum(axis=0).tolist() == [500, 30, 7] and all(sum(x) <= 64 for x in drawn)
+    weights = np.array([500.0, 30.0, 0.0, 7.0])
+    drawn = [mixing.draw(i, weights, 537, 64, 1) for i in range(9)]
+    assert [int(x.sum()) for x in drawn] == [64] * 8 + [25] and all(x[2] == 0 for x in drawn)
+    many = sum(mixing.draw(i, weights, 64 * 5000, 64, 1) for i in range(5000))
+    assert np.allclose(many / many.sum(), weights / weights.sum(), atol=2e-3)
+    assert mixing.limits([1000, 10, 40], [2000, 2000, 20], 0.01) == [(990, 1010), (10, 10), (40, 40)]
+
+
+def brute_mix(docs, block, shard_slots, seed=9, tolerance=0.05):
+    """The mix in plain Python over the same draws: words taken of each (doc_id, text)."""
+    keyed = docs.select("doc_id", "text", "source", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("\0null")))).alias("h")).collect()
+    streams = collections.defaultdict(list)
+    for r in sorted(keyed, key=lambda r: (r.h, r.doc_id is None, r.doc_id or 0)):
+        streams[r.source] += [(r.doc_id, r.text)] * len(words(r.text))
+    order = sorted({r.source for r in keyed}, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([len(streams[s]) for s in order])
+    blocks = [-(-len(streams[s]) // block) for s in order]
+    owed = [min(2 * b, round(t / len(streams[s]) * b)) if b else 0 for s, t, b in zip(order, goal, blocks)]
+    n_shards = -(-sum(owed) // shard_slots)
+    got = sum(mixing.draw(i, np.array(owed, dtype=float), sum(owed), shard_slots, seed) for i in range(n_shards)).tolist()
+    taken = collections.Counter()
+    for i, (s, n, (least, most)) in enumerate(zip(order, got, mixing.limits(owed, blocks, tolerance))):
+        turn = mixing.permute(np.arange(blocks[i]), blocks[i], seed * 1_000_003 + i).tolist()
+        for j in range(min(max(n, least), most)):
+            at = turn[j % blocks[i]]
+            taken.update(streams[s][at * block : (at + 1) * block])
+    return taken
+
+
+def test_mixing_agrees_with_plain_python(spark, docs, monkeypatch):
+    once = docs.dropDuplicates(["doc_id", "text"]).cache()
+    got = {}
+    for n in ("1", "4", "9", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got[n] = sorted(((r.doc_id is None, r.doc_id, r.size, r.taken) for r in mixing.taken_words(once, block=2, shard_slots=64, tolerance=0.05).collect()), key=str)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got["1"] == got["4"] == got["9"] == got["211"]
+    want = brute_mix(once, 2, 64)
+    text = {r.doc_id: r.text for r in once.collect()}
+    assert got["4"] == sorted(((d is None, d, len(words(t)), want[d, t]) for d, t in text.items()), key=str)
+    # the draw decides what is taken
+    even = mixing.draw
+    monkeypatch.setattr(mixing, "draw", lambda shard, w, total, size, seed: even(shard, w[::-1].copy(), total, size, seed)[::-1])
+    assert brute_mix(once, 2, 64) != want
+    monkeypatch.setattr(mixing, "draw", lambda shard, w, total, size, seed: even(shard, w, total, size, seed + 1))
+    assert brute_mix(once, 2, 64) != want
+
+
+def test_mixing_slots(spark, docs):
+    documents, slots, _ = mixing.mix(docs, block=4, shard_slots=64)
+    found = slots.collect()
+    assert len({(r.shard, r.slot) for r in found}) == len(found) and all(0 <= r.slot < 64 for r in found)
+    times = collections.Counter((r.src, r.block) for r in found)
+    assert max(times.values()) <= 2
+    size = {r.src: r.source_size for r in documents.collect()}
+    assert all(0 <= b < -(-size[s] // 4) for s, b in times)
+    mixed_in = collections.defaultdict(set)
+    for r in found:
+        mixed_in[r.shard].add(r.src)
+    assert all(len(x) > 1 for s, x in mixed_in.items() if s < max(mixed_in) - len(size))
 
 
 # op10 ----------------------------------------------------------------------------------------------------------------
