@@ -1,20 +1,25 @@
 r"""Substring dedup with sharded phrase automata.
 
-A passage of `window` words recurs if its word sequence starts at two places of the corpus. To find all of them without
-shuffling a row for each word, every window is represented by its anchor: of its `gram`-word grams the one with the
-smallest hash (the first of equals). Equal windows have equal anchors, and neighbours mostly share one, so there are about
-2 / (window - gram + 2) anchors a word.
-
-1. Anchors are counted with partial sums; those that occur once are done with.
-2. Windows at recurring anchors are candidates. Each anchor's run of candidate windows is a segment of at most
-   2 * window - gram words. Its shard key is the anchor's hash; for anchors that occur more than `hot` times it also takes
-   in the ten words before or after the anchor, whichever the window holds, so that no key gathers unbounded rows.
-3. Segments collapse to distinct ones with their counts. Shards of about `per_shard` distinct segments confirm the
-   recurring passages on the words themselves, compile them into an Aho-Corasick automaton (pyahocorasick; a word is one
-   symbol) and stream their segments through it. What is located is joined back to the places of every document.
-
-Every window of every document is covered by exactly one segment or has an anchor that occurs once, so each occurrence of
-each recurring passage is found, and the automaton decides on exact words, not on hashes.
+A passage of `window` words recurs if its word sequence starts at two places of the corpus.
+
+1. Anchors. Every window is represented by the one of its `gram`-word grams with the smallest hash (the first of equals).
+   Equal windows have equal anchors, and neighbours mostly share one, so about 2 / (window - gram + 2) anchors a word are
+   counted, with partial sums. A window whose anchor occurs once does not recur.
+2. Confirmation. The other windows are counted by 128-bit digests of their words. A window that occurs twice or more is
+   confirmed; it is known by one representative place, the one in the document with the smallest key, and by the shards of
+   documents that hold it (one number a shard at most, so a window that a third of all documents share gathers no rows).
+3. Passages. Representative places that follow each other in a document, for one shard, are one passage: each shard gets the
+   passages whose windows its documents hold, every distinct text once, whatever the number of its copies.
+4. Automata. A shard compiles its passages into an Aho-Corasick automaton (pyahocorasick; a word is one symbol) and streams
+   all its documents, whole, through it. Patterns are each passage's blocks of (window + 1) / 2 words: every window of a
+   passage holds one. A hit is extended to both sides on the words themselves, and `window` words or more are an occurrence.
+   A block that stands in more than MANY places of passages gives way to the whole windows around it.
+
+Only the automaton says where a document loses words: what is counted before names passages by one place each. An
+occurrence in a document is always found, since its windows route a passage that holds them to the document's shard.
+
+Bounds: a shard is about `shard_words` words of documents; an automaton takes at most AUTOMATON_WORDS words of passages and a
+shard with more makes several, through which its documents are streamed one after the other.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; a row that repeats id and text is
 another place, so both lose all their windows; null ids are kept; an empty table gives an empty result; extra columns
@@ -32,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, n_partitions, release, scratch, text_key, words_of
+from quantloom.llm.common import n_partitions, release, scratch, text_key, words_of
 
-WINDOW, GRAM, CONTEXT = 35, 8, 10
+WINDOW, GRAM = 35, 8
+MANY, AUTOMATON_WORDS = 16, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
+_SYMBOLS = np.uint64(1_000_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +52,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    """128 bits a word, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
 
 
 def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
@@ -65,12 +73,11 @@ def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
         return _mix(out)
 
 
-def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a text the place of its anchor gram; and the hashes of all grams."""
-    n = len(words)
-    if n < window:
+def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a text the place of its anchor gram; and the hashes of all grams. hashes: one number a word."""
+    if len(hashes) < window:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    g = gram_hashes(word_hashes(words), gram)
+    g = gram_hashes(hashes, gram)
     at, width, done = np.arange(len(g)), window - gram + 1, 1
     while done < width:
         step = min(done, width - done)
@@ -82,16 +89,19 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk"))
-    return keyed.withColumn("dk", F.xxhash64("doc_id", "tk"))
+    return keyed.select("doc_id", "text", F.xxhash64("doc_id", "tk").alias("dk"))
 
 
 def _count_anchors(window: int, gram: int):
+    """dk, h, c: each document's anchors and how many places of it they have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, hashes, counts = [], [], []
             for dk, text in zip(np.asarray(b.column(0)), b.column(1), strict=True):
-                at, g = anchors(words_of(text.as_py()), window, gram)
-                if len(at):
+                words = words_of(text.as_py())
+                if len(words) >= window:
+                    at, g = anchors(np.ascontiguousarray(word_hashes(words)[:, 0]), window, gram)
                     h, c = np.unique(g[np.unique(at)], return_counts=True)
                     keys.append(np.full(len(h), dk))
                     hashes.append(h.view(np.int64))
@@ -102,160 +112,215 @@ def _count_anchors(window: int, gram: int):
     return run
 
 
-def _segments(window: int, gram: int):
-    """Segments of candidate windows: shard key, segment hash, place, words."""
+def _digests(window: int, gram: int):
+    """dk, w1, w2, pos, c: the windows at known anchors, each distinct one of a document once with its first place and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for dk, text, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                words = words_of(text.as_py())
-                at, g = anchors(words, window, gram)
-                hashes = np.asarray(known.values.field(0)).view(np.uint64)
-                often = dict(zip(hashes.tolist(), np.asarray(known.values.field(1)).tolist(), strict=True))
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-                keys = g[at[starts[:-1]]]
-                for r in np.flatnonzero(np.isin(keys, hashes)):
-                    first, stop, p, h = int(starts[r]), int(starts[r + 1]), int(at[starts[r]]), int(keys[r])
-                    parts = [(first, stop, h)]
-                    if often[h]:
-                        turn = min(stop, max(first, p - CONTEXT + 1))  # windows before it hold CONTEXT words before the anchor, later ones as many after it
-                        parts = []
-                        if turn > first:
-                            parts.append((first, turn, xxhash.xxh64_intdigest(b"<" + b" ".join(words[p - CONTEXT : p]), h)))
-                        if stop > turn:
-                            parts.append((turn, stop, xxhash.xxh64_intdigest(b">" + b" ".join(words[p + gram : p + gram + CONTEXT]), h)))
-                    for lo, hi, key in parts:
-                        said = b" ".join(words[lo : hi - 1 + window])
-                        for c, v in zip(cols, (key, xxhash.xxh64_intdigest(said, 7), dk, lo, said), strict=True):
-                            c.append(v)
-            as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([as_long(cols[0]), as_long(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["sk", "sh", "dk", "start", "seg"])
+            for lo in range(0, b.num_rows, 1_000):
+                cols: list[list] = [[] for _ in range(5)]
+                part = b.slice(lo, 1_000)
+                for dk, text, known in zip(np.asarray(part.column(0)), part.column(1), part.column(2), strict=True):
+                    hashes = word_hashes(words_of(text.as_py()))
+                    one, two = (np.ascontiguousarray(hashes[:, i]) for i in (0, 1))
+                    at, g = anchors(one, window, gram)
+                    pos = np.flatnonzero(np.isin(g[at], np.asarray(known.values).view(np.uint64)))
+                    if not len(pos):
+                        continue
+                    w1, w2 = gram_hashes(one, window)[pos], gram_hashes(two, window)[pos]
+                    order = np.lexsort((pos, w2, w1))
+                    w1, w2, pos = w1[order], w2[order], pos[order]
+                    first = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+                    count = np.diff(np.concatenate([first, [len(pos)]]))
+                    for c, v in zip(cols, (np.full(len(first), dk), w1[first].view(np.int64), w2[first].view(np.int64), pos[first].astype(np.int32), count.astype(np.int32)), strict=True):
+                        c.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["dk", "w1", "w2", "pos", "c"])
+
+    return run
+
+
+def _passages(window: int):
+    """shard, text: the runs of representative places, as passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards, texts, size = [], [], 0
+            for shard, places, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                words, pos = words_of(text.as_py()), np.sort(np.asarray(places.values))
+                for stretch in np.split(pos, np.flatnonzero(np.diff(pos) > 1) + 1):
+                    said = b" ".join(words[stretch[0] : stretch[-1] + window])
+                    shards.append(shard)
+                    texts.append(said)
+                    size += len(said)
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], names=["shard", "text"])
+                    shards, texts, size = [], [], 0
+            if shards:
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], names=["shard", "text"])
 
     return run
 
 
+def symbols(words: list[bytes]) -> str:
+    """A character for each word. Words that share one are told apart when a hit is extended."""
+    codes = word_hashes(words)[:, 0] % _SYMBOLS + np.uint64(32)
+    codes += np.uint64(0x800) * (codes >= np.uint64(0xD800))  # without surrogates
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
 class PassageAutomaton:
-    """Recurring passages of one shard: confirmed by counting their exact words, located with Aho-Corasick."""
-
-    def __init__(self, window: int) -> None:
-        self.window, self.ids, self.counts = window, {}, {}
-
-    def symbols(self, segment: bytes) -> str:
-        """A segment with a character for each word; surrogates are left out."""
-        out = []
-        for w in segment.split(b" "):
-            i = self.ids.setdefault(w, len(self.ids))
-            out.append(chr(i + 32 if i < 0xD7E0 else i + 0x820))
-        return "".join(out)
-
-    def add(self, said: str, n: int) -> None:
-        for i in range(len(said) - self.window + 1):
-            w = said[i : i + self.window]
-            self.counts[w] = self.counts.get(w, 0) + n
-
-    def compile(self) -> bool:
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for w, n in self.counts.items():
-            if n > 1:
-                self.automaton.add_word(w, n)
-        self.counts = {}
-        if not len(self.automaton):
-            return False
-        self.automaton.make_automaton()
-        return True
-
-    def locate(self, said: str) -> list[int]:
-        """Starts of recurring passages."""
-        return [end - self.window + 1 for end, _ in self.automaton.iter(said)]
-
-
-def _locate(window: int):
-    """Streams shards, which arrive in order: for each distinct segment the runs of starts that recur, as [first, last, ...]."""
+    """An Aho-Corasick automaton over blocks of passages, and where in which passage they stand."""
+
+    def __init__(self, passages: list[list[bytes]], window: int = WINDOW) -> None:
+        self.passages, self.window, block = passages, window, (window + 1) // 2
+        self.automaton, found = ahocorasick.Automaton(), {}
+        said = [symbols(p) for p in passages]
+        for i, s in enumerate(said):
+            for at in range(0, len(s) - block + 1, block):
+                found.setdefault(s[at : at + block], []).append((i, at))
+        whole: dict[str, list] = {}
+        for key, places in found.items():
+            if len(places) <= MANY:
+                self.automaton.add_word(key, (block, places))
+                continue
+            for i, at in places:
+                for first in range(max(0, at + block - window), min(at, len(said[i]) - window) + 1):
+                    whole.setdefault(said[i][first : first + window], []).append((i, first))
+        for key, places in whole.items():
+            self.automaton.add_word(key, (window, sorted(set(places))))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def cover(self, words: list[bytes], covered: np.ndarray) -> None:
+        """Marks the words of all occurrences in covered."""
+        if not len(self.automaton) or len(words) < self.window:
+            return
+        reach: dict[tuple[int, int], int] = {}
+        n = len(words)
+        for end, (size, places) in self.automaton.iter(symbols(words)):
+            x = end - size + 1
+            for i, at in places:
+                line = (i, x - at)
+                if reach.get(line, -1) >= x + size:
+                    continue
+                said = self.passages[i]
+                if words[x : x + size] != said[at : at + size]:
+                    continue
+                lo, a = x, at
+                while lo and a and words[lo - 1] == said[a - 1]:
+                    lo, a = lo - 1, a - 1
+                hi, z, last = x + size, at + size, len(said)
+                while hi < n and z < last and words[hi] == said[z]:
+                    hi, z = hi + 1, z + 1
+                reach[line] = hi
+                if hi - lo >= self.window:
+                    covered[lo:hi] = True
+
+
+def _groups(passages: list[list[bytes]], limit: int) -> list[list[list[bytes]]]:
+    """Passages in groups of at most `limit` words (or one passage)."""
+    out, size = [[]], 0
+    for p in passages:
+        if out[-1] and size + len(p) > limit:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += len(p)
+    return out
+
+
+def _stream(window: int, limit: int = AUTOMATON_WORDS):
+    """Shards arrive one after the other, their passages (kind 0) before their documents (kind 1): doc_id, n_words, n_removed, kept of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            automaton = PassageAutomaton(window)
-            said = [automaton.symbols(seg) for _, _, seg, _ in rows]
-            for s, (_, _, _, n) in zip(said, rows, strict=True):
-                automaton.add(s, n)
-            if not automaton.compile():
-                return
-            keys, hashes, runs = [], [], []
-            for s, (sk, sh, _, _) in zip(said, rows, strict=True):
-                starts = np.array(automaton.locate(s), dtype=np.int32)
-                if len(starts):
-                    breaks = np.flatnonzero(np.diff(starts) > 1)
-                    pairs = np.stack([starts[np.concatenate([[0], breaks + 1])], starts[np.concatenate([breaks, [len(starts) - 1]])]], axis=1)
-                    keys.append(sk)
-                    hashes.append(sh)
-                    runs.append(pairs.ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["sk", "sh", "runs"])
-
-        now, rows = None, []
+        kind_of_id = None
+
+        def emit(done: list[tuple]) -> pa.RecordBatch:
+            ids, sizes, removed, kept = (list(c) for c in zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind_of_id), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+        def row(doc_id, words: list[bytes], covered: np.ndarray) -> tuple:
+            n = int(covered.sum())
+            return doc_id, len(words), n, b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c) if n else b" ".join(words)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The documents of a shard with several automata: each is compiled once, one at a time."""
+            covers = [np.zeros(len(text.split()), dtype=bool) for _, text in spooled]
+            for group in groups:
+                automaton = PassageAutomaton(group, window)
+                for (_, text), covered in zip(spooled, covers, strict=True):
+                    automaton.cover(text.split(), covered)
+            for lo in range(0, len(spooled), 500):
+                yield emit([row(i, text.split(), c) for (i, text), c in zip(spooled[lo : lo + 500], covers[lo : lo + 500], strict=True)])
+
+        now, passages, groups, automaton, spooled = None, [], None, None, []
         for b in batches:
-            for shard, *row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if shard != now and rows:
-                    yield from done(rows)
-                    rows = []
-                now = shard
-                rows.append(row)
-        if rows:
-            yield from done(rows)
+            kind_of_id, done, size = b.column(2).type, [], 0
+            for shard, kind, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if shard != now:
+                    if spooled:
+                        yield from flush()
+                    now, passages, groups, automaton, spooled = shard, [], None, None, []
+                words = words_of(text.as_py())
+                if kind == 0:
+                    passages.append(words)
+                    continue
+                if groups is None:
+                    groups, passages = _groups(passages, limit), []
+                    automaton = PassageAutomaton(groups[0], window) if len(groups) == 1 else None
+                if automaton is None:
+                    spooled.append((doc_id, b" ".join(words)))
+                    continue
+                covered = np.zeros(len(words), dtype=bool)
+                automaton.cover(words, covered)
+                done.append(row(doc_id, words, covered))
+                size += len(done[-1][3])
+                if size > 4_000_000:
+                    yield emit(done)
+                    done, size = [], 0
+            if done:
+                yield emit(done)
+        if spooled:
+            yield from flush()
 
     return run
 
 
-def recurring_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 512, per_shard: int = 2_000) -> DataFrame:
-    """dk, spans (array of first word, end word) of each document that holds recurring passages. keyed: dk, text."""
+def shard_passages(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = 4_000_000) -> tuple[DataFrame, int]:
+    """(shard, text: the recurring passages that each shard's documents hold; the number of shards). keyed: dk, text."""
     spark = keyed.sparkSession
     path = scratch(spark, "anchors")
     keyed.select("dk", "text").mapInArrow(_count_anchors(window, gram), "dk long, h long, c int").write.option("compression", "zstd").parquet(path)
     found = spark.read.parquet(path)
+    words_an_anchor = (window - gram + 2) // 2
+    n_shards = max(4 * n_partitions(spark), found.count() * words_an_anchor // shard_words)
     often = found.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1")
-    known = found.select("dk", "h").join(often, "h").groupBy("dk").agg(F.collect_set(F.struct("h", (F.col("n") > hot).alias("hot"))).alias("known"))
-    path = scratch(spark, "segments")
-    keyed.select("dk", "text").join(known, "dk").select("dk", "text", "known").mapInArrow(_segments(window, gram), "sk long, sh long, dk long, start int, seg binary").write.option("compression", "zstd").parquet(path)
+    known = found.select("dk", "h").join(often.select("h"), "h").groupBy("dk").agg(F.collect_list("h").alias("known"))
+    windows = keyed.select("dk", "text").join(known, "dk").select("dk", "text", "known").mapInArrow(_digests(window, gram), "dk long, w1 long, w2 long, pos int, c int")
+    confirmed = windows.groupBy("w1", "w2").agg(F.sum("c").alias("n"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.collect_set(_shard("dk", n_shards)).alias("shards")).where("n > 1")
+    places = confirmed.select("rep", "pos", F.explode("shards").alias("shard")).groupBy("rep", "shard").agg(F.collect_list("pos").alias("places"))
+    path = scratch(spark, "places")
+    places.write.option("compression", "zstd").parquet(path)
     release(spark)
     placed = spark.read.parquet(path)
-    distinct = placed.groupBy("sk", "sh", "seg").agg(F.count("*").alias("n"))
-    n_shards = max(n_partitions(spark), -(-placed.count() // per_shard))
-    sharded = distinct.select(F.pmod(F.col("sk"), F.lit(n_shards)).alias("shard"), "sk", "sh", "seg", "n").repartition(n_partitions(spark), "shard").sortWithinPartitions("shard")
-    located = cut(sharded.mapInArrow(_locate(window), "sk long, sh long, runs array<int>"))
-    release(spark)
-    runs = placed.select("sk", "sh", "dk", "start").join(located, ["sk", "sh"])
-    pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("runs", i)).alias("a"), (F.col("start") + F.get("runs", i + 1) + window).alias("b")))
-    return runs.select("dk", pairs.alias("p")).groupBy("dk").agg(F.flatten(F.collect_list("p")).alias("spans"))
+    holders = keyed.select("dk", "text").join(placed, F.col("dk") == F.col("rep")).select("shard", "places", "text")
+    return holders.mapInArrow(_passages(window), "shard int, text string"), n_shards
 
 
-def kept_words(words: list[bytes], spans: list | None) -> tuple[int, list[bytes]]:
-    """How many words the spans cover, and the others."""
-    if not spans:
-        return 0, words
-    cover = np.zeros(len(words) + 1, dtype=np.int64)
-    for s in spans:
-        cover[s["a"]] += 1
-        cover[s["b"]] -= 1
-    keep = np.cumsum(cover[:-1]) == 0
-    return int((~keep).sum()), [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+def _shard(dk: str, n_shards: int):
+    return F.pmod(F.xxhash64(dk), F.lit(n_shards)).cast("int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for every row."""
     keyed = _documents(docs, id_col, text_col)
-    marked = keyed.select("doc_id", "text", "dk").join(recurring_spans(keyed, window, **options), "dk", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part, rows = b.slice(lo, 500), []
-                for text, spans in zip(part.column(1), part.column(2), strict=True):
-                    words = words_of(text.as_py())
-                    n, kept = kept_words(words, spans.as_py())
-                    rows.append((len(words), n, b" ".join(kept)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return marked.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept binary")
+    kind = dict(docs.dtypes)[id_col]
+    passages, n_shards = shard_passages(keyed, window, **options)
+    patterns = passages.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"), "text")
+    streamed = keyed.select(_shard("dk", n_shards).alias("shard"), F.lit(1).alias("kind"), "doc_id", "text")
+    sharded = patterns.unionByName(streamed).repartition(n_partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "kind")
+    return sharded.mapInArrow(_stream(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -264,4 +329,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-__all__ = ["PassageAutomaton", "anchors", "query", "recurring_spans", "remove_repeats"]
+__all__ = ["PassageAutomaton", "anchors", "query", "remove_repeats", "shard_passages"]

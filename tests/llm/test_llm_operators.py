@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,9 +134,9 @@ def brute_repeats(data, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 512])
-def test_phrase_dedup(docs, empty, hot):
-    got = phrase_dedup.remove_repeats(docs, hot=hot, per_shard=5).collect()
+@pytest.mark.parametrize("shard_words", [4_000_000, 400])
+def test_phrase_dedup(docs, empty, shard_words):
+    got = phrase_dedup.remove_repeats(docs, shard_words=shard_words).collect()
     want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 35)
     key = lambda x: (x[0] is None, x)
     assert sorted([(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got], key=key) == sorted(want, key=key)
@@ -143,8 +144,53 @@ def test_phrase_dedup(docs, empty, hot):
     assert phrase_dedup.remove_repeats(empty).count() == 0
 
 
+def test_phrase_dedup_of_few_words(spark):
+    """Texts over two to six words: many windows recur, in themselves, too, and blocks stand in many places."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        n = int(rng.integers(2, 7))
+        rows.append((i, " ".join("abcdef"[int(x)] for x in rng.integers(0, n, int(rng.integers(1, 300)) if i % 3 else 80))))
+        if i % 4 == 0:
+            rows.append((100 + i, rows[-1][1][10:] + " z " + rows[0][1][:90]))
+    rows += [(200, "a " * 200), (201, "x " + "a " * 50), (202, "a b " * 90)]
+    for window, gram in ((35, 8), (6, 3), (1, 1)):
+        got = phrase_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window, gram=gram).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == sorted(brute_repeats(rows, window))
+
+
+def test_automaton_locates(docs):
+    """What the automaton finds in whole documents is what goes; without its passages nothing goes; groups of automata agree with one."""
+    data = [(r.doc_id, (r.text or "").encode().split()) for r in docs.collect()]
+    seen = collections.Counter(tuple(w[i : i + 35]) for _, w in data for i in range(len(w) - 34))
+    passages = [list(p) for p, n in seen.items() if n > 1]
+    one, none = phrase_dedup.PassageAutomaton(passages), phrase_dedup.PassageAutomaton([])
+    total = 0
+    for _, w in data:
+        want, got, bare, parts = (np.zeros(len(w), dtype=bool) for _ in range(4))
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                want[i : i + 35] = True
+        one.cover(w, got)
+        none.cover(w, bare)
+        for group in phrase_dedup._groups(passages, 400):
+            phrase_dedup.PassageAutomaton(group).cover(w, parts)
+        assert (got == want).all() and (parts == want).all() and not bare.any()
+        total += got.sum()
+    assert total > 500
+
+
+def test_shards_stream_their_documents(docs):
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(0, 0, None, passage), (0, 1, 1, "x " + passage + " y"), (0, 1, 2, None), (1, 1, 3, passage), (2, 0, None, passage), (2, 0, None, passage.replace("p", "q")), (2, 1, 4, passage.replace("p", "q") + " " + passage + " z")]
+    for limit in (phrase_dedup.AUTOMATON_WORDS, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["shard", "kind", "doc_id", "text"]) for part in (rows[:2], rows[2:5], rows[5:])]
+        got = [tuple(r.values()) for b in phrase_dedup._stream(35, limit)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == [(1, 52, 50, b"x y"), (2, 0, 0, b""), (3, 50, 0, passage.encode()), (4, 101, 100, b"z")]
+
+
 def test_anchors_depend_on_the_window_alone():
-    w = [b"%d" % (i * i % 17) for i in range(200)]
+    w = phrase_dedup.word_hashes([b"%d" % (i * i % 17) for i in range(200)])[:, 0].copy()
     at, g = phrase_dedup.anchors(w)
     for i in range(0, len(at), 13):
         own, h = phrase_dedup.anchors(w[i : i + 35])
