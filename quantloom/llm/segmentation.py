@@ -19,7 +19,6 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 import re
@@ -307,9 +306,9 @@ class _Index(dict):
 class Sampler:
     """Segments texts; see the module's docstring. Lattices of the units seen first serve all batches, up to KEPT characters of them."""
 
-    KEPT = 600_000
+    KEPT = 400_000
 
-    def __init__(self, model: str = MODEL, k: int = 4, alpha: float = 0.5, seed: int = 1) -> None:
+    def __init__(self, model: str = MODEL, k: int = 2, alpha: float = 0.5, seed: int = 1) -> None:
         self.pieces, self.k, self.seed = Pieces(model, alpha), k, seed
         self.index, self.lattices = _Index(), Lattices()
         self.said = np.array([self._bytes(i) for i in range(self.pieces.sp.get_piece_size())], dtype=object)
@@ -321,6 +320,10 @@ class Sampler:
             return bytes([int(sp.id_to_piece(i)[1:-1], 16)])
         return b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
 
+    def texts(self) -> pa.Array:
+        """Every piece's text, by id."""
+        return pa.array([self.pieces.sp.id_to_piece(i) for i in range(len(self.said))], pa.string())
+
     def _lattice(self, units: list[str]) -> tuple[Lattices, np.ndarray, tuple[int, int, int]]:
         """The lattices, each unit's place in them, and what of them was there before; _forget() takes the rest away once there are KEPT nodes."""
         index, before = self.index, self.lattices.used
@@ -440,35 +443,32 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tup
         yield rows
 
 
-def sample_segmentations(docs: DataFrame, k: int = 4, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 250_000, with_ids: bool = True) -> DataFrame:
-    """A row for each sample: doc_id, sample (0 first), n_pieces, logp, gumbel, log_inclusion, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and round_trip (the decoded ids against the text), and the ids unless with_ids is false."""
+def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 125_000, with_pieces: bool = False) -> DataFrame:
+    """A row for each sample: doc_id, sample (0 first), n_pieces, logp, gumbel, log_inclusion, round_trip (the decoded ids are the text) and ids; with_pieces: the pieces' texts in addition."""
     kind = dict(docs.dtypes)[id_col]
+    names = ["doc_id", "sample", "n_pieces", "logp", "gumbel", "log_inclusion", "round_trip", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model, k, alpha, seed)
         for rows in _grouped(batches, batch_chars):
-            cols: list[list] = [[] for _ in range(10)]
+            cols: list[list] = [[] for _ in names]
             for (key, text), found in zip(rows, sampler.batch(rows), strict=True):
                 data = utf8(text)
-                whole = hashlib.sha256(data).hexdigest()
                 for i, (ids, logp, gumbel, inclusion) in enumerate(found):
-                    said = sampler.decoded(ids)
-                    same = said == data
-                    values = (key, i, len(ids), logp, gumbel, inclusion, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), whole if same else hashlib.sha256(said).hexdigest(), same, ids)
-                    for c, v in zip(cols, values, strict=True):
+                    for c, v in zip(cols, (key, i, len(ids), logp, gumbel, inclusion, sampler.decoded(ids) == data, ids), strict=True):
                         c.append(v)
-            kinds = [None, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
+            kinds = [None, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]
             if arrays[0].type == pa.null():
                 arrays[0] = arrays[0].cast(pa.int64())
-            names = ["doc_id", "sample", "n_pieces", "logp", "gumbel", "log_inclusion", "ids_sha256", "decoded_sha256", "round_trip"]
-            if with_ids:
-                flat = np.concatenate(cols[9]) if cols[9] else np.zeros(0, dtype=np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[9]])]).astype(np.int32)), pa.array(flat)))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = f"doc_id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else "")
+            ends = pa.array(np.concatenate([[0], np.cumsum(cols[2])]).astype(np.int32))
+            flat = pa.array(np.concatenate(cols[7]))
+            arrays.append(pa.ListArray.from_arrays(ends, flat))
+            if with_pieces:
+                arrays.append(pa.ListArray.from_arrays(ends, sampler.texts().take(flat)))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "pieces"][: len(arrays)])
+
+    schema = f"doc_id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, round_trip boolean, ids array<int>" + (", pieces array<string>" if with_pieces else "")
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
@@ -490,5 +490,5 @@ def decode_ids(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op1: two distinct sampled segmentations of every document, with their inclusion scores and decoded texts' digests."""
-    return sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, with_ids=False)
+    """op1: two distinct sampled segmentations of every document: their piece ids and inclusion scores."""
+    return sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -109,6 +109,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return joined.mapInArrow(run, docs.schema)
 
 
-def segmented(docs: DataFrame, k: int = 2) -> DataFrame:
-    """The sampled segmentations of every row."""
-    return segmentation.sample_segmentations(docs, k=k, with_ids=False)
+def segmented(docs: DataFrame, **options) -> DataFrame:
+    """The sampled segmentations of every row: piece ids and inclusion scores (see segmentation.sample_segmentations)."""
+    return segmentation.sample_segmentations(docs, **options)

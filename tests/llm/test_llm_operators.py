@@ -108,11 +108,13 @@ def test_segmentation_operator(spark, docs, empty):
     assert len(by[70]) == len(by[71]) == 1 and by[70][0].n_pieces == 0  # null and empty
     assert all(len({tuple(r.ids) for r in rows if r.sample < 3}) == 3 for i, rows in by.items() if i not in (3, 70, 71, 72))
     again = segmentation.sample_segmentations(docs.repartition(7), k=3, batch_chars=500).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id, r.sample, r.ids_sha256)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.sample, r.ids)
     assert sorted(map(key, out)) == sorted(map(key, again))
     decoded = segmentation.decode_ids(segmentation.sample_segmentations(docs, k=1)).collect()
     assert all(r.text == (text[r.doc_id] or "") for r in decoded)
     assert segmentation.sample_segmentations(empty).count() == 0
+    said = segmentation.sample_segmentations(docs, with_pieces=True).where("doc_id = 73").first()
+    assert "".join(said.pieces) == "▁one" and len(said.pieces) == len(said.ids) == said.n_pieces
 
 
 # op2 -----------------------------------------------------------------------------------------------------------------
@@ -588,7 +590,9 @@ def test_stages(spark, docs, empty):
     assert mixed.columns == columns
     total = sum(len(words(r.text)) for r in docs.dropDuplicates(["doc_id", "text"]).collect())
     assert 1.2 * total < sum(len(words(r.text)) for r in mixed.collect()) < 1.8 * total
-    assert set(stages.segmented(docs).columns) >= {"doc_id", "sample", "ids_sha256"}
+    cut_up = segmentation.decode_ids(stages.segmented(docs)).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.text == texts[r.doc_id] and r.round_trip for r in cut_up) and {r.doc_id for r in cut_up} == set(texts)
     for stage in (stages.without_near_duplicates, stages.without_repeated_lines, stages.mixed, stages.segmented):
         assert stage(empty).count() == 0
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
