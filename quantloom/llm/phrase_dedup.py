@@ -3,13 +3,15 @@ r"""Substring dedup with sharded phrase automata.
 A passage of `window` words recurs if its word sequence starts at two places of the corpus.
 
 1. Anchors. Every window is represented by the one of its `gram`-word grams with the smallest hash (the first of equals).
-   Equal windows have equal anchors, and neighbours mostly share one, so about 2 / (window - gram + 2) anchors a word are
-   counted, with partial sums. A window whose anchor occurs once does not recur.
-2. Confirmation. The other windows are counted by 128-bit digests of their words. A window that occurs twice or more is
-   confirmed; it is known by one representative place, the one in the document with the smallest key, and by the shards of
-   documents that hold it (one number a shard at most, so a window that a third of all documents share gathers no rows).
-3. Passages. Representative places that follow each other in a document, for one shard, are one passage: each shard gets the
-   passages whose windows its documents hold, every distinct text once, whatever the number of its copies.
+   Equal windows have equal anchors, and neighbours mostly share one: the windows of a document at one anchor are a segment
+   of at most 2 * window - gram words, about one for 2 / (window - gram + 2) words. Segments are the only rows that all
+   documents give; those whose anchor stands in one place alone are done with.
+2. Confirmation. Segments are counted by 128 bits of their words. All windows of a segment that occurs twice or more recur.
+   Windows of the others recur only if they stand in another segment at the same anchor; those of all such segments are
+   counted by 128 bits of their words. Each segment or window that recurs is known by one place, in the document with the
+   smallest key, and by the shards of documents that hold it (a number a shard, however many copies there are).
+3. Passages. Known places that follow each other in a document, for one shard, are one passage: each shard gets the
+   passages that its documents hold, every text once, whatever the number of its copies.
 4. Automata. A shard compiles its passages into an Aho-Corasick automaton (pyahocorasick; a word is one symbol) and streams
    all its documents, whole, through it. Patterns are each passage's blocks of (window + 1) / 2 words: every window of a
    passage holds one. A hit is extended to both sides on the words themselves, and `window` words or more are an occurrence.
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,50 +95,51 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.select("doc_id", "text", F.xxhash64("doc_id", "tk").alias("dk"))
 
 
-def _count_anchors(window: int, gram: int):
-    """dk, h, c: each document's anchors and how many places of it they have."""
+def _segments(window: int, gram: int):
+    """h, s, dk, pos, n: the segments of every document: 64 bits of the anchor's words and 64 of all words, the first window and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, hashes, counts = [], [], []
+            cols: list[list] = [[] for _ in range(5)]
             for dk, text in zip(np.asarray(b.column(0)), b.column(1), strict=True):
                 words = words_of(text.as_py())
-                if len(words) >= window:
-                    at, g = anchors(np.ascontiguousarray(word_hashes(words)[:, 0]), window, gram)
-                    h, c = np.unique(g[np.unique(at)], return_counts=True)
-                    keys.append(np.full(len(h), dk))
-                    hashes.append(h.view(np.int64))
-                    counts.append(c)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32))], names=["dk", "h", "c"])
+                if len(words) < window:
+                    continue
+                hashes = word_hashes(words)
+                at, g = anchors(np.ascontiguousarray(hashes[:, 0]), window, gram)
+                w = gram_hashes(np.ascontiguousarray(hashes[:, 1]), window)
+                first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+                n = np.diff(np.concatenate([first, [len(at)]]))
+                with np.errstate(over="ignore"):  # the first and the last window hold all words between them
+                    s = _mix(w[first] * np.uint64(_BASE) + _mix(w[first + n - 1]) + n.astype(np.uint64))
+                for c, v in zip(cols, (g[at[first]].view(np.int64), s.view(np.int64), np.full(len(first), dk), first.astype(np.int32), n.astype(np.int32)), strict=True):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "s", "dk", "pos", "n"])
 
     return run
 
 
-def _digests(window: int, gram: int):
-    """dk, w1, w2, pos, c: the windows at known anchors, each distinct one of a document once with its first place and its count."""
+def _windows(window: int):
+    """w1, w2, dk, pos, count, shard: the windows of segments; a shard only for segments that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1_000):
-                cols: list[list] = [[] for _ in range(5)]
+                cols: list[list] = [[] for _ in range(6)]
                 part = b.slice(lo, 1_000)
                 for dk, text, known in zip(np.asarray(part.column(0)), part.column(1), part.column(2), strict=True):
                     hashes = word_hashes(words_of(text.as_py()))
-                    one, two = (np.ascontiguousarray(hashes[:, i]) for i in (0, 1))
-                    at, g = anchors(one, window, gram)
-                    pos = np.flatnonzero(np.isin(g[at], np.asarray(known.values).view(np.uint64)))
-                    if not len(pos):
-                        continue
-                    w1, w2 = gram_hashes(one, window)[pos], gram_hashes(two, window)[pos]
-                    order = np.lexsort((pos, w2, w1))
-                    w1, w2, pos = w1[order], w2[order], pos[order]
-                    first = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
-                    count = np.diff(np.concatenate([first, [len(pos)]]))
-                    for c, v in zip(cols, (np.full(len(first), dk), w1[first].view(np.int64), w2[first].view(np.int64), pos[first].astype(np.int32), count.astype(np.int32)), strict=True):
+                    first, n, count, shard = (np.asarray(known.values.field(i)) for i in range(4))
+                    each = np.repeat(np.arange(len(first)), n)
+                    pos = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    w = [gram_hashes(np.ascontiguousarray(hashes[:, i]), window)[pos].view(np.int64) for i in (0, 1)]
+                    for c, v in zip(cols, (*w, np.full(len(pos), dk), pos.astype(np.int32), count[each], shard[each]), strict=True):
                         c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["dk", "w1", "w2", "pos", "c"])
+                    arrays = [pa.array(np.concatenate(c)) for c in cols]
+                    arrays[5] = pc.if_else(pc.greater_equal(arrays[5], 0), arrays[5], pa.scalar(None, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(arrays, names=["w1", "w2", "dk", "pos", "count", "shard"])
 
     return run
 
@@ -147,9 +151,13 @@ def _passages(window: int):
         for b in batches:
             shards, texts, size = [], [], 0
             for shard, places, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                words, pos = words_of(text.as_py()), np.sort(np.asarray(places.values))
-                for stretch in np.split(pos, np.flatnonzero(np.diff(pos) > 1) + 1):
-                    said = b" ".join(words[stretch[0] : stretch[-1] + window])
+                words = words_of(text.as_py())
+                first, n = (np.asarray(places.values.field(i)) for i in (0, 1))
+                order = np.argsort(first)
+                first, last = first[order], np.maximum.accumulate((first + n)[order])  # of windows
+                cuts = np.concatenate([[0], np.flatnonzero(first[1:] > last[:-1]) + 1, [len(first)]])
+                for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    said = b" ".join(words[first[a] : last[z - 1] - 1 + window])
                     shards.append(shard)
                     texts.append(said)
                     size += len(said)
@@ -289,22 +297,31 @@ def _stream(window: int, limit: int = AUTOMATON_WORDS):
 
 def shard_passages(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = 4_000_000) -> tuple[DataFrame, int]:
     """(shard, text: the recurring passages that each shard's documents hold; the number of shards). keyed: dk, text."""
-    spark = keyed.sparkSession
-    path = scratch(spark, "anchors")
-    keyed.select("dk", "text").mapInArrow(_count_anchors(window, gram), "dk long, h long, c int").write.option("compression", "zstd").parquet(path)
+    spark, texts = keyed.sparkSession, keyed.select("dk", "text")
+    path = scratch(spark, "segments")
+    texts.mapInArrow(_segments(window, gram), "h long, s long, dk long, pos int, n int").write.option("compression", "zstd").parquet(path)
     found = spark.read.parquet(path)
-    words_an_anchor = (window - gram + 2) // 2
-    n_shards = max(4 * n_partitions(spark), found.count() * words_an_anchor // shard_words)
-    often = found.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1")
-    known = found.select("dk", "h").join(often.select("h"), "h").groupBy("dk").agg(F.collect_list("h").alias("known"))
-    windows = keyed.select("dk", "text").join(known, "dk").select("dk", "text", "known").mapInArrow(_digests(window, gram), "dk long, w1 long, w2 long, pos int, c int")
-    confirmed = windows.groupBy("w1", "w2").agg(F.sum("c").alias("n"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.collect_set(_shard("dk", n_shards)).alias("shards")).where("n > 1")
-    places = confirmed.select("rep", "pos", F.explode("shards").alias("shard")).groupBy("rep", "shard").agg(F.collect_list("pos").alias("places"))
+    n_shards = max(4 * n_partitions(spark), found.count() * ((window - gram + 2) // 2) // shard_words)
+    often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # an expression of h as key, so that this aggregation has an exchange of its own with partial sums: the join may be split where an anchor is hot
+    same = found.join(often, "h").withColumn("anchor", F.expr("h + 0L")).groupBy("anchor", "s")
+    counted = same.agg(F.count("*").alias("count"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.min("n").alias("n"), F.collect_set(_shard("dk", n_shards)).alias("shards"))
+    path = scratch(spark, "distinct")
+    counted.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    distinct = spark.read.parquet(path)
+    single = F.when(F.col("count") == 1, F.col("shards")[0]).otherwise(-1)
+    open_ = distinct.join(distinct.where("count = 1").select("anchor").distinct(), "anchor", "left_semi")
+    open_ = open_.groupBy("rep").agg(F.collect_list(F.struct("pos", "n", F.col("count").cast("long").alias("count"), single.cast("int").alias("shard"))).alias("known"))
+    windows = texts.join(open_, F.col("dk") == F.col("rep")).select("dk", "text", "known").mapInArrow(_windows(window), "w1 long, w2 long, dk long, pos int, count long, shard int")
+    confirmed = windows.groupBy("w1", "w2").agg(F.sum("count").alias("count"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.collect_set("shard").alias("shards")).where("count > 1")
+    parts = confirmed.select("rep", "pos", F.lit(1).alias("n"), "shards").unionByName(distinct.where("count > 1").select("rep", "pos", "n", "shards"))
+    places = parts.select("rep", "pos", "n", F.explode("shards").alias("shard")).groupBy("rep", "shard").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
     path = scratch(spark, "places")
     places.write.option("compression", "zstd").parquet(path)
     release(spark)
     placed = spark.read.parquet(path)
-    holders = keyed.select("dk", "text").join(placed, F.col("dk") == F.col("rep")).select("shard", "places", "text")
+    holders = texts.join(placed, F.col("dk") == F.col("rep")).select("shard", "places", "text")
     return holders.mapInArrow(_passages(window), "shard int, text string"), n_shards
 
 
