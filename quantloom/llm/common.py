@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +14,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir if the cluster names one, else (as in tests) one of our own."""
+    """The folder in spark.checkpoint.dir; where the setting is missing, one of our own on a local master (as in tests), an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantloom-"))
 
 
@@ -45,10 +46,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of plans that are no longer used now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Lets Spark remove the shuffle files of a write when it ends; nothing reads them again, since what was written takes their place.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, written and read back. The shuffle files that made it are removed at once."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_key(text: str = "text") -> Column:
@@ -56,6 +67,16 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\0null")))
 
 
+def packed(docs: DataFrame, **others: Column) -> DataFrame:
+    """docs' columns as one struct `row`, and others beside it: no name of the user's can clash with one of ours."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in others.items()))
+
+
+def unpacked(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The columns of `row` again, some replaced."""
+    return df.select(*(replaced.get(c, F.col("row").getField(c)).alias(c) for c in names))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -31,6 +31,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import n_partitions, release, scratch, text_key, words_of
+from quantloom.llm.common import n_partitions, stored, text_key, words_of
 
 WINDOW, GRAM = 35, 8
 MANY, AUTOMATON_WORDS = 16, 1_000_000
@@ -183,7 +184,7 @@ class PassageAutomaton:
     def __init__(self, passages: list[list[bytes]], window: int = WINDOW) -> None:
         self.passages, self.window, block = passages, window, (window + 1) // 2
         self.automaton, found = ahocorasick.Automaton(), {}
-        said = [symbols(p) for p in passages]
+        self.said = said = [symbols(p) for p in passages]
         for i, s in enumerate(said):
             for at in range(0, len(s) - block + 1, block):
                 found.setdefault(s[at : at + block], []).append((i, at))
@@ -205,25 +206,60 @@ class PassageAutomaton:
         if not len(self.automaton) or len(words) < self.window:
             return
         reach: dict[tuple[int, int], int] = {}
-        n = len(words)
-        for end, (size, places) in self.automaton.iter(symbols(words)):
+        text = symbols(words)
+        for end, (size, places) in self.automaton.iter(text):
             x = end - size + 1
             for i, at in places:
                 line = (i, x - at)
                 if reach.get(line, -1) >= x + size:
                     continue
-                said = self.passages[i]
-                if words[x : x + size] != said[at : at + size]:
-                    continue
-                lo, a = x, at
-                while lo and a and words[lo - 1] == said[a - 1]:
-                    lo, a = lo - 1, a - 1
-                hi, z, last = x + size, at + size, len(said)
-                while hi < n and z < last and words[hi] == said[z]:
-                    hi, z = hi + 1, z + 1
-                reach[line] = hi
-                if hi - lo >= self.window:
-                    covered[lo:hi] = True
+                back, on = behind(text, x, self.said[i], at), ahead(text, x, self.said[i], at)
+                reach[line] = x + on
+                if back + on >= self.window and not covered[x - back : x + on].all():
+                    self._mark(words, x - back, self.passages[i], at - back, back + on, covered)
+
+    def _mark(self, words: list[bytes], x: int, passage: list[bytes], at: int, n: int, covered: np.ndarray) -> None:
+        """Marks words that agree, in `window` words or more, among n that agree by their symbols."""
+        if words[x : x + n] == passage[at : at + n]:
+            covered[x : x + n] = True
+            return
+        same = [a == b for a, b in zip(words[x : x + n], passage[at : at + n], strict=True)]
+        first = 0
+        for k in range(n + 1):
+            if k == n or not same[k]:
+                if k - first >= self.window:
+                    covered[x + first : x + k] = True
+                first = k + 1
+
+
+def ahead(a: str, i: int, b: str, j: int) -> int:
+    """How many characters agree from a[i] and b[j] on."""
+    n, k, step = min(len(a) - i, len(b) - j), 0, 32
+    while k < n and a[i + k : i + min(n, k + step)] == b[j + k : j + min(n, k + step)]:
+        k, step = min(n, k + step), step * 2
+    step = min(step, n - k)
+    while step > 1:  # the next `step` characters hold a difference
+        half = step // 2
+        if a[i + k : i + k + half] == b[j + k : j + k + half]:
+            k, step = k + half, step - half
+        else:
+            step = half
+    return k
+
+
+def behind(a: str, i: int, b: str, j: int) -> int:
+    """How many characters agree before a[i] and b[j]."""
+    n, k, step = min(i, j), 0, 32
+    while k < n and a[i - min(n, k + step) : i - k] == b[j - min(n, k + step) : j - k]:
+        k, step = min(n, k + step), step * 2
+    step = min(step, n - k)
+    while step > 1:
+        half = step // 2
+        if a[i - k - half : i - k] == b[j - k - half : j - k]:
+            k, step = k + half, step - half
+        else:
+            step = half
+    return k
 
 
 def _groups(passages: list[list[bytes]], limit: int) -> list[list[list[bytes]]]:
@@ -250,7 +286,7 @@ def _stream(window: int, limit: int = AUTOMATON_WORDS):
 
         def row(doc_id, words: list[bytes], covered: np.ndarray) -> tuple:
             n = int(covered.sum())
-            return doc_id, len(words), n, b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c) if n else b" ".join(words)
+            return doc_id, len(words), n, b" ".join(compress(words, (~covered).tolist()) if n else words)
 
         def flush() -> Iterator[pa.RecordBatch]:
             """The documents of a shard with several automata: each is compiled once, one at a time."""
@@ -297,30 +333,21 @@ def _stream(window: int, limit: int = AUTOMATON_WORDS):
 
 def shard_passages(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = 4_000_000) -> tuple[DataFrame, int]:
     """(shard, text: the recurring passages that each shard's documents hold; the number of shards). keyed: dk, text."""
-    spark, texts = keyed.sparkSession, keyed.select("dk", "text")
-    path = scratch(spark, "segments")
-    texts.mapInArrow(_segments(window, gram), "h long, s long, dk long, pos int, n int").write.option("compression", "zstd").parquet(path)
-    found = spark.read.parquet(path)
-    n_shards = max(4 * n_partitions(spark), found.count() * ((window - gram + 2) // 2) // shard_words)
+    texts, n = keyed.select("dk", "text"), n_partitions(keyed.sparkSession)
+    found = stored(texts.mapInArrow(_segments(window, gram), "h long, s long, dk long, pos int, n int"), "segments")
+    n_shards = max(2 * n, found.count() * ((window - gram + 2) // 2) // shard_words)
     often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     # an expression of h as key, so that this aggregation has an exchange of its own with partial sums: the join may be split where an anchor is hot
     same = found.join(often, "h").withColumn("anchor", F.expr("h + 0L")).groupBy("anchor", "s")
     counted = same.agg(F.count("*").alias("count"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.min("n").alias("n"), F.collect_set(_shard("dk", n_shards)).alias("shards"))
-    path = scratch(spark, "distinct")
-    counted.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    distinct = spark.read.parquet(path)
+    distinct = stored(counted, "distinct")
     single = F.when(F.col("count") == 1, F.col("shards")[0]).otherwise(-1)
     open_ = distinct.join(distinct.where("count = 1").select("anchor").distinct(), "anchor", "left_semi")
     open_ = open_.groupBy("rep").agg(F.collect_list(F.struct("pos", "n", F.col("count").cast("long").alias("count"), single.cast("int").alias("shard"))).alias("known"))
     windows = texts.join(open_, F.col("dk") == F.col("rep")).select("dk", "text", "known").mapInArrow(_windows(window), "w1 long, w2 long, dk long, pos int, count long, shard int")
     confirmed = windows.groupBy("w1", "w2").agg(F.sum("count").alias("count"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.collect_set("shard").alias("shards")).where("count > 1")
     parts = confirmed.select("rep", "pos", F.lit(1).alias("n"), "shards").unionByName(distinct.where("count > 1").select("rep", "pos", "n", "shards"))
-    places = parts.select("rep", "pos", "n", F.explode("shards").alias("shard")).groupBy("rep", "shard").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
-    path = scratch(spark, "places")
-    places.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    placed = spark.read.parquet(path)
+    placed = stored(parts.select("rep", "pos", "n", F.explode("shards").alias("shard")).groupBy("rep", "shard").agg(F.collect_list(F.struct("pos", "n")).alias("places")), "places")
     holders = texts.join(placed, F.col("dk") == F.col("rep")).select("shard", "places", "text")
     return holders.mapInArrow(_passages(window), "shard int, text string"), n_shards
 
