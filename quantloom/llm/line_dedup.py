@@ -8,7 +8,7 @@ are still undecided go to one small aggregation.
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped; rows that repeat an id with
 another text count as another document, exact repeats of a row count once and get the same result; a null id is an id of
-its own; extra columns are ignored; an empty table gives an empty result.
+its own; ids that are no whole numbers are told apart and ordered by their 64-bit hashes; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,17 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, cut, lower_ascii, n_partitions, text_key, utf8
+from quantloom.llm.common import SPACE, cut, lower_ascii, n_partitions, packed, text_key, unpacked, utf8
 
 NO_ID = -(2**63)
 DROP, OPEN, MARK = 0, 1, 2
 _STREAM = "kind int, h1 long, h2 long, _id long, _tk long, pos long"
 
 
+def id_key(docs: DataFrame, id_col: str):
+    """Whole numbers are documents' keys and order; other ids go by their 64-bit hash."""
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(NO_ID))
+
+
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line with a key: h1, h2 (its key's hashes), _id, _tk (its document), pos."""
     lines = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), text_key(text_col).alias("_tk"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line")
+        id_key(docs, id_col).alias("_id"), text_key(text_col).alias("_tk"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line")
     )
     key = lower_ascii(F.trim(F.col("line"), F.lit(SPACE)))
     return lines.select("_id", "_tk", F.col("pos").cast("long").alias("pos"), key.alias("key")).where("key <> ''").select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "_id", "_tk", "pos")
@@ -151,10 +157,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column __keep (null: all lines stay)."""
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__tk": text_key(text_col)})
-    maps = bitmaps.select(F.col("_id").alias("__id"), F.col("_tk").alias("__tk"), F.col("keep_bitmap").alias("__keep"))
-    return keyed.join(maps, ["__id", "__tk"], "left").drop("__id", "__tk")
+    """row (a struct of docs' columns), text, keep (null: all lines stay)."""
+    keyed = packed(docs, text=F.col(text_col), id=id_key(docs, id_col), tk=text_key(text_col))
+    maps = bitmaps.select(F.col("_id").alias("id"), F.col("_tk").alias("tk"), F.col("keep_bitmap").alias("keep"))
+    return keyed.join(maps, ["id", "tk"], "left").select("row", "text", "keep")
 
 
 def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, bytes]:
@@ -172,12 +178,11 @@ def rebuild(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_co
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
-            out = [None if x is None else _kept(x, m)[2].decode("utf-8", "surrogatepass") for x, m in zip(t[text_col].to_pylist(), t["__keep"].to_pylist(), strict=True)]
-            t = t.set_column(t.schema.get_field_index(text_col), text_col, pa.array(out, pa.string())).drop_columns(["__keep"])
-            yield from t.to_batches()
+            out = [None if x is None else x if m is None else _kept(x, m)[2].decode("utf-8", "surrogatepass") for x, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row", "text"])
 
-    return marked.mapInArrow(text, docs.schema)
+    made = marked.mapInArrow(text, f"row {marked.schema['row'].dataType.simpleString()}, text string")
+    return unpacked(made, docs.columns, **{text_col: F.col("text")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -193,7 +198,7 @@ def query(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    return marked.select("doc_id", "text", "__keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.select("row.doc_id", "text", "keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""

@@ -46,11 +46,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     starts = [0, *ends[:-1].tolist()][:n]
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     h64 = xxhash.xxh64_intdigest
+    return majority(np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: the bits that over half of them set; 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
-    for lo in range(0, n, 65536):
-        h = np.array([h64(joined[a:b], 42) for a, b in zip(starts[lo : lo + 65536], stops[lo : lo + 65536], strict=False)], dtype=np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    for lo in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

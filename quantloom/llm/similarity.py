@@ -1,15 +1,17 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, without loss.
+"""Near copies by the Jaccard similarity of their five-word shingles: SimHash links first, then all others, without loss.
 
-Candidates come from prefix filtering: in any fixed order of all shingles, two sets of similarity t or more share one of
-the first n - ceil(t * n) + 1 shingles of each (n: the set's size). The order puts shingles that are common in a sample of
-the corpus last, so that lists of a shared passage stay out of the prefixes; the sample decides the cost only, never the
-result. Each candidate pair is verified on its whole shingle sets.
+Sets that are equal collapse first. Then links are sought in rounds, and each is verified on the two whole shingle sets:
 
-Sets that are equal collapse first. Lists are then met by their smallest and their largest member before all remaining pairs
-are formed, and pairs that earlier links connect are left out, so that a large cluster costs about a link a member.
+1. SimHash (operator 4): fingerprints over the same shingles, its byte-position index and count filter. It finds most near
+   copies at the cost of a fingerprint each, but similar sets may differ in more than its three bits.
+2. Prefix filtering, for the rest: in any fixed order of all shingles, two sets of similarity t or more share one of the
+   first n - ceil(t * n) + 1 shingles of each (n: the set's size). The order puts shingles that are common in a sample of
+   the corpus last, so that lists of a shared passage stay out of the prefixes; the sample decides the cost only, never the
+   result. Lists are met by their smallest and their largest member before all remaining pairs are formed, and pairs that
+   earlier links connect are left out, so that a large cluster costs about a link a member.
 
 Defined results: words are lower-cased (ASCII); a text of fewer words than the width is one shingle; null and blank texts
-are copies of each other.
+are copies of each other; null ids and repeated rows are kept apart by the caller; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -22,23 +24,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import connected_components, cut, text_key, utf8
+from quantloom.llm import simhash
+from quantloom.llm.common import connected_components, stored, text_key, utf8
 
 WIDTH, PERCENT = 5, 80
 #: One text in so many is sampled for common shingles; at most so many of those are kept on the driver.
 SAMPLE, COMMON = 64, 100_000
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted."""
+def shingles(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's word shingles, and the distinct ones, sorted."""
     words = utf8(text).lower().split()
     if not words:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts, stops = [0, *ends[:-1].tolist()][:n], (ends[min(width, len(words)) - 1 :] - 1).tolist()
     h64 = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=n))
+    every = np.fromiter((h64(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=n)
+    return every, np.unique(every)
 
 
 def prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
@@ -73,7 +77,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), width).view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), width)[1].view(np.int64))], names=["h"])
 
     sampled = docs.select("text").where(F.pmod(text_key(), F.lit(SAMPLE)) == 0).distinct()
     found = sampled.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
@@ -83,49 +87,55 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np
 
 
 def keyed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, tk, fp (key of the shingle set), size and prefix for every row."""
+    """id, tk, fp (key of the shingle set), sim (its fingerprint), size and prefix for every row."""
     common, places = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, first = [], [], []
-            for x in b.column(2):
-                found = shingles(x.as_py(), width)
-                keys.append(_key(found))
-                sizes.append(len(found))
-                first.append(prefix(found, common, places, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(keys), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "tk", "fp", "size", "prefix"])
+            for lo in range(0, b.num_rows, 1_000):
+                keys, sims, sizes, first, part = [], [], [], [], b.slice(lo, 1_000)
+                for x in part.column(2):
+                    every, found = shingles(x.as_py(), width)
+                    keys.append(_key(found))
+                    sims.append(simhash.majority(every))
+                    sizes.append(len(found))
+                    first.append(prefix(found, common, places, percent).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(keys), _signed(sims), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["id", "tk", "fp", "sim", "size", "prefix"])
 
-    return docs.select("doc_id", text_key().alias("tk"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tk long, fp long, size long, prefix array<long>")
+    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>")
 
 
-def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """fp, found (the whole set as bytes) of the members."""
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. texts: fp, text, one row a set; pairs of one text arrive together, so its set is made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
         for b in batches:
-            found = [shingles(x.as_py(), width) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([_signed([_key(x) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "found"])
+            ok = []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if a != now:
+                    now, own = a, shingles(x.as_py(), width)[1]
+                ok.append(similar(own, shingles(y.as_py(), width)[1], percent))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = rows.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("tk").alias("__tk")).select("__tk")
-    texts = docs.select("text", text_key().alias("__tk")).join(one, "__tk", "left_semi").select("text")
-    return texts.mapInArrow(run, "fp long, found binary").dropDuplicates(["fp"])
+    x, y = texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), texts.select(F.col("fp").alias("b"), F.col("text").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = ([np.frombuffer(v.as_py(), dtype=np.uint64) for v in b.column(i)] for i in (2, 3))
-            ok = pa.array([similar(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield b.select(["a", "b"]).filter(ok)
-
-    x, y = sets.select(F.col("fp").alias("a"), F.col("found").alias("x")), sets.select(F.col("fp").alias("b"), F.col("found").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _proposed(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of sets that SimHash links. Sets of one fingerprint meet the smallest of them, and these each other along the index's links."""
+    sets = rows.where("size > 0").select("fp", "sim").distinct()
+    least = sets.groupBy("sim").agg(F.min("fp").alias("first"))
+    found = simhash.links(least.select(F.col("sim").alias("fp"))).distinct()
+    first = lambda sim, name: least.select(F.col("sim").alias(sim), F.col("first").alias(name))
+    across = found.join(first("a", "p"), "a").join(first("b", "q"), "b").select("p", "q")
+    within = sets.join(least, "sim").where("fp <> first").select(F.col("first").alias("p"), F.col("fp").alias("q"))
+    return across.unionByName(within).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def _pairs(lists: DataFrame, labels: DataFrame | None, pivot, percent: int) -> DataFrame:
+def _pairs(lists: DataFrame, labels: DataFrame, pivot, percent: int) -> DataFrame:
     """a, b: members of one list that are not yet connected and whose sizes allow the similarity: those of the pivot, or all."""
-    named = lists.withColumn("label", F.col("fp")) if labels is None else lists.join(labels, lists.fp == labels.node, "left").select("key", "fp", "size", F.coalesce("label", "fp").alias("label"))
+    named = lists.join(labels, lists.fp == labels.node, "left").select("key", "fp", "size", F.coalesce("label", "fp").alias("label"))
     over = Window.partitionBy("key")
     named = named.withColumns({"lo": F.min("label").over(over), "hi": F.max("label").over(over)}).where("lo <> hi").drop("lo", "hi")
     row = F.struct("fp", "size", "label")
@@ -139,13 +149,17 @@ def _pairs(lists: DataFrame, labels: DataFrame | None, pivot, percent: int) -> D
 
 
 def components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """node, label: components of set keys under similarity of percent or more. rows: the result of keyed()."""
-    posted = rows.where("size > 0").select("fp", "size", "prefix").dropDuplicates(["fp"]).select("fp", "size", F.explode("prefix").alias("key"))
-    lists = cut(posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"))
-    sets = cut(_sets(docs, rows, lists.select("fp").distinct(), width))
-    links, labels = None, None
+    """node, label: components of set keys under similarity of percent or more. rows: the result of keyed(), stored."""
+    posted = rows.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("fp", "size", F.explode("prefix").alias("key"))
+    lists = stored(posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "lists")
+    proposed = stored(_proposed(rows), "proposed")
+    members = lists.select("fp").unionByName(proposed.select(F.col("a").alias("fp"))).unionByName(proposed.select(F.col("b").alias("fp"))).distinct()
+    one = rows.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("tk").alias("tk"))
+    texts = stored(docs.select("text", text_key().alias("tk")).join(one, "tk").groupBy("fp").agg(F.first("text").alias("text")), "members")
+    links = stored(_verified(proposed, texts, percent, width), "links")
+    labels = connected_components(links)
     for pivot in (F.min, F.max, None):
-        fresh = cut(_verified(_pairs(lists, labels, pivot, percent), sets, percent))
-        links = fresh if links is None else links.unionByName(fresh)
+        fresh = stored(_verified(stored(_pairs(lists, labels, pivot, percent), "pairs"), texts, percent, width), "links")
+        links = links.unionByName(fresh)
         labels = connected_components(links)
     return labels

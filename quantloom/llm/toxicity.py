@@ -1,25 +1,30 @@
 r"""Toxicity by noisy-channel deobfuscation: Viterbi decoding of character lattices, then a score of the restored text.
 
-1. A character trigram model is counted over all documents (58 letters and "other"; a fixed table of 59 ** 3 sums).
-2. A token that looks disguised becomes a lattice: look-alike digits and signs may stand for letters (LEET), runs of one
-   character for one or two of it, and single characters spelled out with separators may be one word. The Viterbi path
-   maximises channel plus trigram log-probability; other tokens stay as they are.
+1. A character trigram model is counted over all documents, over the letters that they really have (every other character
+   is one class). Its table grows with the corpus and is never collected or broadcast.
+2. A token that may be disguised becomes a lattice: look-alike digits and signs may stand for letters (LEET), runs of one
+   character for one or two of it, and single characters spelled out with separators may be one word. The distinct tokens
+   of all documents are dealt into shards; each shard is joined with the counts that its lattices can ask for, and the
+   Viterbi path maximises channel plus trigram log-probability. Tokens that it changes are joined back to their documents.
 3. A score is learned from at most `max_labelled` labelled rows: whole words and word starts of four to seven letters
-   that significantly more toxic than clean documents have become features with their rates in either. The rows are those with the smallest hashes of their ids, so the sample is the same in every run.
+   that significantly more toxic than clean documents have become features with their rates in either. The rows are those
+   with the smallest hashes of their ids, so the sample is the same in every run; no other limit leaves a feature out.
 4. Every document is scored: one Aho-Corasick pass counts the features in its restored text; the score is the posterior
    that some feature's count comes from toxic rather than clean texts.
 
+Not in the lattice: tokens of digits alone (a number may spell anything) and letters that are merely doubled.
+
 Labels are read only from rows whose crc32(doc_id as text) mod 3 is not 1. Labels, lang, source and doc_id are never
 inputs of a score. Defined results: a null or empty text has the score of a text without features; several labels of one
 id count as their largest; repeated rows get the same score; without labels every score is the prior's; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import ahocorasick
 import numpy as np
@@ -27,67 +32,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut
+from quantloom.llm.common import cut, n_partitions, stored, text_key
 
 #: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SIGNS = "".join(LEET)
 #: What a sign that stands for itself in a suspect token costs, in nats.
 SIGN_COST = 9.0
-ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
-SIZE = len(ALPHABET) + 1
-_CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 _CLASS = r"[^\W\d_]"
 _S = re.escape(SIGNS)
-#: Signs next to a letter; then the tokens that may be disguised: a sign between letters, before a letter at a token's start, or digits after its last letter.
-NEAR = re.compile(rf"[{_S}](?:(?<={_CLASS}.)|(?={_CLASS}))")
-SUSPECT = re.compile(rf"(?:[^\s{_S}]*{_CLASS}[{_S}]+{_CLASS}\S*|[{_S}]+{_CLASS}\S*|[^\s{_S}]*{_CLASS}\d+(?![^\s.,;:!?]))")
-#: A letter three times; four or more single characters in a row with a separator between.
+#: Signs next to a letter; then the tokens that may be disguised: a sign between letters, before a letter at a token's start,
+#: digits or look-alikes of closing letters after its last letter; signs alone, with an at sign.
+NEAR = re.compile(rf"[{_S}](?:(?<={_CLASS}.)|(?={_CLASS}))|@[{_S}][{_S}]")
+SUSPECT = re.compile(rf"(?:[^\s{_S}]*{_CLASS}[{_S}]+{_CLASS}\S*|[{_S}]+{_CLASS}\S*|[^\s{_S}]*{_CLASS}(?:\d+|[{_S}]*[$+@|])(?![^\s.,;:!?])|@[{_S}]{{2,}}(?![^\s.,;:!?]))")
+#: A letter three times; three or more single characters in a row with a separator between.
 REPEAT = re.compile(rf"({_CLASS})\1\1")
-SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_CLASS}|[{_S}])[ .\-_*]){{3,}}(?:{_CLASS}|[{_S}])(?![^\W_])")
+SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_CLASS}|[{_S}])[ .\-_*]){{2,}}(?:{_CLASS}|[{_S}])(?![^\W_])")
+LETTER = re.compile(_CLASS)
 ANY = re.compile(r"\S+")
-TAIL = re.compile(r"(?:[.,;:?!\"')\]}#*%&]+|\${2,})+$")
+TAIL = re.compile(r"[.,;:?!\"')\]}#*%&]+$")
 HEAD = re.compile(r"^[\"'(\[{#*%&]+(?=\w)")
+#: Marks a token that is spelled out.
+SPACED = "\x01"
+_BITS = 21
 
 
 def is_held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _table() -> np.ndarray:
-    codes = np.zeros(0x250, dtype=np.int32)
-    for c, i in _CODE.items():
-        codes[ord(c)] = i
-    return codes
+# the character model ---------------------------------------------------------------------------------------------------
+
+
+def letter_codes() -> np.ndarray:
+    """The code of each character: its code point for letters, 0 for all others."""
+    out = np.zeros(0x110000, dtype=np.int32)
+    for i in range(0x110000):
+        if chr(i).isalpha():
+            out[i] = i
+    return out
+
 
+def gram(a: int, b: int, c: int) -> int:
+    """The key of three codes in a row. Those of two and one are its last 42 and 21 bits; 0 is the key of all."""
+    return (a + 1) << 2 * _BITS | (b + 1) << _BITS | (c + 1)
 
-def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """tri (a code in base SIZE), n: sums over the whole of every text."""
+
+def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """gram, n: how often each run of one to three characters stands in all texts, whole and in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = _table(), np.zeros(SIZE**3, dtype=np.int64)
+        codes, place, alphabet, room = letter_codes(), np.zeros(0x110000, dtype=np.int32), np.zeros(1, dtype=np.int64), 128
+        total = np.zeros(room**3, dtype=np.int64)
+
+        def keys(at: np.ndarray) -> np.ndarray:
+            x, y, z = alphabet[at // room**2], alphabet[at // room % room], alphabet[at % room]
+            return (x + 1) << 2 * _BITS | (y + 1) << _BITS | (z + 1)
+
         for b in batches:
             for x in b.column(0):
-                if text := x.as_py():
-                    points = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                    c = codes[np.minimum(points, len(codes) - 1)]
-                    total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+                if not (text := x.as_py()):
+                    continue
+                c = codes[np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+                small = place[c]
+                if (new := (small == 0) & (c != 0)).any():
+                    fresh = np.unique(c[new])
+                    if len(alphabet) + len(fresh) <= room:
+                        place[fresh] = len(alphabet) + np.arange(len(fresh))
+                        alphabet = np.concatenate([alphabet, fresh])
+                        small = place[c]
+                    else:  # more letters than the table of this task has room for: this text's own counts
+                        c = c.astype(np.int64)
+                        own, n = np.unique((c[:-2] + 1) << 2 * _BITS | (c[1:-1] + 1) << _BITS | (c[2:] + 1), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["gram", "n"])
+                        continue
+                at = (small[:-2] * room + small[1:-1]) * room + small[2:]
+                if len(at) < 20_000:
+                    np.add.at(total, at, 1)
+                else:
+                    total += np.bincount(at, minlength=room**3)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["tri", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys(at)), pa.array(total[at])], names=["gram", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "tri int, n long").groupBy("tri").agg(F.sum("n").alias("n"))
+    three = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    every = F.array("gram", *(F.col("gram").bitwiseAND(F.lit((1 << k * _BITS) - 1)) for k in (2, 1)), F.lit(0).cast("long"))
+    return three.select(F.explode(every).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Decoder:
-    """Viterbi decoding under a smoothed trigram model; log-probabilities are held as a SIZE x SIZE x SIZE table."""
+    """Viterbi decoding under a smoothed trigram model. counts: by key, of all runs that the tokens can ask for."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        c3 = counts.reshape(SIZE, SIZE, SIZE).astype(np.float64)
-        c2, c1 = c3.sum(axis=0), c3.sum(axis=(0, 1))
-        p1 = (c1 + 1) / (c1.sum() + SIZE)
-        p2 = (c2 + 20 * p1) / (c2.sum(axis=1, keepdims=True) + 20)
-        self.logp = np.log((c3 + 20 * p2) / (c3.sum(axis=2, keepdims=True) + 20)).astype(np.float32)
-        self.memo: dict[tuple[str, bool], str] = {}
+    def __init__(self, counts: Mapping[int, int]) -> None:
+        self.counts, self.known = counts, {}
+
+    def logp(self, a: int, b: int, c: int) -> float:
+        key = gram(a, b, c)
+        if key not in self.known:
+            n = lambda x: self.counts.get(x, 0)
+            p1 = (n(c + 1) + 1) / (n(0) + 256)
+            p2 = (n(key & (1 << 2 * _BITS) - 1) + 20 * p1) / (n(b + 1) + 20)
+            self.known[key] = math.log((n(key) + 20 * p2) / (n((a + 1) << _BITS | (b + 1)) + 20))
+        return self.known[key]
 
     def options(self, token: str, spelled: bool) -> list[list[tuple[str, float]]]:
         """The lattice: for each run of one character the strings that it may stand for and their channel log-probabilities."""
@@ -104,63 +149,152 @@ class Decoder:
                 out.append([(x * k, p - (0.7 if n > 2 else 3.0 * (k != n))) for x, p in reads for k in (1, 2)])
         return out
 
-    def decode(self, token: str, spelled: bool = False) -> str:
-        if (token, spelled) in self.memo:
-            return self.memo[token, spelled]
-        logp, beam = self.logp.item, {(0, 0): (0.0, None)}
-        for choices in self.options(token, spelled):
+    def decode(self, token: str) -> str:
+        spelled = token.startswith(SPACED)
+        beam: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+        for choices in self.options(token.lstrip(SPACED), spelled):
             ahead: dict = {}
             for (a, b), (score, back) in beam.items():
                 for text, p in choices:
                     x, y, s = a, b, score + p
                     for ch in text:
-                        z = _CODE.get(ch, 0)
-                        s += logp(x, y, z) - (0.0 if z or ch == " " else SIGN_COST)
+                        z = ord(ch) if ch.isalpha() else 0
+                        s += self.logp(x, y, z) - (0.0 if z or ch == " " else SIGN_COST)
                         x, y = y, z
                     if (x, y) not in ahead or s > ahead[x, y][0]:
                         ahead[x, y] = (s, (back, text))
             beam = ahead
-        _, back = max((s + logp(a, b, 0), back) for (a, b), (s, back) in beam.items()) if len(beam) == 1 else max(((s + logp(a, b, 0), i, back) for i, ((a, b), (s, back)) in enumerate(beam.items())), key=lambda x: x[:2])[::2]
+        _, _, back = max(((s + self.logp(a, b, 0), (a, b), back) for (a, b), (s, back) in beam.items()), key=lambda x: x[:2])
         parts = []
         while back is not None:
             back, text = back
             parts.append(text)
-        out = "".join(reversed(parts))
-        if len(self.memo) < 200_000:
-            self.memo[token, spelled] = out
-        return out
+        return "".join(reversed(parts))
+
+
+class Asked(Decoder):
+    """Notes the keys of all counts that decoding may ask for; no path is pruned, so they do not hang on the counts."""
+
+    def __init__(self) -> None:
+        super().__init__({})
+        self.keys: set[int] = {0}
+
+    def logp(self, a: int, b: int, c: int) -> float:
+        key = gram(a, b, c)
+        if key not in self.keys:
+            self.keys |= {key, key & (1 << 2 * _BITS) - 1, c + 1, b + 1, (a + 1) << _BITS | (b + 1)}
+        return 0.0
 
-    def restore(self, text: str | None) -> str:
-        """The text in lower case with disguised tokens decoded."""
-        text = (text or "").lower()
-
-        def token(m: re.Match) -> str:
-            word = m[0]
-            tail = TAIL.search(word)
-            end = tail.start() if tail else len(word)
-            head = HEAD.match(word)
-            at = head.end() if head else 0
-            return word[:at] + self.decode(word[at:end]) + word[end:] if end > at else word
-
-        text = SPELLED.sub(lambda m: self.decode(m[0], True), text)
-        for core, whole in ((NEAR, SUSPECT), (REPEAT, ANY)):
-            parts, last = [], 0
-            for m in core.finditer(text):
-                if m.start() < last:
-                    continue
-                start = m.start()
-                while start > last and not text[start - 1].isspace():
-                    start -= 1
-                if found := whole.match(text, start):
-                    parts += [text[last:start], token(found)]
-                    last = found.end()
-                elif end := ANY.match(text, start):
-                    parts.append(text[last : end.end()])
-                    last = end.end()
-            if parts:
-                text = "".join([*parts, text[last:]])
-        return text
 
+# disguised tokens ------------------------------------------------------------------------------------------------------
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """Where tokens stand that may be disguised, in order and apart; text: in lower case."""
+    found = [(m.start(), m.end(), SPACED + m[0]) for m in SPELLED.finditer(text) if LETTER.search(m[0])]
+    spelled = found.copy()
+    for core, whole in ((NEAR, SUSPECT), (REPEAT, ANY)):
+        last = 0
+        for m in core.finditer(text):
+            if m.start() < last:
+                continue
+            start = m.start()
+            while start > last and not text[start - 1].isspace():
+                start -= 1
+            suspect = whole.match(text, start)
+            last = (suspect or ANY.match(text, start)).end()
+            if not suspect:
+                continue
+            tail = TAIL.search(suspect[0])
+            end = start + (tail.start() if tail else len(suspect[0]))
+            head = HEAD.match(suspect[0])
+            start += head.end() if head else 0
+            if end > start and not any(a < end and start < b for a, b, _ in spelled):
+                found.append((start, end, text[start:end]))
+    out, last = [], 0
+    for a, b, token in sorted(found):
+        if a >= last:
+            out.append((a, b, token))
+            last = b
+    return out
+
+
+def restore(text: str | None, said: Mapping[str, str]) -> str:
+    """The text in lower case with the tokens of said decoded."""
+    text = (text or "").lower()
+    if not said:
+        return text
+    parts, last = [], 0
+    for a, b, token in spans(text):
+        parts += [text[last:a], said.get(token, text[a:b])]
+        last = b
+    return "".join([*parts, text[last:]])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """dk, token: each document's distinct tokens."""
+    for b in batches:
+        keys, tokens = [], []
+        for dk, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            own = {t for _, _, t in spans((text.as_py() or "").lower())}
+            keys += [dk] * len(own)
+            tokens += own
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.string())], names=["dk", "token"])
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, gram: what a batch of a shard's tokens may ask for."""
+    for b in batches:
+        asked: dict[int, Asked] = {}
+        for shard, token in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            asked.setdefault(shard, Asked()).decode(token)
+        for shard, a in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a.keys), shard, np.int32)), pa.array(sorted(a.keys), pa.int64())], names=["shard", "gram"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, said of each token that decoding changes. Shards arrive one after the other, their counts before their tokens."""
+    now, counts, decoder = None, {}, Decoder({})
+    for b in batches:
+        tokens, said = [], []
+        for shard, key, n, token in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if shard != now:
+                now, counts = shard, {}
+                decoder = Decoder(counts)
+            if token is None:
+                counts[key] = n
+            elif (read := decoder.decode(token)) != token.lstrip(SPACED):
+                tokens.append(token)
+                said.append(read)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(said, pa.string())], names=["token", "said"])
+
+
+def decoded_tokens(tokens: DataFrame, grams: DataFrame) -> DataFrame:
+    """token, said: the distinct tokens that the Viterbi path changes. tokens: column token; grams: of count_grams."""
+    n = n_partitions(tokens.sparkSession)
+    dealt = tokens.select("token").distinct().select(F.pmod(F.xxhash64("token"), F.lit(4 * n)).cast("int").alias("shard"), "token")
+    asked = dealt.mapInArrow(_asks, "shard int, gram long").distinct().join(grams, "gram")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = asked.select("shard", "gram", "n", none("string").alias("token")).unionByName(dealt.select("shard", none("long").alias("gram"), none("long").alias("n"), "token"))
+    return rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("token").isNotNull()).mapInArrow(_decoded, "token string, said string")
+
+
+def decoded_documents(docs: DataFrame) -> DataFrame:
+    """dk, changes (array of token, said) of the documents with tokens that decoding changes. docs: dk, text.
+
+    A token that more than a thousandth of all (document, token) pairs share is joined by broadcast: there are at most a
+    thousand of these. All others are joined by shuffle, so no key holds more than a thousandth of the rows.
+    """
+    pairs = stored(docs.mapInArrow(_tokens, "dk long, token string"), "tokens")
+    said = stored(decoded_tokens(pairs, count_grams(docs)), "said")
+    often = max(1_000, pairs.count() // 1_000)
+    hot = cut(pairs.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > often).join(said, "token", "left").select("token", "said"))  # at most a thousand rows
+    by_hot = pairs.join(F.broadcast(hot), "token").where("said is not null")
+    others = pairs.join(F.broadcast(hot.select("token")), "token", "left_anti").join(said, "token")
+    return by_hot.unionByName(others).groupBy("dk").agg(F.collect_set(F.struct("token", "said")).alias("changes"))
+
+
+# the score -------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile(rf"{_CLASS}+")
 
@@ -174,20 +308,21 @@ def features_of(text: str) -> dict[str, int]:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled: int = 8_000, max_features: int = 500, ratio: float = 6.0, error: float = 0.05) -> tuple[float, dict[str, tuple[float, float, float]]]:
-    """(prior log-odds, feature -> (share, rate in toxic texts with it, rate in clean texts)) from at most max_labelled labelled rows that are not held out."""
-    spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most max_labelled rows: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    shared = spark.sparkContext.broadcast(counts)
+def _changes(value: pa.Scalar) -> dict[str, str]:
+    return {x["token"]: x["said"] for x in value.as_py() or ()}
+
+
+def learn(rows: DataFrame, ratio: float = 6.0, error: float = 0.05) -> tuple[float, dict[str, tuple[float, float, float]]]:
+    """(prior log-odds, feature -> (share, rate in toxic texts with it, rate in clean texts)). rows: text, changes, toxic of the
+    labelled rows to learn from. Every feature whose likelihood ratio is significant among all of them (Bonferroni, at
+    `error`) and whose rate is `ratio` times as high in toxic texts is kept; of related starts the most telling one."""
     names = ["clean", "toxic", "n_clean", "n_toxic", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, found = Decoder(shared.value), {"": [0] * 5}
+        found = {"": [0] * 5}
         for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                said, at = decoder.restore(text.as_py()), int(toxic > 0)
+            for text, changes, toxic in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                said, at = restore(text.as_py(), _changes(changes)), int(toxic > 0)
                 n = len(said.split())
                 found[""][at] += 1
                 found[""][2 + at] += n
@@ -203,8 +338,8 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled:
             part = every[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), *(pa.array([v[i] for _, v in part], pa.int64()) for i in range(5))], names=["f", *names])
 
-    made = rows.select("text", "toxic").mapInArrow(run, "f string, " + ", ".join(f"{x} long" for x in names))
-    sums = cut(made.groupBy("f").agg(*(F.sum(x).alias(x) for x in names)).where("toxic + clean >= 4 or f = ''"))
+    made = rows.select("text", "changes", "toxic").mapInArrow(run, "f string, " + ", ".join(f"{x} long" for x in names))
+    sums = cut(made.groupBy("f").agg(*(F.sum(x).alias(x) for x in names)))
     whole = sums.where("f = ''").collect()
     n0, n1, w0, w1 = (whole[0].clean, whole[0].toxic, whole[0].n_clean, whole[0].n_toxic) if whole else (0, 0, 0, 0)
     prior = math.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else -2.0
@@ -212,22 +347,15 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labelled:
         return min(prior, 0.0), {}
     tested = sums.where("f <> ''")
     least = 2 * math.log(max(1, tested.count()) / error)  # of the likelihood ratio, for so many tests
-    top = tested.where(F.col("toxic") * n0 > 2 * F.col("clean") * n1).orderBy(F.desc("toxic"), "f").limit(20 * max_features).collect()
-
-    def g2(tox: int, clean: int) -> float:
-        out = 0.0
-        for seen, n in ((tox, n1), (clean, n0)):
-            share = (tox + clean) / (n0 + n1)
-            for k, p in ((seen, share), (n - seen, 1 - share)):
-                out += 2 * k * math.log(k / (n * p)) if k else 0.0
-        return out
-
-    ranked = sorted(((g2(r.toxic, r.clean), r) for r in top if r.n_toxic * w0 > ratio * r.n_clean * w1), key=lambda x: (-x[0], x[1].f[-1] == " ", -len(x[1].f), x[1].f))
+    share, worth = (F.col("toxic") + F.col("clean")) / float(n0 + n1), F.lit(0.0)
+    for seen, n in (("toxic", n1), ("clean", n0)):
+        for k, p in ((F.col(seen), share), (n - F.col(seen), 1 - share)):
+            worth = worth + F.when(k > 0, 2 * k * F.log(k / (n * p))).otherwise(0.0)
+    more = (F.col("toxic") * n0 > 2 * F.col("clean") * n1) & (F.col("n_toxic") * w0 > ratio * F.col("n_clean") * w1)
+    kept = tested.where(more).withColumn("worth", worth).where(F.col("worth") > least).collect()  # features of a bounded sample
     out: dict[str, tuple[float, float, float]] = {}
-    for worth, r in ranked:
-        if worth <= least or len(out) >= max_features:
-            break
-        if not any(r.f.startswith(f) or f.startswith(r.f) for f in out):  # of related starts the most telling one
+    for r in sorted(kept, key=lambda r: (-r.worth, r.f[-1] == " ", -len(r.f), r.f)):
+        if not any(r.f.startswith(f) or f.startswith(r.f) for f in out):
             out[r.f] = (r.toxic / n1, r.n_toxic / r.words, (r.n_clean + 0.5) / w0)
     total = max(1.0, sum(x[0] for x in out.values()))
     return prior, {f: (s / total, a, b) for f, (s, a, b) in out.items()}
@@ -264,35 +392,30 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """The sums of count_trigrams on the driver: SIZE ** 3 numbers, whatever the corpus."""
-    counts = np.zeros(SIZE**3, dtype=np.int64)
-    for r in count_trigrams(docs).collect():
-        counts[r.tri] = r.n
-    return counts
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 8_000, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """docs' columns with score and predicted (or other names) in addition; they replace columns of these names."""
-    counts = trigram_counts(docs)
-    prior, weights = learn(docs, labels, counts, max_labelled)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, prior, weights))
-    docs = docs.drop(*names)
-    at, all_names = docs.columns.index("text"), [*docs.columns, *names]
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 8_000, decode: bool = True) -> DataFrame:
+    """row (a struct of docs' columns), score, predicted. max_labelled bounds the sample of labelled rows that is learned
+    from; decode=False scores the texts as they are, for comparison."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", text_key()).alias("dk"))
+    changes = stored(decoded_documents(rows.select("dk", "text")), "changes") if decode else spark.createDataFrame([], "dk long, changes array<struct<token:string,said:string>>")
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # at most max_labelled rows: small enough to broadcast
+    labelled = rows.select("id", "text", "dk").join(F.broadcast(sample), "id").select("dk", "text", "toxic")
+    shared = spark.sparkContext.broadcast(learn(labelled.join(changes, "dk", "left")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, prior, weights = shared.value
-        decoder, scorer = Decoder(counts), Scorer(prior, weights)
+        scorer = Scorer(*shared.value)
         for b in batches:
-            scores = [scorer.score(decoder.restore(x.as_py())) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=all_names)
+            scores = [scorer.score(restore(x.as_py(), _changes(c))) for x, c in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["row", "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
+    joined = rows.join(changes, "dk", "left").select("row", "text", "changes")
+    return joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: doc_id, held_out, score, predicted for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score_documents(docs, labels).select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
+    scored = score_documents(docs, labels).select("row.doc_id", "score", "predicted")
+    return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
