@@ -205,12 +205,12 @@ class PassageAutomaton:
         """Marks the words of all occurrences in covered."""
         if not len(self.automaton) or len(words) < self.window:
             return
-        reach: dict[tuple[int, int], int] = {}
+        reach: dict[int, int] = {}
         text = symbols(words)
         for end, (size, places) in self.automaton.iter(text):
             x = end - size + 1
             for i, at in places:
-                line = (i, x - at)
+                line = (i << 32) + x - at
                 if reach.get(line, -1) >= x + size:
                     continue
                 back, on = behind(text, x, self.said[i], at), ahead(text, x, self.said[i], at)
@@ -335,10 +335,13 @@ def shard_passages(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     """(shard, text: the recurring passages that each shard's documents hold; the number of shards). keyed: dk, text."""
     texts, n = keyed.select("dk", "text"), n_partitions(keyed.sparkSession)
     found = stored(texts.mapInArrow(_segments(window, gram), "h long, s long, dk long, pos int, n int"), "segments")
-    n_shards = max(2 * n, found.count() * ((window - gram + 2) // 2) // shard_words)
-    often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    # an expression of h as key, so that this aggregation has an exchange of its own with partial sums: the join may be split where an anchor is hot
-    same = found.join(often, "h").withColumn("anchor", F.expr("h + 0L")).groupBy("anchor", "s")
+    total = found.count()
+    n_shards = max(2 * n, total * ((window - gram + 2) // 2) // shard_words)
+    often = stored(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    hot = F.broadcast(often.where(F.col("c") > max(1_000, total // 1_000)).select("h"))  # at most a thousand anchors
+    here = found.join(hot, "h").unionByName(found.join(hot, "h", "left_anti").join(often.select("h"), "h"))
+    # an expression of h as key, so that this aggregation has an exchange of its own with partial sums
+    same = here.withColumn("anchor", F.expr("h + 0L")).groupBy("anchor", "s")
     counted = same.agg(F.count("*").alias("count"), F.min("dk").alias("rep"), F.min_by("pos", "dk").alias("pos"), F.min("n").alias("n"), F.collect_set(_shard("dk", n_shards)).alias("shards"))
     distinct = stored(counted, "distinct")
     single = F.when(F.col("count") == 1, F.col("shards")[0]).otherwise(-1)

@@ -7,7 +7,8 @@ Sets that are equal collapse first. Then links are sought in rounds, and each is
 2. Prefix filtering, for the rest: in any fixed order of all shingles, two sets of similarity t or more share one of the
    first n - ceil(t * n) + 1 shingles of each (n: the set's size). The order puts shingles that are common in a sample of
    the corpus last, so that lists of a shared passage stay out of the prefixes; the sample decides the cost only, never the
-   result. Lists are met by their smallest and their largest member before all remaining pairs are formed, and pairs that
+   result. The shared shingles of the two prefixes are tallied: a pair whose tally leaves no room for the similarity goes
+   without a look at its texts. Lists are met by their smallest and their largest member before all remaining pairs are formed, and pairs that
    earlier links connect are left out, so that a large cluster costs about a link a member.
 
 Defined results: words are lower-cased (ASCII); a text of fewer words than the width is one shingle; null and blank texts
@@ -45,16 +46,30 @@ def shingles(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return every, np.unique(every)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the order: by hash, common ones (sorted, with their places) last."""
+def prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles in the order: by hash, common ones (sorted, with their places) last; and how many of them are not common."""
     size = len(found)
     take = size + (-percent * size) // 100 + 1 if size else 0
     if not len(common):
-        return found[:take]
+        return found[:take], take
     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
     late = common[at] == found
     rare = found[~late]
-    return rare[:take] if len(rare) >= take else np.concatenate([rare, found[late][np.argsort(places[at[late]])]])[:take]
+    if len(rare) >= take:
+        return rare[:take], take
+    return np.concatenate([rare, found[late][np.argsort(places[at[late]])]])[:take], len(rare)
+
+
+def plausible(a: np.ndarray, rare_a: int, size_a: int, b: np.ndarray, rare_b: int, size_b: int, percent: int = PERCENT) -> bool:
+    """Whether two sets may be similar, as far as their prefixes tell: up to the earlier end of what is known of both, the
+    tally of shared shingles is exact; all that comes after may be shared."""
+    known_a, known_b = a[:rare_a], b[:rare_b]
+    for known, whole in ((known_a, rare_a < len(a)), (known_b, rare_b < len(b))):
+        if not whole:  # rare shingles beyond its end are not known
+            end = known[-1] if len(known) else np.uint64(0)
+            known_a, known_b = known_a[: np.searchsorted(known_a, end, side="right")], known_b[: np.searchsorted(known_b, end, side="right")]
+    most = len(np.intersect1d(known_a, known_b, assume_unique=True)) + min(size_a - len(known_a), size_b - len(known_b))
+    return most * (100 + percent) >= percent * (size_a + size_b)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -87,22 +102,39 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np
 
 
 def keyed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """id, tk, fp (key of the shingle set), sim (its fingerprint), size and prefix for every row."""
+    """id, tk, fp (key of the shingle set), sim (its fingerprint), size, prefix and rare (see prefix()) for every row."""
     common, places = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1_000):
-                keys, sims, sizes, first, part = [], [], [], [], b.slice(lo, 1_000)
+                keys, sims, sizes, first, rare, part = [], [], [], [], [], b.slice(lo, 1_000)
                 for x in part.column(2):
                     every, found = shingles(x.as_py(), width)
                     keys.append(_key(found))
                     sims.append(simhash.majority(every))
                     sizes.append(len(found))
-                    first.append(prefix(found, common, places, percent).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(keys), _signed(sims), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["id", "tk", "fp", "sim", "size", "prefix"])
+                    head, n = prefix(found, common, places, percent)
+                    first.append(head.view(np.int64))
+                    rare.append(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(keys), _signed(sims), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(rare, pa.int32())], names=["id", "tk", "fp", "sim", "size", "prefix", "rare"])
+
+    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>, rare int")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the tally of their prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [[np.asarray(x.values).view(np.uint64) for x in b.column(i)] for i in (2, 5)]
+            numbers = [b.column(i).to_pylist() for i in (3, 4, 6, 7)]
+            ok = [plausible(x, rx, nx, y, ry, ny, percent) for x, y, rx, nx, ry, ny in zip(*heads, *numbers, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>")
+    x = sets.select(F.col("fp").alias("a"), F.col("prefix").alias("x"), F.col("rare").alias("rx"), F.col("size").alias("nx"))
+    y = sets.select(F.col("fp").alias("b"), F.col("prefix").alias("y"), F.col("rare").alias("ry"), F.col("size").alias("ny"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "rx", "nx", "y", "ry", "ny").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -150,7 +182,8 @@ def _pairs(lists: DataFrame, labels: DataFrame, pivot, percent: int) -> DataFram
 
 def components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """node, label: components of set keys under similarity of percent or more. rows: the result of keyed(), stored."""
-    posted = rows.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("fp", "size", F.explode("prefix").alias("key"))
+    sets = stored(rows.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare")), "sets")
+    posted = sets.select("fp", "size", F.explode("prefix").alias("key"))
     lists = stored(posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "lists")
     proposed = stored(_proposed(rows), "proposed")
     members = lists.select("fp").unionByName(proposed.select(F.col("a").alias("fp"))).unionByName(proposed.select(F.col("b").alias("fp"))).distinct()
@@ -159,7 +192,8 @@ def components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, width:
     links = stored(_verified(proposed, texts, percent, width), "links")
     labels = connected_components(links)
     for pivot in (F.min, F.max, None):
-        fresh = stored(_verified(stored(_pairs(lists, labels, pivot, percent), "pairs"), texts, percent, width), "links")
+        pairs = stored(_plausible(stored(_pairs(lists, labels, pivot, percent), "pairs"), sets, percent), "plausible")
+        fresh = stored(_verified(pairs, texts, percent, width), "links")
         links = links.unionByName(fresh)
         labels = connected_components(links)
     return labels
