@@ -5,7 +5,8 @@ r"""Toxicity by noisy-channel deobfuscation: Viterbi decoding of character latti
 2. A token that may be disguised becomes a lattice: look-alike digits and signs may stand for letters (LEET), runs of one
    character for one or two of it, and single characters spelled out with separators may be one word. The distinct tokens
    of all documents are dealt into shards; each shard is joined with the counts that its lattices can ask for, and the
-   Viterbi path maximises channel plus trigram log-probability. Tokens that it changes are joined back to their documents.
+   Viterbi path maximises channel plus trigram log-probability. Tokens that it changes go back to their documents, by
+   broadcast up to a checked size and by a join beyond it.
 3. A score is learned from at most `max_labelled` labelled rows: whole words and word starts of four to seven letters
    that significantly more toxic than clean documents have become features with their rates in either. The rows are those
    with the smallest hashes of their ids, so the sample is the same in every run; no other limit leaves a feature out.
@@ -279,14 +280,12 @@ def decoded_tokens(tokens: DataFrame, grams: DataFrame) -> DataFrame:
     return rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("token").isNotNull()).mapInArrow(_decoded, "token string, said string")
 
 
-def decoded_documents(docs: DataFrame) -> DataFrame:
-    """dk, changes (array of token, said) of the documents with tokens that decoding changes. docs: dk, text.
+def decoded_documents(pairs: DataFrame, said: DataFrame) -> DataFrame:
+    """dk, changes (array of token, said) of the documents with tokens that decoding changes. pairs: dk, token; said: of decoded_tokens.
 
     A token that more than a thousandth of all (document, token) pairs share is joined by broadcast: there are at most a
     thousand of these. All others are joined by shuffle, so no key holds more than a thousandth of the rows.
     """
-    pairs = stored(docs.mapInArrow(_tokens, "dk long, token string"), "tokens")
-    said = stored(decoded_tokens(pairs, count_grams(docs)), "said")
     often = max(1_000, pairs.count() // 1_000)
     hot = cut(pairs.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > often).join(said, "token", "left").select("token", "said"))  # at most a thousand rows
     by_hot = pairs.join(F.broadcast(hot), "token").where("said is not null")
@@ -312,9 +311,9 @@ def _changes(value: pa.Scalar) -> dict[str, str]:
     return {x["token"]: x["said"] for x in value.as_py() or ()}
 
 
-def learn(rows: DataFrame, ratio: float = 6.0, error: float = 0.05) -> tuple[float, dict[str, tuple[float, float, float]]]:
+def learn(rows: DataFrame, table=None, ratio: float = 6.0, error: float = 0.05) -> tuple[float, dict[str, tuple[float, float, float]]]:
     """(prior log-odds, feature -> (share, rate in toxic texts with it, rate in clean texts)). rows: text, changes, toxic of the
-    labelled rows to learn from. Every feature whose likelihood ratio is significant among all of them (Bonferroni, at
+    labelled rows to learn from; table: a broadcast of all decoded tokens, in place of changes. Every feature whose likelihood ratio is significant among all of them (Bonferroni, at
     `error`) and whose rate is `ratio` times as high in toxic texts is kept; of related starts the most telling one."""
     names = ["clean", "toxic", "n_clean", "n_toxic", "words"]
 
@@ -322,7 +321,7 @@ def learn(rows: DataFrame, ratio: float = 6.0, error: float = 0.05) -> tuple[flo
         found = {"": [0] * 5}
         for b in batches:
             for text, changes, toxic in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
-                said, at = restore(text.as_py(), _changes(changes)), int(toxic > 0)
+                said, at = restore(text.as_py(), table.value if table else _changes(changes)), int(toxic > 0)
                 n = len(said.split())
                 found[""][at] += 1
                 found[""][2 + at] += n
@@ -392,24 +391,33 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 8_000, decode: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = 8_000, decode: bool = True, broadcast_chars: int = 4_000_000) -> DataFrame:
     """row (a struct of docs' columns), score, predicted. max_labelled bounds the sample of labelled rows that is learned
-    from; decode=False scores the texts as they are, for comparison."""
+    from; decode=False scores the texts as they are, for comparison. Decoded tokens of at most broadcast_chars characters
+    (checked) are broadcast, more are joined to their documents; the result is the same."""
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", text_key()).alias("dk"))
-    changes = stored(decoded_documents(rows.select("dk", "text")), "changes") if decode else spark.createDataFrame([], "dk long, changes array<struct<token:string,said:string>>")
+    changes, table = spark.createDataFrame([], "dk long, changes array<struct<token:string,said:string>>"), None
+    if decode:
+        pairs = stored(rows.select("dk", "text").mapInArrow(_tokens, "dk long, token string"), "tokens")
+        said = stored(decoded_tokens(pairs, count_grams(docs)), "said")
+        if (said.agg(F.sum(F.length("token") + F.length("said"))).first()[0] or 0) <= broadcast_chars:
+            table = spark.sparkContext.broadcast({r.token: r.said for r in said.collect()})  # its size was checked
+        else:
+            changes = stored(decoded_documents(pairs, said), "changes")
+    with_changes = lambda df: df.withColumn("changes", F.lit(None).cast(changes.schema["changes"].dataType)) if table or not decode else df.join(changes, "dk", "left")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # at most max_labelled rows: small enough to broadcast
     labelled = rows.select("id", "text", "dk").join(F.broadcast(sample), "id").select("dk", "text", "toxic")
-    shared = spark.sparkContext.broadcast(learn(labelled.join(changes, "dk", "left")))
+    shared = spark.sparkContext.broadcast(learn(with_changes(labelled), table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in batches:
-            scores = [scorer.score(restore(x.as_py(), _changes(c))) for x, c in zip(b.column(1), b.column(2), strict=True)]
+            scores = [scorer.score(restore(x.as_py(), table.value if table else _changes(c))) for x, c in zip(b.column(1), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["row", "score", "predicted"])
 
-    joined = rows.join(changes, "dk", "left").select("row", "text", "changes")
+    joined = with_changes(rows).select("row", "text", "changes")
     return joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 

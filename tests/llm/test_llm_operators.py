@@ -627,6 +627,8 @@ def test_toxicity(spark, empty):
     assert all(out[i].predicted == y for i, y in labels)
     assert out[1000].predicted == out[1001].predicted == 0 and out[1000].score == out[1001].score
     assert out[None].predicted == out[1002].predicted == 1
+    joined = {r.row.doc_id: r for r in toxicity.score_documents(frame, lab, broadcast_chars=0).collect()}
+    assert joined == out
     assert {r.predicted for r in toxicity.score_documents(frame, lab.limit(0)).collect()} == {0}
     assert toxicity.score_documents(empty, lab).count() == 0
     clean = stages.without_toxic(frame, lab)
