@@ -32,7 +32,7 @@ def evaluate(spark: SparkSession, path: str, out: str, names: list[str] | None)
     sections: dict = {"Factors": summary, "Information coefficients": report.with_p_value(report.rows(ic.ic_summary(ic.daily_ic(prepared, "directed_value"), "factor_name")))}
     sections["Quantiles"] = report.rows(quantile.quantile_monotonicity(quantile.quantile_returns(prepared, "directed_value", "forward_return_5d"), 5, "factor_name"))
     if len(summary) > 1:
-        sections["Correlations"] = report.rows(correlation.average_factor_correlation(correlation.daily_factor_correlation(df)))
+        sections["Correlations"] = report.rows(correlation.average_factor_correlation(correlation.daily_factor_correlation(df, [r["factor_name"] for r in summary])))
     Path(out).mkdir(parents=True, exist_ok=True)
     paths = {"json": f"{out}/factor_summary.json", "markdown": f"{out}/factor_report.md"}
     Path(paths["json"]).write_text(report.factor_json(summary), encoding="utf-8")

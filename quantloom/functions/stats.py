@@ -26,11 +26,11 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
 
 
 def average_rank(c: str | Column, *keys: str) -> Column:
-    """1-based rank within keys; ties share the mean of their ranks; NULL stays NULL and comes last."""
+    """1-based rank within keys; ties share the mean of their ranks; NULL stays NULL and comes last. Rank and ties come from one sort: ties are the rows of the same place."""
     c = col(c)
-    place = F.rank().over(Window.partitionBy(*keys).orderBy(c.asc_nulls_last()))
-    ties = F.count(c).over(Window.partitionBy(*keys, c))
-    return F.when(c.isNotNull(), place + (ties - 1) / 2.0)
+    over = Window.partitionBy(*keys).orderBy(c.asc_nulls_last())
+    ties = F.count(c).over(over.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(c.isNotNull(), F.rank().over(over) + (ties - 1) / 2.0)
 
 
 def percentile_rank(c: str | Column, *keys: str) -> Column:

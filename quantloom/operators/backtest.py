@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.factors import daily_return
 from quantloom.operators.universe import executed
+from quantloom.sources.store import materialize
 
 FLAGS = ("is_suspended", "limit_up", "limit_down", "is_st")
 
@@ -57,15 +58,16 @@ def backtest(prices: DataFrame, scores: DataFrame, benchmark: DataFrame | None =
     """date, gross, turnover, cost, portfolio_return, benchmark_return of the invested days.
 
     Weights of a rebalance hold from the next date until the one after the next rebalance, without drift; turnover counts
-    both sides.
+    both sides. prices is read twice or three times: pass a stored table.
     """
-    dates = rebalance_dates(prices, warm_up, period)
+    days = materialize(prices.select("date").distinct(), "calendar")
+    dates = rebalance_dates(days, warm_up, period)
     scored = scores.join(F.broadcast(dates.select("date")), "date")  # one row a rebalance
-    held = target_weights(scored, top)
+    held = materialize(target_weights(scored, top), "targets")
     used = held.select("date").distinct()
     if constrained:
-        held = executed_weights(held, used, prices)
-    calendar = prices.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))  # one row a date
+        held = materialize(executed_weights(held, used, prices), "held")
+    calendar = days.withColumn("next", F.lead("date").over(Window.orderBy("date")))  # one row a date
     spans = used.join(calendar, "date").withColumn("until", F.lead("next").over(Window.orderBy("date")))
     returns = prices.withColumn("r", daily_return()).select("date", "stock", "r")
     spans = spans.select(F.col("date").alias("set_on"), F.col("next").alias("from"), "until").where("from is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +33,13 @@ def combine_equal(df: DataFrame, value: str = "directed_value") -> DataFrame:
     return df.groupBy("date", "stock").agg(F.avg(value).alias("score"))
 
 
-def rolling_weights(ic: DataFrame, method: str = "rolling_ic", lookback: int = 252, min_history: int = 60, value: str = "ic") -> DataFrame:
-    """date, factor_name, weight from IC values before the date. The grid of dates and factors is made dense first, so a window counts dates, not observations."""
+def rolling_weights(ic: DataFrame, factors: Sequence[str], method: str = "rolling_ic", lookback: int = 252, min_history: int = 60, value: str = "ic") -> DataFrame:
+    """date, factor_name, weight of the named factors from IC values before the date. The grid of dates and factors is made dense first, so a window counts dates, not observations."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if not 0 < min_history <= lookback:
         raise ValueError("require 0 < min_history <= lookback")
-    names = [r[0] for r in ic.select("factor_name").distinct().orderBy("factor_name").collect()]
+    names = sorted(set(factors))
     dense = ic.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("factor_name", value))).alias("m"))
     grid = dense.select("date", F.explode(F.array(*map(F.lit, names))).alias("factor_name"), "m").withColumn("v", F.try_element_at("m", F.col("factor_name"))).drop("m")
     past = Window.partitionBy("factor_name").orderBy("date").rowsBetween(-lookback, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from quantloom.functions.stats import average_rank, ratio, safe_corr
 
 
-def daily_factor_correlation(df: DataFrame, value: str = "factor_value") -> DataFrame:
-    """date, factor_a, factor_b, n, pearson, spearman over securities that have both factors.
+def daily_factor_correlation(df: DataFrame, factors: Sequence[str], value: str = "factor_value") -> DataFrame:
+    """date, factor_a, factor_b, n, pearson, spearman over securities that have both of the named factors.
 
     One pivot to a row a (date, stock) and an unpivot to factor pairs, so the table is shuffled once and never joined to itself.
     """
-    names = [r[0] for r in df.select("factor_name").distinct().orderBy("factor_name").collect()]
+    names = sorted(set(factors))
     wide = df.groupBy("date", "stock").pivot("factor_name", names).agg(F.avg(value))
     pairs = F.array(*(F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in combinations(names, 2)))
     long = wide.select("date", "stock", F.inline(pairs)).where("x is not null and y is not null")

@@ -18,14 +18,23 @@ def stack_horizons(df: DataFrame, value: str, horizons: tuple[int, ...], extra:
     return long.select("date", "stock", "factor_name", *extra, F.col(value).alias("x"), F.regexp_extract("_h", r"(\d+)", 1).cast("int").alias("period"), "y")
 
 
-def daily_ic(df: DataFrame, value: str = "factor_value", horizons: tuple[int, ...] = (5,), extra: tuple[str, ...] = (), guarded: bool = True) -> DataFrame:
-    """date, factor_name, period, extra, n, ic, rank_ic. Guarded: days need two pairs and two distinct values on either side, others go. Values are rounded to twelve places: a sign must not hang on the order of summation."""
+def daily_ic(df: DataFrame, value: str = "factor_value", horizons: tuple[int, ...] = (5,), extra: tuple[str, ...] = (), guarded: bool = True, ranks: bool = True) -> DataFrame:
+    """date, factor_name, period, extra, n, ic and, unless ranks is false, rank_ic (which costs two sorts).
+
+    Guarded: days need two pairs and two distinct values on either side, others go. Values are rounded to twelve places: a
+    sign must not hang on the order of summation.
+    """
     pairs = stack_horizons(df, value, horizons, extra)
     keys = ("date", "factor_name", "period", *extra)
-    ranked = pairs.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(safe_corr("x", "y"), 12).alias("ic"), F.round(safe_corr("rx", "ry"), 12).alias("rank_ic"), F.max("x").alias("_hx"), F.min("x").alias("_lx"), F.max("y").alias("_hy"), F.min("y").alias("_ly"))
+    names = ["ic"]
+    columns = [F.count("*").alias("n"), F.round(safe_corr("x", "y"), 12).alias("ic")]
+    if ranks:
+        pairs = pairs.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
+        columns.append(F.round(safe_corr("rx", "ry"), 12).alias("rank_ic"))
+        names.append("rank_ic")
+    out = pairs.groupBy(*keys).agg(*columns, F.max("x").alias("_hx"), F.min("x").alias("_lx"), F.max("y").alias("_hy"), F.min("y").alias("_ly"))
     if guarded:  # two distinct values: the extremes differ
-        out = out.where("n >= 2 and _hx > _lx and _hy > _ly and ic is not null and rank_ic is not null")
+        out = out.where("n >= 2 and _hx > _lx and _hy > _ly").dropna(subset=names)
     return out.drop("_hx", "_lx", "_hy", "_ly")
 
 

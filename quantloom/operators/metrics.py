@@ -75,4 +75,4 @@ def walk_forward_metrics(df: DataFrame, *keys: str, r: str = "net", b: str = "be
     )
 
 
-__all__ = ["annual_return", "backtest_metrics", "geometric_sharpe", "information_ratio", "ratio", "relative_metrics", "sharpe", "total_return", "walk_forward_metrics", "win_rate", "with_drawdown"]
+__all__ = ["annual_return", "backtest_metrics", "geometric_sharpe", "information_ratio", "relative_metrics", "sharpe", "total_return", "walk_forward_metrics", "win_rate", "with_drawdown"]

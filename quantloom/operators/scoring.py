@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import percentile_rank, ratio
+from quantloom.operators.asof import asof_join
 from quantloom.operators.factors import quality_factor, value_factors
 from quantloom.operators.ic import daily_ic
 from quantloom.operators.metrics import sharpe, win_rate, with_drawdown
 from quantloom.operators.preprocess import preprocess_factors, with_direction
 from quantloom.operators.quantile import group_returns
 
+#: Weights of the scores.
 TECHNICAL_WEIGHTS = {"momentum_score": 0.4, "volatility_score": 0.2, "volume_score": 0.2}
 MULTIFACTOR_WEIGHTS = {"technical_score": 0.4, "value_score": 0.3, "quality_score": 0.3}
 
@@ -74,3 +76,26 @@ def multifactor_scores(long: DataFrame, fundamentals: DataFrame, normalization:
     financial = shown.groupBy("stock").agg(mean("pe_factor", "pb_factor").alias("value_score"), mean("roe_factor").alias("quality_score"))
     out = stock_scores(long, normalization).withColumnRenamed("final_score", "technical_score").join(financial, "stock")
     return out.select("stock", "technical_score", F.round("value_score", 2).alias("value_score"), F.round("quality_score", 2).alias("quality_score"), F.round(weighted(MULTIFACTOR_WEIGHTS), 2).alias("multifactor_score"))
+
+
+def multifactor_scores_at(long: DataFrame, fundamentals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """date, stock, score: multifactor scores as of each date, from what was known on it; all dates in one plan.
+
+    candidates: date, stock (the universe of each date). A stock needs a factor row and fundamentals up to the date. The
+    technical cross-section is that of the latest factor date of the date's candidates; stocks without a row on it have no
+    technical score. Fundamentals are each stock's latest.
+    """
+    ids = candidates.select("date", "stock").distinct()
+    known = asof_join(ids, long.select("stock", F.col("date").alias("_on")).distinct(), "date", "_on").where("_on is not null")
+    money = quality_factor(value_factors(fundamentals.select("stock", F.col("date").alias("_as_of"), "pe", "pb", "roe")))
+    known = asof_join(known, money, "date", "_as_of").where("_as_of is not null")
+    known = known.withColumn("_last", F.max("_on").over(Window.partitionBy("date")))
+    rows = known.where("_on = _last").select(F.col("date").alias("_d"), "stock", F.col("_last").alias("date")).join(long.select("date", "stock", "factor_name", "factor_value"), ["date", "stock"])
+    technical = _shown(rows.drop("date").withColumnRenamed("_d", "date"), "cross_sectional_zscore")
+    mean = lambda *names: F.avg(F.when(F.col("factor_name").isin(*names), F.col("score_value")))
+    first = technical.groupBy("date", "stock").agg(mean("momentum_20", "momentum_60").alias("momentum_score"), mean("volatility_20", "volatility_60").alias("volatility_score"), mean("volume_change_20").alias("volume_score"))
+    first = first.select("date", "stock", F.round(weighted(TECHNICAL_WEIGHTS), 2).alias("technical_score"))
+    names = ["pe_factor", "pb_factor", "roe_factor"]
+    financial = _shown(known.select("date", "stock", *names).unpivot(["date", "stock"], names, "factor_name", "factor_value"), "cross_sectional_zscore")
+    second = financial.groupBy("date", "stock").agg(mean("pe_factor", "pb_factor").alias("value_score"), mean("roe_factor").alias("quality_score"))
+    return known.select("date", "stock").join(first, ["date", "stock"], "left").join(second, ["date", "stock"], "left").select("date", "stock", F.round(weighted(MULTIFACTOR_WEIGHTS), 2).alias("score"))

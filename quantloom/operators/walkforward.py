@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.stats import ratio
 from quantloom.operators.ic import TINY, daily_ic
 from quantloom.operators.metrics import walk_forward_metrics
+from quantloom.sources.store import materialize
 
 METHODS = ("equal_weight", "static_weight", "rolling_ic_weight", "rolling_icir_weight")
 
@@ -27,42 +27,56 @@ class WalkForwardConfig:
     mode: str = "rolling"
 
 
-def folds(df: DataFrame, config: WalkForwardConfig) -> DataFrame:
-    """fold, train_start, train_end, test_start, test_end; strictly non-overlapping test periods. The calendar is one row a date."""
+def folds(df: DataFrame, config: WalkForwardConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, fold, train_start, train_end, test_start, test_end; strictly non-overlapping test periods. df: by and date, whose distinct rows are the calendar (one row a date)."""
     if config.mode not in ("rolling", "expanding"):
         raise ValueError("mode must be 'rolling' or 'expanding'")
-    days = df.select("date").where("date is not null").distinct()
-    calendar = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
+    days = df.select(*by, "date").where("date is not null").distinct()
+    calendar = days.select(*by, "date", (F.row_number().over(Window.partitionBy(*by).orderBy("date")) - 1).alias("i"))
     fold = F.floor((F.col("i") - config.min_train) / config.test_window).cast("int")
-    tests = calendar.where(F.col("i") >= config.min_train).groupBy(fold.alias("fold")).agg(F.min("date").alias("test_start"), F.max("date").alias("test_end"), F.min("i").alias("first"))
+    tests = calendar.where(F.col("i") >= config.min_train).groupBy(*by, fold.alias("fold")).agg(F.min("date").alias("test_start"), F.max("date").alias("test_end"), F.min("i").alias("first"))
     start = F.lit(0) if config.mode == "expanding" else F.greatest(F.lit(0), F.col("first") - config.train_window)
     spans = tests.withColumns({"_a": start, "_b": F.col("first") - 1})
-    at = calendar.select(F.col("i").alias("_i"), F.col("date").alias("_d"))
-    spans = spans.join(F.broadcast(at), F.col("_a") == F.col("_i")).withColumnRenamed("_d", "train_start").drop("_i").join(F.broadcast(at), F.col("_b") == F.col("_i")).withColumnRenamed("_d", "train_end")  # one row a date
-    return spans.where(F.col("_b") - F.col("_a") + 1 >= config.min_train).select("fold", "train_start", "train_end", "test_start", "test_end")
+    for place, name in (("_a", "train_start"), ("_b", "train_end")):
+        spans = spans.join(F.broadcast(calendar.select(*by, F.col("i").alias(place), F.col("date").alias(name))), [*by, place])  # one row a date
+    return spans.where(F.col("_b") - F.col("_a") + 1 >= config.min_train).select(*by, "fold", "train_start", "train_end", "test_start", "test_end")
 
 
-def fold_weights(ic: DataFrame, fold_table: DataFrame, methods: tuple[str, ...] = METHODS, static: dict[str, float] | None = None) -> DataFrame:
-    """fold, method, factor_name, weight: signed mean or mean over deviation of the training days' ICs, over the sum of sizes; equal weights if all are nothing."""
-    f = fold_table.select("fold", "train_start", "train_end")
-    train = ic.join(F.broadcast(f), ic.date.between(F.col("train_start"), F.col("train_end")))  # one row a fold
-    s = train.groupBy("fold", "factor_name").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("d"))
+def fold_days(days: DataFrame, fold_table: DataFrame, part: str = "test", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, date, fold: the days of each fold's test or training period. Both sides are small (a row a date, a row a fold); what is longer meets the result by equality."""
+    f = fold_table.select(*by, "fold", F.col(f"{part}_start").alias("_a"), F.col(f"{part}_end").alias("_b"))
+    inside = F.col("date").between(F.col("_a"), F.col("_b"))
+    days = days.select(*by, "date").distinct()
+    met = days.join(F.broadcast(f), list(by)).where(inside) if by else days.join(F.broadcast(f), inside)
+    return met.drop("_a", "_b")
+
+
+def fold_weights(ic: DataFrame, fold_table: DataFrame, methods: tuple[str, ...] = METHODS, static: dict[str, float] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, fold, method, factor_name, weight: signed mean or mean over deviation of the training days' ICs, over the sum of sizes; equal weights if all are nothing."""
+    train = ic.join(F.broadcast(fold_days(ic, fold_table, "train", by)), [*by, "date"])  # one row a fold and training day
+    s = train.groupBy(*by, "fold", "factor_name").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("d"))
     given = F.lit(1.0)
     if static:
         given = F.coalesce(F.element_at(F.create_map(*(x for k, v in sorted(static.items()) for x in (F.lit(k), F.lit(float(v))))), F.col("factor_name")), F.lit(0.0))
     signal = {"equal_weight": F.lit(1.0), "static_weight": given, "rolling_ic_weight": F.coalesce("m", F.lit(0.0)), "rolling_icir_weight": F.when(F.col("d") > TINY, F.coalesce(F.col("m") / F.col("d"), F.lit(0.0))).otherwise(0.0)}
-    long = s.select("fold", "factor_name", F.inline(F.array(*(F.struct(F.lit(m).alias("method"), signal[m].alias("s")) for m in methods))))
-    over = Window.partitionBy("fold", "method")
+    long = s.select(*by, "fold", "factor_name", F.inline(F.array(*(F.struct(F.lit(m).alias("method"), signal[m].alias("s")) for m in methods))))
+    over = Window.partitionBy(*by, "fold", "method")
     total = F.sum(F.abs("s")).over(over)
-    return long.select("fold", "method", "factor_name", F.when(total <= TINY, 1.0 / F.count("*").over(over)).otherwise(F.col("s") / total).alias("weight"))
+    return long.select(*by, "fold", "method", "factor_name", F.when(total <= TINY, 1.0 / F.count("*").over(over)).otherwise(F.col("s") / total).alias("weight"))
 
 
-def portfolio(df: DataFrame, weights: DataFrame, keys: tuple[str, ...], value: str = "directed_value", target: str = "forward_return_1d", top: float = 0.2, cost_rate: float = 0.001) -> DataFrame:
-    """keys, date, gross, benchmark, turnover, cost, net of the stocks whose score is at or above the day's (1 - top) quantile. df: rows with keys but the ones of weights; weights: keys, factor_name, weight (a small table)."""
+def portfolio(df: DataFrame, weights: DataFrame, keys: tuple[str, ...], value: str = "directed_value", target: str = "forward_return_1d", top: float | tuple[float, ...] = 0.2, cost_rate: float = 0.001) -> DataFrame:
+    """keys, date, gross, benchmark, turnover, cost, net of the stocks whose score is at or above the day's (1 - top) quantile. df: rows with keys but the ones of weights; weights: keys, factor_name, weight (a small table). Several tops give a row each, with the column top: scores and quantiles are made once."""
     shared = [k for k in keys if k in df.columns]
     scored = df.join(F.broadcast(weights), [*shared, "factor_name"]).groupBy(*keys, "date", "stock").agg(F.sum(F.col("weight") * F.col(value)).alias("score"), F.max(target).alias("r")).where("score is not null and r is not null")
     day = Window.partitionBy(*keys, "date")
-    held = scored.withColumn("held", F.col("score") >= F.percentile("score", 1 - top).over(day))
+    if isinstance(top, tuple):
+        marked = scored.withColumn("_cuts", F.percentile("score", [1 - t for t in top]).over(day))
+        marked = marked.select("*", F.inline(F.array(*(F.struct(F.lit(t).alias("top"), F.col("_cuts")[i].alias("_cut")) for i, t in enumerate(top)))))
+        keys = (*keys, "top")
+    else:
+        marked = scored.withColumn("_cut", F.percentile("score", 1 - top).over(day))
+    held = marked.withColumn("held", F.col("score") >= F.col("_cut"))
     daily = held.groupBy(*keys, "date").agg(F.avg(F.when(F.col("held"), F.col("r"))).alias("gross"), F.avg("r").alias("benchmark"), F.collect_set(F.when(F.col("held"), F.col("stock"))).alias("holding"))
     order = Window.partitionBy(*keys).orderBy("date")
     before = F.lag("holding").over(order)
@@ -71,22 +85,22 @@ def portfolio(df: DataFrame, weights: DataFrame, keys: tuple[str, ...], value: s
     return daily.withColumn("cost", F.col("turnover") * cost_rate).withColumn("net", F.col("gross") - F.col("cost")).drop("holding")
 
 
-def with_fold(df: DataFrame, fold_table: DataFrame, part: str = "test") -> DataFrame:
-    """Rows of each fold's test (or training) period with the fold's number; fold_table is one row a fold."""
-    f = fold_table.select("fold", F.col(f"{part}_start").alias("_a"), F.col(f"{part}_end").alias("_b"))
-    return df.join(F.broadcast(f), df.date.between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-
+def walk_forward(df: DataFrame, config: WalkForwardConfig = WalkForwardConfig(), methods: tuple[str, ...] = METHODS, value: str = "directed_value", target: str = "forward_return_1d", in_sample: bool = False, static: dict[str, float] | None = None, top: float | tuple[float, ...] = 0.2, by: tuple[str, ...] = (), ic: DataFrame | None = None) -> DataFrame:
+    """by, fold, method, date, gross, benchmark, turnover, cost, net of the test days (or, in_sample, of the training days).
 
-def walk_forward(df: DataFrame, config: WalkForwardConfig = WalkForwardConfig(), methods: tuple[str, ...] = METHODS, value: str = "directed_value", target: str = "forward_return_1d", in_sample: bool = False, static: dict[str, float] | None = None, top: float = 0.2) -> DataFrame:
-    """fold, method, date, gross, benchmark, turnover, cost, net of the test days (or, in_sample, of the training days)."""
+    df is read three times (calendar, ICs, portfolios): pass a stored table. by: keys of independent walks in one plan, such
+    as models; ic: daily ICs by them, where they need not be made of df.
+    """
     horizon = int(target.removeprefix("forward_return_").removesuffix("d"))
-    table = folds(df, config)
-    weights = fold_weights(daily_ic(df, value, (horizon,)), table, methods, static)
-    return portfolio(with_fold(df, table, "train" if in_sample else "test"), weights, ("fold", "method"), value, target, top, config.transaction_cost)
+    days = materialize(df.select(*by, "date").distinct(), "calendar")
+    table = folds(days, config, by)
+    weights = fold_weights(daily_ic(df, value, (horizon,), by, ranks=False) if ic is None else ic, table, methods, static, by)
+    rows = df.join(F.broadcast(fold_days(days, table, "train" if in_sample else "test", by)), [*by, "date"])  # one row a fold and day
+    return portfolio(rows, weights, (*by, "fold", "method"), value, target, top, config.transaction_cost)
 
 
 def summarize(daily: DataFrame, *keys: str) -> DataFrame:
     return walk_forward_metrics(daily, *keys)
 
 
-__all__ = ["METHODS", "WalkForwardConfig", "fold_weights", "folds", "portfolio", "ratio", "summarize", "walk_forward", "with_fold"]
+__all__ = ["METHODS", "WalkForwardConfig", "fold_days", "fold_weights", "folds", "portfolio", "summarize", "walk_forward"]

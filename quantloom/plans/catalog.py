@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from quantloom.operators import factors as fa
 from quantloom.plans import studies
 from quantloom.plans.sql import CTE, HORIZONS, SUMMARY, ic as ic_sql, rank, with_
 from quantloom.sources import fixtures, ingest
+from quantloom.sources.store import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +76,15 @@ def prep(spark, d, **options):
     return preprocess.with_direction(preprocess.preprocess_factors(long(spark, d), **options))
 
 
+def held(spark, d):
+    """prep(), stored once for plans that read it several times."""
+    return materialize(prep(spark, d), "prepared")
+
+
+def walk(spark, d, **options):
+    return walkforward.walk_forward(held(spark, d), WF, **options)
+
+
 def ics(spark, d, horizons=HORIZONS):
     return ic.daily_ic(prep(spark, d), "directed_value", horizons)
 
@@ -210,7 +221,7 @@ def _(spark, d):
 @query("ic_stability", R("full_ic same_sign_ratio yearly_std stability_score", f"""(SELECT factor_name, max(f) AS full_ic, avg(CASE WHEN sign(mean_rank_ic) = sign(f) THEN 1.0 ELSE 0.0 END) AS same_sign_ratio, arg_max(year, (mean_rank_ic, -year)) AS best_year, arg_min(year, (mean_rank_ic, year)) AS worst_year, stddev_samp(mean_rank_ic) AS yearly_std,
   avg(CASE WHEN sign(mean_rank_ic) = sign(f) THEN 1.0 ELSE 0.0 END) * abs(max(f)) / nullif(stddev_samp(mean_rank_ic), 0) AS stability_score FROM {_YEARLY} y JOIN (SELECT factor_name AS fn, avg(rank_ic) AS f FROM ics WHERE period = 5 GROUP BY factor_name) ON fn = factor_name GROUP BY factor_name)""", "factor_name best_year worst_year"))
 def _(spark, d):
-    p = prep(spark, d)
+    p = held(spark, d)
     return ic.stability(ic.yearly_ic(p, "directed_value"), ic.ic_summary(ic.daily_ic(p, "directed_value"), "factor_name"))
 
 
@@ -262,12 +273,12 @@ def _(spark, d):
 
 @query("factor_correlation", "SELECT factor_a, factor_b, round(avg(coalesce(pearson, 0.0)), 6) + 0.0 AS mean_pearson, round(avg(coalesce(spearman, 0.0)), 6) + 0.0 AS mean_spearman, count(*) AS days, abs(avg(coalesce(spearman, 0.0))) > 0.8 AS redundant FROM fcorr GROUP BY factor_a, factor_b")
 def _(spark, d):
-    return correlation.average_factor_correlation(correlation.daily_factor_correlation(long(spark, d)))
+    return correlation.average_factor_correlation(correlation.daily_factor_correlation(long(spark, d), fa.TECHNICAL))
 
 
 @query("factor_correlation_p95", "SELECT factor_a, factor_b, round(avg(spearman), 6) + 0.0 AS mean_spearman, round(quantile_cont(abs(spearman), 0.95), 6) + 0.0 AS p95_abs_spearman, quantile_cont(abs(spearman), 0.95) > 0.8 AS flagged FROM fcorr GROUP BY factor_a, factor_b")
 def _(spark, d):
-    return correlation.tail_factor_correlation(correlation.daily_factor_correlation(long(spark, d)))
+    return correlation.tail_factor_correlation(correlation.daily_factor_correlation(long(spark, d), fa.TECHNICAL))
 
 
 _ORTH = """(SELECT date, stock, 'volatility_60' AS factor_name, round((y - avg(y) OVER w) - coalesce(covar_pop(x, y) OVER w / nullif(var_pop(x) OVER w, 0), 0.0) * (x - avg(x) OVER w), 12) AS x, y5 AS y, 5 AS period FROM (
@@ -433,12 +444,12 @@ def _roll_sql(icir: bool) -> str:
 
 @query("rolling_ic_weights", _roll_sql(False))
 def _(spark, d):
-    return combine.rolling_weights(ics(spark, d, (1,)), "rolling_ic", 120, 30)
+    return combine.rolling_weights(ic.daily_ic(prep(spark, d), "directed_value", (1,), ranks=False), fa.TECHNICAL, "rolling_ic", 120, 30)
 
 
 @query("rolling_icir_weights", _roll_sql(True))
 def _(spark, d):
-    return combine.rolling_weights(ics(spark, d, (1,)), "rolling_icir", 120, 30)
+    return combine.rolling_weights(ic.daily_ic(prep(spark, d), "directed_value", (1,), ranks=False), fa.TECHNICAL, "rolling_icir", 120, 30)
 
 
 # --- walk-forward ---------------------------------------------------------------------------------------------------
@@ -451,13 +462,13 @@ def _(spark, d):
 
 @query("wf_weights", R("weight", "(SELECT CAST(fold AS BIGINT) AS fold, method, factor_name, weight FROM fold_weights)", "fold method factor_name"))
 def _(spark, d):
-    p = prep(spark, d)
-    return walkforward.fold_weights(ic.daily_ic(p, "directed_value", (1,)), walkforward.folds(p, WF))
+    p = held(spark, d)
+    return walkforward.fold_weights(ic.daily_ic(p, "directed_value", (1,), ranks=False), walkforward.folds(p, WF))
 
 
 @query("wf_daily", R("gross benchmark turnover cost net", "(SELECT * REPLACE (CAST(fold AS BIGINT) AS fold) FROM wf_daily)", "fold method date"))
 def _(spark, d):
-    return walkforward.walk_forward(prep(spark, d), WF).select("fold", "method", "date", "gross", "benchmark", "turnover", "cost", "net")
+    return walk(spark, d).select("fold", "method", "date", "gross", "benchmark", "turnover", "cost", "net")
 
 
 _WFM = "annualized_return volatility sharpe max_drawdown information_ratio turnover transaction_cost benchmark_excess_return"
@@ -471,50 +482,45 @@ def _wf_sql(source: str, keys: str) -> str:
 
 @query("wf_summary", R(_WFM, _wf_sql("wf_curve", "fold, method").replace("SELECT fold, method", "SELECT CAST(fold AS BIGINT) AS fold, method", 1), "fold method"))
 def _(spark, d):
-    return walkforward.summarize(walkforward.walk_forward(prep(spark, d), WF), "fold", "method")
+    return walkforward.summarize(walk(spark, d), "fold", "method")
 
 
 @query("wf_strategies", R(_WFM, _wf_sql("(SELECT *, e / max(e) OVER (PARTITION BY method ORDER BY date) - 1 AS drawdown FROM (SELECT *, product(1 + net) OVER (PARTITION BY method ORDER BY date) AS e FROM wf_daily))", "method"), "method"))
 def _(spark, d):
-    return walkforward.summarize(walkforward.walk_forward(prep(spark, d), WF), "method")
+    return walkforward.summarize(walk(spark, d), "method")
 
 
 @query("turnover", R("turnover", "(SELECT method, CAST(fold AS BIGINT) AS fold, sum(turnover) AS turnover FROM wf_daily GROUP BY method, fold)", "method fold"))
 def _(spark, d):
-    return walkforward.walk_forward(prep(spark, d), WF).groupBy("method", "fold").agg(F.sum("turnover").alias("turnover"))
+    return walk(spark, d).groupBy("method", "fold").agg(F.sum("turnover").alias("turnover"))
 
 
 @query("drawdown_curve", R("equity drawdown", "(SELECT method, CAST(fold AS BIGINT) AS fold, date, equity, drawdown FROM wf_curve)", "method fold date"))
 def _(spark, d):
-    return metrics.with_drawdown(walkforward.walk_forward(prep(spark, d), WF), "net", "fold", "method").select("method", "fold", "date", "equity", "drawdown")
+    return metrics.with_drawdown(walk(spark, d), "net", "fold", "method").select("method", "fold", "date", "equity", "drawdown")
 
 
 @query("relative_metrics", """SELECT method, round(beta, 6) + 0.0 AS beta, round((m - beta * mb) * 252, 6) + 0.0 AS jensen_alpha, round(te, 6) + 0.0 AS tracking_error, round(me * 252, 6) + 0.0 AS annualized_excess_return, round(ir, 6) + 0.0 AS information_ratio FROM (
   SELECT method, CASE WHEN var_samp(benchmark) > 1e-16 THEN covar_samp(net, benchmark) / var_samp(benchmark) END AS beta, avg(net) AS m, avg(benchmark) AS mb, stddev_samp(net - benchmark) * sqrt(252.0) AS te, avg(net - benchmark) AS me, CASE WHEN stddev_samp(net - benchmark) > 1e-12 THEN avg(net - benchmark) / stddev_samp(net - benchmark) * sqrt(252.0) ELSE 0.0 END AS ir FROM wf_daily GROUP BY method)""")
 def _(spark, d):
-    return metrics.relative_metrics(walkforward.walk_forward(prep(spark, d), WF), "net", "benchmark", "method")
+    return metrics.relative_metrics(walk(spark, d), "net", "benchmark", "method")
 
 
 @query("yearly_oos", "SELECT method, year(date) AS year, round(product(1 + net) - 1, 6) + 0.0 AS strategy_return, round(product(1 + benchmark) - 1, 6) + 0.0 AS benchmark_return, round(avg(CASE WHEN net > benchmark THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS excess_win_rate, round(sum(turnover), 6) + 0.0 AS turnover, round(sum(cost), 6) + 0.0 AS transaction_cost FROM wf_daily GROUP BY method, year(date)")
 def _(spark, d):
-    daily = walkforward.walk_forward(prep(spark, d), WF).withColumn("year", F.year("date"))
+    daily = walk(spark, d).withColumn("year", F.year("date"))
     return daily.groupBy("method", "year").agg(metrics.total_return("net").alias("strategy_return"), metrics.total_return("benchmark").alias("benchmark_return"), F.avg((F.col("net") > F.col("benchmark")).cast("double")).alias("excess_win_rate"), F.sum("turnover").alias("turnover"), F.sum("cost").alias("transaction_cost"))
 
 
 @query("cost_sensitivity", "SELECT method, CAST(bp AS BIGINT) AS bp, round(product(1 + gross - turnover * bp / 10000.0) - 1, 6) + 0.0 AS total_return FROM wf_daily CROSS JOIN (VALUES (0), (5), (10), (20), (30)) t(bp) GROUP BY method, bp")
 def _(spark, d):
-    daily = walkforward.walk_forward(prep(spark, d), WF).select("method", "gross", "turnover", F.explode(F.array(*map(F.lit, (0, 5, 10, 20, 30)))).alias("bp"))
+    daily = walk(spark, d).select("method", "gross", "turnover", F.explode(F.array(*map(F.lit, (0, 5, 10, 20, 30)))).alias("bp"))
     return daily.withColumn("net", F.col("gross") - F.col("turnover") * F.col("bp") / 10000.0).groupBy("method", "bp").agg(metrics.total_return("net").alias("total_return"))
 
 
 @query("top_sensitivity", "SELECT round(top, 6) + 0.0 AS top, round(product(1 + gross) - 1, 6) + 0.0 AS total_return FROM (SELECT fold, date, top, avg(CASE WHEN score >= cut THEN r END) AS gross FROM (SELECT *, CASE top WHEN CAST(0.1 AS DOUBLE) THEN quantile_cont(score, 0.9) OVER w WHEN CAST(0.2 AS DOUBLE) THEN quantile_cont(score, 0.8) OVER w ELSE quantile_cont(score, 0.7) OVER w END AS cut FROM wf_scored CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.2 AS DOUBLE)), (CAST(0.3 AS DOUBLE))) t(top) WHERE method = 'equal_weight' WINDOW w AS (PARTITION BY fold, date, top)) GROUP BY fold, date, top) GROUP BY top")
 def _(spark, d):
-    p = prep(spark, d)
-    out = None
-    for top in (0.1, 0.2, 0.3):
-        part = walkforward.walk_forward(p, WF, ("equal_weight",), top=top).agg(metrics.total_return("gross").alias("total_return")).withColumn("top", F.lit(top))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return walk(spark, d, methods=("equal_weight",), top=(0.1, 0.2, 0.3)).groupBy("top").agg(metrics.total_return("gross").alias("total_return"))
 
 
 # --- scores and backtest --------------------------------------------------------------------------------------------
@@ -536,21 +542,33 @@ def _(spark, d):
     return scoring.stock_scores(long(spark, d))
 
 
-@query("stock_scores_ts")
+CTE["ts_scores"] = f"SELECT * FROM (SELECT stock, factor_name, {rank('v', 'stock, factor_name')} / count(*) OVER (PARTITION BY stock, factor_name) * 100 AS s, row_number() OVER (PARTITION BY stock, factor_name ORDER BY date DESC) AS i FROM (SELECT *, CASE WHEN factor_name = 'volume_change_20' THEN -abs(factor_value - CAST(1.2 AS DOUBLE)) WHEN factor_name LIKE 'volatility%' THEN -factor_value ELSE factor_value END AS v FROM long)) WHERE i = 1"
+_STOCK_TS = _STOCK[: _STOCK.index("FROM (SELECT stock, factor_name, (rank()")] + "FROM ts_scores GROUP BY stock))"
+
+
+@query("stock_scores_ts", R("momentum_score volatility_score volume_score final_score", _STOCK_TS, "stock"))
 def _(spark, d):
     return scoring.stock_scores(long(spark, d), "time_series_percentile")
 
 
-@query("multifactor_scores")
+CTE["mf_latest"] = "SELECT * FROM (SELECT p.stock, pe, pb, roe, row_number() OVER (PARTITION BY p.stock ORDER BY p.date DESC) AS i FROM panel p ASOF LEFT JOIN reports r ON p.stock = r.stock AND p.date >= r.announcement_date WHERE pe IS NOT NULL) WHERE i = 1"
+CTE["mf_long"] = "SELECT stock, 'pe_factor' AS factor_name, CASE WHEN pe > 0 THEN 1.0 / pe END AS v FROM mf_latest UNION ALL SELECT stock, 'pb_factor', CASE WHEN pb > 0 THEN 1.0 / pb END FROM mf_latest UNION ALL SELECT stock, 'roe_factor', roe FROM mf_latest"
+CTE["mf_w"] = "SELECT *, least(greatest(v, quantile_cont(v, 0.01) OVER k), quantile_cont(v, 0.99) OVER k) AS w FROM (SELECT * FROM mf_long WHERE v IS NOT NULL) WINDOW k AS (PARTITION BY factor_name)"
+CTE["mf_z"] = "SELECT *, CASE WHEN stddev_pop(w) OVER k > 1e-12 THEN round((w - avg(w) OVER k) / stddev_pop(w) OVER k, 12) ELSE 0.0 END AS z FROM mf_w WINDOW k AS (PARTITION BY factor_name)"
+CTE["mf_scores"] = f"SELECT stock, avg(s) FILTER (WHERE factor_name <> 'roe_factor') AS value_score, avg(s) FILTER (WHERE factor_name = 'roe_factor') AS quality_score FROM (SELECT *, {rank('z', 'factor_name')} / count(*) OVER (PARTITION BY factor_name) * 100 AS s FROM mf_z) GROUP BY stock"
+_MULTI = f"(SELECT stock, technical_score, round(value_score, 2) AS value_score, round(quality_score, 2) AS quality_score, round({_weigh({'technical_score': 0.4, 'value_score': 0.3, 'quality_score': 0.3})}, 2) AS multifactor_score FROM (SELECT stock, final_score AS technical_score FROM {_STOCK}) JOIN mf_scores USING (stock))"
+
+
+@query("multifactor_scores", R("technical_score value_score quality_score multifactor_score", _MULTI, "stock"))
 def _(spark, d):
     f = pit.align_fundamentals(fixtures.panel(spark, d).select("date", "stock"), fixtures.reports(spark, d)).where("pe is not null")
     return scoring.multifactor_scores(long(spark, d), f)
 
 
 def _backtest(spark, d, constrained):
-    p = fixtures.panel(spark, d)
-    scores = combine.combine_equal(prep(spark, d))
-    market = market_metadata.enrich(p) if constrained else p
+    p = materialize(fixtures.panel(spark, d), "panel")
+    scores = combine.combine_equal(preprocess.with_direction(preprocess.preprocess_factors(fa.to_long(fa.technical_factors(p)))))
+    market = materialize(market_metadata.enrich(p), "market") if constrained else p
     return backtest.backtest(market, scores, fixtures.benchmark(p), constrained=constrained)
 
 
@@ -560,12 +578,13 @@ tw AS (SELECT date, stock, 1.0 / k AS weight FROM (SELECT *, row_number() OVER (
 sp AS (SELECT u.date AS set_on, c.nxt AS a, lead(c.nxt) OVER (ORDER BY u.date) AS b, row_number() OVER (ORDER BY u.date) AS j FROM (SELECT DISTINCT date FROM tw) u JOIN cal c ON u.date = c.date),
 dy AS (SELECT cal.date, sp.set_on, sp.a FROM cal JOIN sp ON cal.date >= sp.a AND (sp.b IS NULL OR cal.date < sp.b)),
 gr AS (SELECT dy.date, dy.set_on, any_value(dy.a) AS a, coalesce(sum(weight * r), 0.0) AS gross, sum(weight) AS inv FROM dy JOIN tw ON tw.date = dy.set_on LEFT JOIN returns q ON q.date = dy.date AND q.stock = tw.stock GROUP BY dy.date, dy.set_on),
-mv AS (SELECT j, sum(abs(w - pw)) AS moved FROM (SELECT j, stock, w, lag(w, 1, 0.0) OVER (PARTITION BY stock ORDER BY j) AS pw FROM (SELECT sp.j, s.stock, coalesce(tw.weight, 0.0) AS w FROM sp CROSS JOIN (SELECT DISTINCT stock FROM tw) s LEFT JOIN tw ON tw.date = sp.set_on AND tw.stock = s.stock)) GROUP BY j)
-SELECT gr.date, round(gross, 6) + 0.0 AS gross, round(t, 6) + 0.0 AS turnover, round(t * 0.001, 6) + 0.0 AS cost, round(gross - t * 0.001, 6) + 0.0 AS portfolio_return, round(benchmark_return, 6) + 0.0 AS benchmark_return FROM (
-  SELECT gr.*, CASE WHEN gr.date = gr.a THEN coalesce(mv.moved, 0.0) ELSE 0.0 END AS t FROM gr JOIN sp ON sp.set_on = gr.set_on LEFT JOIN mv ON mv.j = sp.j WHERE inv > 0) gr JOIN bench ON bench.date = gr.date WHERE benchmark_return IS NOT NULL"""
+mv AS (SELECT j, sum(abs(w - pw)) AS moved FROM (SELECT j, stock, w, lag(w, 1, 0.0) OVER (PARTITION BY stock ORDER BY j) AS pw FROM (SELECT sp.j, s.stock, coalesce(tw.weight, 0.0) AS w FROM sp CROSS JOIN (SELECT DISTINCT stock FROM tw) s LEFT JOIN tw ON tw.date = sp.set_on AND tw.stock = s.stock)) GROUP BY j),
+bt AS (SELECT gr.date, gross, t AS turnover, t * 0.001 AS cost, gross - t * 0.001 AS portfolio_return, benchmark_return FROM (
+  SELECT gr.*, CASE WHEN gr.date = gr.a THEN coalesce(mv.moved, 0.0) ELSE 0.0 END AS t FROM gr JOIN sp ON sp.set_on = gr.set_on LEFT JOIN mv ON mv.j = sp.j WHERE inv > 0) gr JOIN bench ON bench.date = gr.date WHERE benchmark_return IS NOT NULL)"""
+_BT_COLS = "gross turnover cost portfolio_return benchmark_return"
 
 
-@query("backtest_daily", _BT)
+@query("backtest_daily", _BT + " " + R(_BT_COLS, "bt", "date"))
 def _(spark, d):
     return _backtest(spark, d, False)
 
@@ -575,7 +594,13 @@ def _(spark, d):
     return _backtest(spark, d, True)
 
 
-@query("perf_metrics")
+_PERF = "total_return benchmark_return alpha annual_return sharpe_ratio max_drawdown win_rate information_ratio"
+_PERF_SQL = """(SELECT 'equal_weight' AS strategy, product(1 + portfolio_return) - 1 AS total_return, product(1 + benchmark_return) - 1 AS benchmark_return, product(1 + portfolio_return) - product(1 + benchmark_return) AS alpha, CASE WHEN product(1 + portfolio_return) <= 0 THEN -1.0 ELSE power(product(1 + portfolio_return), 252.0 / count(portfolio_return)) - 1 END AS annual_return,
+  CASE WHEN stddev_samp(portfolio_return) > 1e-12 THEN avg(portfolio_return) / stddev_samp(portfolio_return) * sqrt(252.0) ELSE 0.0 END AS sharpe_ratio, min(drawdown) AS max_drawdown, avg(CASE WHEN portfolio_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, CASE WHEN stddev_samp(portfolio_return - benchmark_return) > 1e-12 THEN avg(portfolio_return - benchmark_return) / stddev_samp(portfolio_return - benchmark_return) * sqrt(252.0) ELSE 0.0 END AS information_ratio
+  FROM (SELECT *, e / max(e) OVER (ORDER BY date) - 1 AS drawdown FROM (SELECT *, product(1 + portfolio_return) OVER (ORDER BY date) AS e FROM bt)))"""
+
+
+@query("perf_metrics", _BT + " " + R(_PERF, _PERF_SQL, "strategy"))
 def _(spark, d):
     return metrics.backtest_metrics(_backtest(spark, d, False).withColumn("strategy", F.lit("equal_weight")), "portfolio_return", "benchmark_return", "strategy")
 
@@ -605,7 +630,11 @@ def _(spark, d):
     return guards.stable_sample(fixtures.panel(spark, d), 25, 20240911)
 
 
-@query("momentum_diagnosis", "SELECT factor_name, CASE WHEN bool_and(m > 0) THEN 'PERSISTENT_MOMENTUM' WHEN bool_and(m < 0) THEN 'PERSISTENT_REVERSAL' ELSE 'REGIME_DEPENDENT' END AS diagnosis FROM (SELECT factor_name, period, avg(rank_ic) AS m FROM ics GROUP BY factor_name, period) GROUP BY factor_name")
+def _diagnosis_sql(where: str = "") -> str:
+    return f"SELECT factor_name, CASE WHEN count(*) FILTER (WHERE period IN (1, 5) AND m < 0) = 2 AND count(*) FILTER (WHERE period IN (20, 40) AND m > 0) > 0 THEN 'short-term reversal pattern' WHEN bool_and(coalesce(m < 0, FALSE)) THEN 'momentum broadly ineffective in this sample' ELSE 'sample noise / regime dependence' END AS diagnosis FROM (SELECT factor_name, period, avg(rank_ic) AS m FROM ics{where} GROUP BY factor_name, period) GROUP BY factor_name"
+
+
+@query("momentum_diagnosis", _diagnosis_sql())
 def _(spark, d):
     return guards.momentum_diagnosis(ic.ic_decay(prep(spark, d), "directed_value", HORIZONS))
 
@@ -640,7 +669,7 @@ CTE["mo_pairs"] = " UNION ALL ".join(f"SELECT date, stock, factor_name, '{n}' AS
 
 @query("robustness_grid_momentum", _grid_sql("mo_pairs"))
 def _(spark, d):
-    return studies.momentum_grid(prep(spark, d), fixtures.panel(spark, d))
+    return studies.momentum_grid(held(spark, d), materialize(fixtures.panel(spark, d), "panel"))
 
 
 @query("robustness_class", f"SELECT factor_name, round(min(m), 6) + 0.0 AS min_ic, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_share, CASE WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) = 1 AND min(m) > 0.03 THEN 'ROBUST' WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) >= 0.75 THEN 'PARTIALLY_ROBUST' ELSE 'NOT_ROBUST' END AS robustness FROM (SELECT factor_name, variant, avg(rank_ic) AS m FROM ({ic_sql('lv_pairs', ', variant')}) WHERE period = 5 GROUP BY factor_name, variant) GROUP BY factor_name")
@@ -657,18 +686,18 @@ CTE["mr_pairs"] = "SELECT * FROM mo_pairs UNION ALL SELECT * FROM ms_pairs"
 
 @query("robustness_momentum_scopes", "SELECT * RENAME (variant AS scope) FROM (" + _grid_sql("ms_pairs") + ")")
 def _(spark, d):
-    return studies.momentum_scopes(prep(spark, d), fixtures.panel(spark, d))
+    return studies.momentum_scopes(held(spark, d), materialize(fixtures.panel(spark, d), "panel"))
 
 
 @query("momentum_reversal", f"SELECT CASE WHEN bool_and(coalesce(m < 0, FALSE)) THEN 'PERSISTENT_REVERSAL' ELSE 'REGIME_DEPENDENT' END AS diagnosis FROM (SELECT avg(rank_ic) AS m FROM ({ic_sql('mr_pairs', ', variant')}) GROUP BY factor_name, variant, period)")
 def _(spark, d):
-    return studies.momentum_reversal(prep(spark, d), fixtures.panel(spark, d))
+    return studies.momentum_reversal(held(spark, d), materialize(fixtures.panel(spark, d), "panel"))
 
 
-@query("momentum_short_term", "SELECT factor_name, CASE WHEN count(*) FILTER (WHERE period IN (1, 5) AND m < 0) = 2 AND count(*) FILTER (WHERE period IN (20, 40) AND m > 0) > 0 THEN 'short-term reversal pattern' WHEN bool_and(coalesce(m < 0, FALSE)) THEN 'momentum broadly ineffective in this sample' ELSE 'sample noise / regime dependence' END AS diagnosis FROM (SELECT factor_name, period, avg(rank_ic) AS m FROM ics WHERE factor_name IN ('momentum_20', 'momentum_60') GROUP BY factor_name, period) GROUP BY factor_name")
+@query("momentum_short_term", _diagnosis_sql(" WHERE factor_name IN ('momentum_20', 'momentum_60')"))
 def _(spark, d):
     p = prep(spark, d).where(F.col("factor_name").isin("momentum_20", "momentum_60"))
-    return guards.short_term_diagnosis(ic.ic_decay(p, "directed_value", HORIZONS))
+    return guards.momentum_diagnosis(ic.ic_decay(p, "directed_value", HORIZONS))
 
 
 CTE["ld_pairs"] = " UNION ALL ".join([*(f"SELECT date, stock, factor_name, 'full' AS variant, directed_value AS x, {h} AS period, forward_return_{h}d AS y FROM prep WHERE factor_name IN ('volatility_20', 'volatility_60') AND forward_return_{h}d IS NOT NULL" for h in HORIZONS), "SELECT date, stock, factor_name, CAST(year(date) AS VARCHAR) AS variant, directed_value AS x, 5 AS period, forward_return_5d AS y FROM prep WHERE factor_name IN ('volatility_20', 'volatility_60') AND forward_return_5d IS NOT NULL"])
@@ -676,7 +705,7 @@ CTE["ld_pairs"] = " UNION ALL ".join([*(f"SELECT date, stock, factor_name, 'full
 
 @query("low_volatility_diagnostic", "SELECT * RENAME (variant AS scope) FROM (" + _grid_sql("ld_pairs") + ")")
 def _(spark, d):
-    return studies.low_volatility_diagnostic(prep(spark, d))
+    return studies.low_volatility_diagnostic(held(spark, d))
 
 
 CTE["lq_base"] = f"SELECT *, {rank('adv20', 'date, factor_name')} / count(adv20) OVER (PARTITION BY date, factor_name) AS liq FROM prep LEFT JOIN mo_adv USING (date, stock) WHERE factor_name = 'volatility_20'"
@@ -686,12 +715,12 @@ CTE["core_pairs"] = "SELECT * FROM lv_pairs WHERE factor_name = 'volatility_20'
 
 @query("robustness_liquidity_low_vol", _grid_sql("lq_pairs"))
 def _(spark, d):
-    return studies.low_volatility_liquidity(prep(spark, d), fixtures.panel(spark, d))
+    return studies.low_volatility_liquidity(held(spark, d), materialize(fixtures.panel(spark, d), "panel"))
 
 
 @query("robustness_class_low_vol", f"SELECT factor_name, round(min(m), 6) + 0.0 AS min_ic, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_share, CASE WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) = 1 AND min(m) > 0.03 THEN 'ROBUST' WHEN avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) >= 0.75 THEN 'PARTIALLY_ROBUST' ELSE 'NOT_ROBUST' END AS robustness FROM (SELECT factor_name, variant, avg(rank_ic) AS m FROM ({ic_sql('core_pairs', ', variant')}) GROUP BY factor_name, variant) GROUP BY factor_name")
 def _(spark, d):
-    return studies.low_volatility_robustness(prep(spark, d), fixtures.panel(spark, d))
+    return studies.low_volatility_robustness(held(spark, d), materialize(fixtures.panel(spark, d), "panel"))
 
 
 def _sweep_sql(sets: dict[str, tuple[str, ...]], methods: tuple[str, ...]) -> None:
@@ -724,7 +753,7 @@ _CS_SQL = _CMP_SQL.replace("sw_curve", "cs_curve").replace("model, method", "met
 
 @query("cost_metrics", R(_CMP, f"(SELECT *, CASE WHEN h > 0 AND 1 - h / nullif(b, 0) < 0.4 THEN 'ROBUST_TO_COST' WHEN h > 0 THEN 'MODERATELY_SENSITIVE' ELSE 'HIGHLY_SENSITIVE' END AS cost_status FROM (SELECT *, max(CASE WHEN bp = 30 THEN annualized_return END) OVER (PARTITION BY method) AS h, max(CASE WHEN bp = 10 THEN annualized_return END) OVER (PARTITION BY method) AS b FROM {_CS_SQL}))", "method bp cost_status"))
 def _(spark, d):
-    return studies.cost_sweep(walkforward.walk_forward(prep(spark, d), WF))
+    return studies.cost_sweep(walk(spark, d))
 
 
 _sweep_sql(studies.MODELS, studies.METHODS)
@@ -732,7 +761,7 @@ _sweep_sql(studies.MODELS, studies.METHODS)
 
 @query("wf_models", R(_CMP, _CMP_SQL, "model method"))
 def _(spark, d):
-    return studies.compare(studies.model_sweep(prep(spark, d), WF), "model", "method")
+    return studies.compare(studies.model_sweep(held(spark, d), WF), "model", "method")
 
 
 _RATED = """SELECT model, method, round(score, 6) + 0.0 AS score, round(py, 6) + 0.0 AS positive_years, CASE WHEN r <= 1 + (n - 1) / 4.0 THEN 'REJECT' WHEN r <= 1 + (n - 1) * 2 / 4.0 THEN 'WEAK' WHEN r <= 1 + (n - 1) * 3 / 4.0 THEN 'ACCEPTABLE' ELSE 'STRONGEST' END AS rating FROM (
@@ -741,7 +770,7 @@ _RATED = """SELECT model, method, round(score, 6) + 0.0 AS score, round(py, 6) +
 
 @query("model_ratings", _RATED)
 def _(spark, d):
-    daily = studies.model_sweep(prep(spark, d), WF)
+    daily = studies.model_sweep(held(spark, d), WF)
     return studies.ratings(studies.compare(daily, "model", "method"), studies.yearly_excess(daily))
 
 
@@ -750,25 +779,51 @@ _sweep_sql(studies.ABLATIONS, ("rolling_icir_weight",))
 
 @query("ablation", R(_CMP, _CMP_SQL, "model method"))
 def _(spark, d):
-    return studies.compare(studies.model_sweep(prep(spark, d), WF, studies.ABLATIONS, ("rolling_icir_weight",)), "model", "method")
+    return studies.compare(studies.model_sweep(held(spark, d), WF, studies.ABLATIONS, ("rolling_icir_weight",)), "model", "method")
+
+
+_LOO = ("volatility_20", "volume_change_20", "momentum_20")
+_sweep_sql({"": _LOO, **{f: tuple(x for x in _LOO if x != f) for f in _LOO}}, ("rolling_icir_weight",))
+
+
+@query("leave_one_out", R("annualized_return annualized_return_delta", f"(SELECT a.model AS factor_name, 'OK' AS status, a.annualized_return, b.annualized_return - a.annualized_return AS annualized_return_delta FROM {_CMP_SQL} a CROSS JOIN (SELECT annualized_return FROM {_CMP_SQL} WHERE model = '') b WHERE a.model <> '')", "factor_name status"))
+def _(spark, d):
+    return studies.leave_one_out(held(spark, d), WF, _LOO, "rolling_icir_weight")
 
 
 @query("factor_attribution", "SELECT factor_name, round(a, 6) + 0.0 AS average_absolute_weight, round(s, 6) + 0.0 AS average_signed_weight, round(a / sum(a) OVER (), 6) + 0.0 AS share FROM (SELECT factor_name, avg(abs(weight)) AS a, avg(weight) AS s FROM fold_weights WHERE method = 'rolling_icir_weight' GROUP BY factor_name)")
 def _(spark, d):
-    p = prep(spark, d)
-    return studies.attribution(walkforward.fold_weights(ic.daily_ic(p, "directed_value", (1,)), walkforward.folds(p, WF), ("rolling_icir_weight",)))
+    p = held(spark, d)
+    return studies.attribution(walkforward.fold_weights(ic.daily_ic(p, "directed_value", (1,), ranks=False), walkforward.folds(p, WF), ("rolling_icir_weight",)))
 
 
 @query("subsamples", R(_SUM, f"(SELECT factor_name, CASE WHEN year(date) <= 1998 THEN '1995-1998' ELSE '1999-2001' END AS variant, {SUMMARY} FROM ics WHERE period = 5 GROUP BY ALL)", "factor_name variant observations"))
 def _(spark, d):
-    return studies.subsamples(prep(spark, d), {"1995-1998": (1995, 1998), "1999-2001": (1999, 2001)}).drop("period", "spread", "monotonicity")
+    return studies.subsamples(held(spark, d), {"1995-1998": (1995, 1998), "1999-2001": (1999, 2001)}).drop("period", "spread", "monotonicity")
+
 
+_DAILY = "gross benchmark turnover cost net"
+CTE["rr_rows"] = "SELECT p.* FROM prep p JOIN master m ON p.stock = m.stock AND p.date >= listing_date + 120 AND (delisting_date IS NULL OR p.date < delisting_date) WHERE factor_name = 'volatility_20'"
+CTE["rr_pairs"] = "SELECT date, stock, factor_name, directed_value AS x, 1 AS period, forward_return_1d AS y FROM rr_rows WHERE directed_value IS NOT NULL AND forward_return_1d IS NOT NULL"
+CTE["rr_ics"] = ic_sql("rr_pairs")
+CTE["rr_calendar"] = "SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM rr_rows)"
+for _name in ("folds", "fold_weights", "wf_scored", "wf_held", "wf_days", "wf_daily"):
+    _sql = CTE[_name]
+    for _other in ("calendar", "folds", "fold_weights", "ics", "prep", "wf_scored", "wf_held", "wf_days"):
+        _sql = re.sub(rf"\b(FROM|JOIN) {_other}\b", rf"\1 rr_{'rows' if _other == 'prep' else _other}", _sql)
+    CTE[f"rr_{_name}"] = _sql.replace("prep.*", "rr_rows.*").replace("ics.factor_name", "rr_ics.factor_name")
 
-@query("survivorship_rerun")
+
+@query("survivorship_rerun", R(_DAILY, "(SELECT * REPLACE (CAST(fold AS BIGINT) AS fold) FROM rr_wf_daily WHERE method = 'equal_weight')", "fold method date"))
 def _(spark, d):
-    return studies.survivorship_rerun(prep(spark, d), fixtures.panel(spark, d), fixtures.master(spark, d), studies.MODELS["Model_B"], "equal_weight", WF).select("fold", "method", "date", "gross", "benchmark", "turnover", "cost", "net")
+    p = materialize(fixtures.panel(spark, d), "panel")
+    return studies.survivorship_rerun(held(spark, d), p, fixtures.master(spark, d), studies.MODELS["Model_B"], "equal_weight", WF).select("fold", "method", "date", *_DAILY.split())
+
+
+for _name in ("wf_scored", "wf_held", "wf_days", "wf_daily", "wf_equity", "wf_curve"):
+    CTE[f"is_{_name}"] = re.sub(r"\b(FROM|JOIN) wf_", r"\1 is_wf_", CTE[_name]).replace("test_start AND test_end", "train_start AND train_end")
 
 
-@query("in_sample_metrics")
+@query("in_sample_metrics", R(_WFM, _wf_sql("is_wf_curve", "fold, method").replace("SELECT fold, method", "SELECT CAST(fold AS BIGINT) AS fold, method", 1), "fold method"))
 def _(spark, d):
-    return walkforward.summarize(walkforward.walk_forward(prep(spark, d), WF, in_sample=True), "fold", "method")
+    return walkforward.summarize(walk(spark, d, in_sample=True), "fold", "method")

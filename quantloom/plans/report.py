@@ -90,3 +90,21 @@ def heatmap(correlation: DataFrame, value: str = "mean_spearman") -> DataFrame:
     a = correlation.select("factor_a", "factor_b", F.col(value).alias("value"))
     names = a.select(F.col("factor_a").alias("f")).union(a.select("factor_b")).distinct()
     return a.union(a.select("factor_b", "factor_a", "value")).union(names.select("f", "f", F.lit(1.0)))
+
+
+def stock_report(scores: dict) -> str:
+    """Markdown of evaluate_stock()."""
+    parts = ("technical_score", "value_score", "quality_score") if "technical_score" in scores else ("momentum_score", "volatility_score", "volume_score")
+    sources = "\n".join(f"{k}: {scores[n]}" for k, n in (("Market", "data_source"), ("Financial", "financial_data_source")) if n in scores)
+    return document(f"Stock {scores['stock']}", {"Factor scores": [{"score": n, "value": scores[n]} for n in parts], "Final score": f"**{scores['final_score']:.2f} / 100**\n", "Data source": sources + "\n"})
+
+
+def backtest_report(metrics: dict, rules: dict) -> str:
+    """Markdown of a backtest: its rules, returns and risks."""
+    percent = ("total_return", "benchmark_return", "alpha", "annual_return", "win_rate")
+    return document("Backtest", {"Portfolio rules": [{"rule": k, "value": v} for k, v in rules.items()], "Returns": "\n".join(f"- {n}: {metrics[n]:.2%}" for n in percent) + "\n", "Risks": f"- sharpe_ratio: {metrics['sharpe_ratio']:.4f}\n- max_drawdown: {metrics['max_drawdown']:.2%}\n- information_ratio: {metrics['information_ratio']:.4f}\n"})
+
+
+def quality_json(quality: dict) -> str:
+    """data_quality() as JSON."""
+    return json.dumps(quality, ensure_ascii=False, indent=2, default=str)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import percentile_rank, rolling
 from quantloom.operators import factors as fa
-from quantloom.operators import guards, ic, metrics, neutralize, preprocess, quantile, universe, walkforward
+from quantloom.operators import backtest, guards, ic, metrics, neutralize, preprocess, quantile, scoring, universe, walkforward
 from quantloom.schema import HORIZONS, by_stock
+from quantloom.sources.store import materialize
 
 #: The model sets of the final study.
 MODELS = {
@@ -104,12 +108,21 @@ def subsamples(prepared: DataFrame, parts: dict[str, tuple[int, int]]) -> DataFr
 
 
 def model_sweep(prepared: DataFrame, config: walkforward.WalkForwardConfig, models: dict[str, tuple[str, ...]] = MODELS, methods: tuple[str, ...] = METHODS, top: float = 0.2) -> DataFrame:
-    """Daily walk-forward rows of each model and method. Each model has its own calendar: the dates on which one of its factors is there."""
-    out = None
-    for model, names in models.items():
-        part = walkforward.walk_forward(prepared.where(F.col("factor_name").isin(*names)), config, methods, top=top).withColumn("model", F.lit(model))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Daily walk-forward rows of each model and method, all in one plan with the model as a key. Each model has its own calendar: the dates on which one of its factors is there. A factor's ICs are made once for all models."""
+    pairs = prepared.sparkSession.createDataFrame([(m, f) for m, names in models.items() for f in names], "model string, factor_name string")
+    rows = prepared.join(F.broadcast(pairs), "factor_name")  # a row a model and factor
+    daily = ic.daily_ic(prepared, "directed_value", (1,), ranks=False).join(F.broadcast(pairs), "factor_name")
+    return materialize(walkforward.walk_forward(rows, config, methods, top=top, by=("model",), ic=daily), "sweep")
+
+
+def leave_one_out(prepared: DataFrame, config: walkforward.WalkForwardConfig, factors: tuple[str, ...], method: str) -> DataFrame:
+    """The model without each of its factors: factor_name, status, annualized_return and the delta to the whole model; a model of one factor leaves nothing to run."""
+    sets = {"": factors} | {f: tuple(x for x in factors if x != f) for f in factors}
+    ran = compare(model_sweep(prepared, config, {k: v for k, v in sets.items() if v}, (method,)), "model", "method").select("model", "annualized_return")
+    whole = ran.where("model = ''").select(F.col("annualized_return").alias("_whole"))  # one row
+    names = prepared.sparkSession.createDataFrame([(f,) for f in factors], "factor_name string")
+    out = names.join(ran, F.col("factor_name") == F.col("model"), "left").join(F.broadcast(whole))
+    return out.select("factor_name", F.when(F.col("model").isNull(), "NOT_APPLICABLE_EMPTY_MODEL").otherwise("OK").alias("status"), "annualized_return", (F.col("_whole") - F.col("annualized_return")).alias("annualized_return_delta"))
 
 
 def compare(daily: DataFrame, *keys: str) -> DataFrame:
@@ -175,7 +188,7 @@ def research(prices: DataFrame, factors: DataFrame, exposures: DataFrame | None
     if exposures is not None:
         df = neutralize.neutralize(df.join(exposures.dropDuplicates(["stock"]), "stock", "left"), "directed_value")
     value = "neutralized_value" if exposures is not None else "directed_value"
-    df = df.persist()
+    df = materialize(df, "research")
     daily = ic.daily_ic(df, value, horizons)
     out = {"factors": df, "decay": ic.ic_summary(daily, "factor_name", "period"), "yearly": ic.yearly_ic(df, value), "quantiles": quantile.quantile_returns(df, value, "forward_return_5d"), "sample": guards.sample_guard(df)}
     if exposures is not None:
@@ -186,4 +199,53 @@ def research(prices: DataFrame, factors: DataFrame, exposures: DataFrame | None
 def survivorship_rerun(prepared: DataFrame, panel: DataFrame, master: DataFrame, model: tuple[str, ...], method: str, config: walkforward.WalkForwardConfig) -> DataFrame:
     """A frozen model's daily rows on securities in their listed life alone."""
     alive = universe.seasoned(panel.select("date", "stock"), master)
-    return walkforward.walk_forward(prepared.where(F.col("factor_name").isin(*model)).join(alive, ["date", "stock"], "left_semi"), config, (method,))
+    rows = materialize(prepared.where(F.col("factor_name").isin(*model)).join(alive, ["date", "stock"], "left_semi"), "alive")
+    return walkforward.walk_forward(rows, config, (method,))
+
+
+#: The default stock pool.
+STOCK_POOL = ("600519", "000001", "300750", "601318", "600036", "000858", "000333", "600276", "601166", "600887", "002594", "601888", "000651", "600030", "601012")
+
+
+def stock_pool(codes: Sequence[str] | None = None) -> list[str]:
+    """The given codes, or the default ones, as six digits without repeats; bad or no codes raise."""
+    found = list(dict.fromkeys(str(c).strip().zfill(6) for c in (STOCK_POOL if codes is None else codes)))
+    bad = [c for c in found if not re.fullmatch(r"[0-9]{6}", c)]
+    if bad or not found:
+        raise ValueError(f"no stock codes: {bad}" if bad else "the stock pool must not be empty")
+    return found
+
+
+def configured_backtest(prices: DataFrame, fundamentals: DataFrame, benchmark: DataFrame, codes: Sequence[str] | None = None, provider: universe.UniverseProvider | None = None, dynamic: bool = True, top: float = 0.2, period: int = 20, warm_up: int = 65, cost_rate: float = 0.001) -> DataFrame:
+    """The backtest of a stock pool on multifactor scores that are made on each rebalance date. dynamic: candidates are what the provider (by default the price history) finds eligible; a date without any keeps the whole pool."""
+    if period <= 0 or cost_rate < 0:
+        raise ValueError("the rebalance period must be positive, the cost not negative")
+    prices = materialize(prices.where(F.col("stock").isin(stock_pool(codes))), "pool")
+    if prices.select("date").distinct().count() <= warm_up:
+        raise ValueError(f"a backtest needs more than {warm_up} trading days")
+    long = materialize(fa.to_long(fa.technical_factors(prices)), "factors")
+    candidates = universe.eligible_or_all(prices, provider or universe.HistoricalUniverse()) if dynamic else prices
+    dates = backtest.rebalance_dates(prices, warm_up, period).select("date")
+    scores = scoring.multifactor_scores_at(long, fundamentals, candidates.join(F.broadcast(dates), "date"))  # one row a rebalance
+    return backtest.backtest(prices, scores, benchmark, top, period, warm_up, cost_rate)
+
+
+def evaluate_stock(code: str, prices: DataFrame, fundamentals: DataFrame | None = None) -> dict:
+    """One stock's scores in the cross-section of prices, with the sources of its data; a ValueError if its history is too short."""
+    (code,) = stock_pool([code])
+    long = fa.to_long(fa.technical_factors(prices))
+    table = scoring.stock_scores(long) if fundamentals is None else scoring.multifactor_scores(long, fundamentals).join(scoring.stock_scores(long).drop("final_score"), "stock").withColumnRenamed("multifactor_score", "final_score")
+    found = table.where(F.col("stock") == code).first()
+    if found is None:
+        raise ValueError("insufficient market history to score the stock")
+    source = lambda df: (df.select("data_source").first() or ["unknown"])[0] if "data_source" in df.columns else "unknown"
+    out = found.asDict() | {"data_source": source(prices)}
+    return out if fundamentals is None else out | {"financial_data_source": source(fundamentals)}
+
+
+def data_quality(factors: DataFrame, provider: universe.UniverseProvider, trading_warnings: Sequence[str] = (), exposures_point_in_time: bool = False) -> dict:
+    """What a research run tells of its data: universe, sample, neutralization and warnings; small enough for JSON."""
+    m = provider.metadata
+    sample = guards.sample_guard(factors).first()
+    status = {r[0]: r[1] for r in factors.groupBy("neutralization_status").count().collect()} if "neutralization_status" in factors.columns else {}
+    return {"universe": {"name": m.name, "source": m.source, "point_in_time": m.point_in_time, "warnings": list(m.warnings)}, "sample_size": sample.asDict(), "neutralization_status": status, "exposures_point_in_time": exposures_point_in_time, "survivorship_bias_status": "RESOLVED" if m.point_in_time else "UNRESOLVED", "fallback_warnings": list(dict.fromkeys([*m.warnings, *trading_warnings]))}

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import date, timedelta
-from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,11 +63,31 @@ def keep_last(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(over)).where("_n = 1").drop("_n")
 
 
-def coverage(prices: DataFrame, start: str, end: str, slack: int = 7, least: int = 2) -> DataFrame:
-    """By stock: rows, first and last date, and whether they cover the range up to `slack` days."""
+def coverage(prices: DataFrame, start: str, end: str, slack: int = 7, least: int = 2, late_least: int | None = None) -> DataFrame:
+    """By stock: rows, first and last date, and whether they cover the range up to `slack` days. late_least: a stock with as many rows may begin later (it was listed after the start); leave it out for imported tables."""
     lo, hi = F.date_add(F.lit(start).cast("date"), slack), F.date_sub(F.lit(end).cast("date"), slack)
     out = prices.groupBy("stock").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    return out.withColumn("covered", (F.col("n") >= least) & (F.col("first_date") <= lo) & (F.col("last_date") >= hi))
+    begun = F.col("first_date") <= lo
+    if late_least is not None:
+        begun = begun | (F.col("n") >= late_least)
+    return out.withColumn("covered", (F.col("n") >= least) & begun & (F.col("last_date") >= hi))
+
+
+#: Fixed value: rows that a download must have to pass for a late listing.
+LATE_LISTING_ROWS = 161
+
+
+def with_amount(prices: DataFrame) -> DataFrame:
+    """prices with amount = close * volume where the source has none."""
+    product = F.col("close") * F.col("volume")
+    return prices.withColumn("amount", F.coalesce("amount", product) if "amount" in prices.columns else product)
+
+
+def read_cached(spark: SparkSession, path: str) -> DataFrame:
+    """A price cache with its sidecar, which Spark reads as well (path with .json in place of its suffix): refused unless the sidecar names a real source."""
+    side = spark.read.option("multiLine", True).json(path.rsplit(".", 1)[0] + ".json").first()
+    require_real(side.asDict())
+    return read_prices(spark, path)
 
 
 def read_factors(spark: SparkSession, path: str, factors: Sequence[str] | None = None) -> DataFrame:
@@ -108,34 +126,52 @@ def load_with_fallback(loaders: Sequence[tuple[str, Callable[[], DataFrame]]]) -
     raise RuntimeError("no source gave data: " + "; ".join(failed))
 
 
-def business_days(start: str, end: str) -> list[date]:
-    a, b = date.fromisoformat(start), date.fromisoformat(end)
-    return [d for d in (a + timedelta(i) for i in range((b - a).days + 1)) if d.weekday() < 5]
+def load_prices(loaders: Sequence[tuple[str, Callable[[], DataFrame]]], mock: Callable[[], DataFrame] | None) -> DataFrame:
+    """load_with_fallback with mock data as the last resort; mock=None: an error instead."""
+    return load_with_fallback([*loaders, ("mock", mock)] if mock is not None else loaders)
+
+
+def _business_days(start, end):
+    return F.filter(F.sequence(start, end), lambda d: F.weekday(d) < 5)
+
+
+#: The generator of mock prices (multiplier, increment, modulus) and its ranges.
+MOCK_STEP, MOCK_ADD, MOCK_RANGE = 1664525, 1013904223, 2**32
+
+
+def mock_prices(codes: DataFrame, start: str, end: str) -> DataFrame:
+    """Repeatable prices of business days for each stock of codes: five draws of a linear congruential generator a day, run as one array fold a stock. For demonstrations and tests."""
+    lit = F.lit
+    seed = F.conv(F.substring(F.sha2(F.col("stock").cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    numbers = "struct<date:date,open:double,high:double,low:double,close:double,volume:double>"
+    first = F.struct(F.greatest(seed, lit(1)).cast("long").alias("s"), (lit(20.0) + (seed % 8000) / 100.0).alias("p"), F.array().cast(f"array<{numbers}>").alias("out"))
 
+    def day(acc, d):
+        states = [acc["s"]]
+        for _ in range(5):
+            states.append((states[-1] * MOCK_STEP + MOCK_ADD) % MOCK_RANGE)
+        u = [x / float(MOCK_RANGE) for x in states[1:]]
+        open_, close = acc["p"] * (1 + (u[1] - 0.5) * 0.012), acc["p"] * (1 + (u[0] - 0.49) * 0.04)
+        high, low = F.greatest(open_, close) * (1 + u[2] * 0.012), F.least(open_, close) * (1 - u[3] * 0.012)
+        volume = F.floor(500_000 + u[4] * 9_500_000).cast("double")
+        row = F.struct(d.alias("date"), *(F.bround(c, 2).alias(n) for c, n in ((open_, "open"), (high, "high"), (low, "low"), (close, "close"))), volume.alias("volume"))
+        return F.struct(states[5].cast("long").alias("s"), close.alias("p"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-def mock_prices(spark: SparkSession, code: str, start: str, end: str) -> DataFrame:
-    """Repeatable prices of one code, for demonstrations and tests: five draws of a linear congruential generator a day."""
-    state = int(sha256(code.encode()).hexdigest()[:8], 16)
+    days = _business_days(lit(start).cast("date"), lit(end).cast("date"))
+    made = codes.select("stock", F.aggregate(days, first, day, lambda acc: acc["out"]).alias("rows"))
+    return made.select("stock", F.inline("rows")).select("date", "stock", "open", "high", "low", "close", "volume", lit("mock").alias("data_source"))
 
-    def draw() -> float:
-        nonlocal state
-        state = (1664525 * state + 1013904223) % 2**32
-        return state / 2**32
 
-    rows, close = [], 20.0 + draw() * 80.0
-    for day in business_days(start, end):
-        before = close
-        close = round(before * (1 + (draw() - 0.49) * 0.04), 2)
-        first = round(before * (1 + (draw() - 0.5) * 0.01), 2)
-        high = round(max(first, close) * (1 + draw() * 0.01), 2)
-        low = round(min(first, close) * (1 - draw() * 0.01), 2)
-        rows.append((day, code, first, high, low, close, float(round(1e6 + draw() * 9e6))))
-    return spark.createDataFrame(rows, "date date, stock string, open double, high double, low double, close double, volume double").withColumn("data_source", F.lit("mock"))
+#: Level, seed's divisor, swing and period of the mock fundamentals.
+MOCK_FUNDAMENTALS = {"pe": (12.0, 10.0, 3.0, 23.0), "pb": (1.5, 100.0, 0.4, 31.0), "roe": (8.0, 12.0, 2.0, 63.0)}
 
 
-def mock_fundamentals(spark: SparkSession, code: str, end: str, days: int = 252) -> DataFrame:
-    """Repeatable pe, pb and roe of one code over the last business days."""
-    calendar = business_days((date.fromisoformat(end) - timedelta(2 * days)).isoformat(), end)[-days:]
-    base = spark.createDataFrame([(d, i) for i, d in enumerate(calendar)], "date date, i int")
-    k = int(code) % 97
-    return base.select("date", F.lit(code).alias("stock"), F.round(15 + k / 10 + 3 * F.sin(F.col("i") / 20), 4).alias("pe"), F.round(1.5 + k / 100 + 0.3 * F.sin(F.col("i") / 30), 4).alias("pb"), F.round(10 + k / 20 + F.sin(F.col("i") / 60), 4).alias("roe"), F.lit("mock").alias("data_source"))
+def mock_fundamentals(codes: DataFrame, end: str, days: int = 252) -> DataFrame:
+    """Repeatable pe, pb and roe of each stock over the last business days; nothing was ever announced, so nothing is point in time."""
+    last = F.lit(end).cast("date")
+    calendar = F.slice(_business_days(F.date_sub(last, 2 * days), last), F.lit(-days), F.lit(days))
+    rows = codes.select("stock", F.posexplode(calendar).alias("i", "date"))
+    seed = F.col("stock").cast("long") % 97
+    values = [F.bround(level + seed / part + swing * F.sin(F.col("i") / period), 4).alias(n) for n, (level, part, swing, period) in MOCK_FUNDAMENTALS.items()]
+    none = [F.lit(None).cast("date").alias(n) for n in ("report_period", "announcement_date", "available_date")]
+    return rows.select("date", "stock", *values, *none, F.col("date").alias("factor_date"), F.lit(False).alias("point_in_time_available"), F.lit("synthetic_no_announcement_date").alias("data_quality"), F.lit("mock").alias("data_source"))

@@ -89,7 +89,7 @@ def test_group_returns_count_missing_values_at_the_bottom(spark):
 
 def test_factor_correlation_and_residuals(spark):
     df = table(spark, names=("a", "b", "c"))
-    daily = correlation.daily_factor_correlation(df, "directed_value")
+    daily = correlation.daily_factor_correlation(df, ("a", "b", "c"), "directed_value")
     assert daily.count() == 90
     rows = df.where(F.col("date") == START).collect()
     x, y = ([r.directed_value for r in sorted(rows, key=lambda r: r.stock) if r.factor_name == f] for f in "ab")
@@ -115,11 +115,11 @@ def test_rolling_weights_look_back_only(spark, method):
     rows = [(START + dt.timedelta(i), f, v) for i in range(8) for f, v in (("a", 0.1 + 0.01 * i), ("b", 0.2 - 0.02 * (i % 3)))]
     df = spark.createDataFrame(rows, "date date, factor_name string, ic double")
     moved = spark.createDataFrame([(d, f, 999.0 if d == START + dt.timedelta(7) else v) for d, f, v in rows], df.schema)
-    got = sorted(map(tuple, combine.rolling_weights(df, method, 4, 2).collect()))
-    assert got == sorted(map(tuple, combine.rolling_weights(moved, method, 4, 2).collect()))
+    got = sorted(map(tuple, combine.rolling_weights(df, ["a", "b"], method, 4, 2).collect()))
+    assert got == sorted(map(tuple, combine.rolling_weights(moved, ["a", "b"], method, 4, 2).collect()))
     assert got[0][2] == 0.5 and all(math.isclose(sum(abs(w) for d, _, w in got if d == day), 1.0) for day in {x[0] for x in got})
     with pytest.raises(ValueError):
-        combine.rolling_weights(df, method, 4, 5)
+        combine.rolling_weights(df, ["a", "b"], method, 4, 5)
 
 
 def test_neutralization_against_least_squares(spark):

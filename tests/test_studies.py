@@ -65,7 +65,7 @@ def test_momentum_scopes_and_labels(spark, panel, prepared):
     assert guards.reversal_class(grid).first()[0] == "REGIME_DEPENDENT" and guards.reversal_class(grid.where("scope <> '2001'")).first()[0] == "PERSISTENT_REVERSAL"
     decays = {"turns": (-1, -1, 1, 1, -1), "falls": (-1,) * 5, "mixed": (1, -1, -1, -1, -1)}
     rows = [(f, h, float(v)) for f, values in decays.items() for h, v in zip((1, 5, 10, 20, 40), values, strict=True)]
-    labels = {r.factor_name: r.diagnosis for r in guards.short_term_diagnosis(spark.createDataFrame(rows, "factor_name string, period int, mean_rank_ic double")).collect()}
+    labels = {r.factor_name: r.diagnosis for r in guards.momentum_diagnosis(spark.createDataFrame(rows, "factor_name string, period int, mean_rank_ic double")).collect()}
     assert labels == {"turns": "short-term reversal pattern", "falls": "momentum broadly ineffective in this sample", "mixed": "sample noise / regime dependence"}
 
 
