@@ -2,13 +2,15 @@
 
 `sequence` parses HTML into an array of structs (pos, kind, text, ref, caption): running text in order, and at its place
 each image, audio or video with its reference and its caption (the figure's caption, else the alt text). `store` writes
-payloads losslessly as 8-bit grey images (PGM, 64 samples a row) under the digest of the stored bytes' payload; `resolve`
-reads stored bytes and joins them to the references by digest, one media row a digest, so a picture that a third of all
-documents show is read and described once.
+payloads losslessly as 8-bit grey images (PGM, 64 samples a row) under the digest of the stored bytes' payload; a task
+stores a payload once, however many of its rows hold it. `resolve` joins the described payloads to the references by
+digest. A digest of more than a thousandth of all references is joined by broadcast (there are at most a thousand of
+these), all others by shuffle, so no key holds more than a thousandth of the rows.
 
 Defined results: null HTML gives an empty sequence; a reference without a stored payload stays, with null media columns;
 a null or empty payload is one row of 64 zero samples; repeated rows are kept; tags and attributes that HTML does not
-know are ignored; an empty table gives an empty result.
+know are ignored; a caption ends with its figure, at the next block or with the text, and a title that is never closed is
+text; an empty table gives an empty result; extra columns stay, but for those that carry a result's name.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import scratch, utf8
+from quantloom.llm.common import scratch, stored, utf8
 
 WIDTH = 64
+#: Digests that a task remembers.
+SEEN = 500_000
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
 _ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 _BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "th", "article", "section", "figure", "ul", "ol", "table", "blockquote", "pre"}
@@ -48,7 +52,21 @@ class _Reader(HTMLParser):
         if said:
             self.items.append({"kind": "text", "text": said, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        said = re.sub(r"\s+", " ", "".join(self.caption)).strip()
+        for i in self.figure[1:]:
+            self.items[i]["caption"] = said or self.items[i]["caption"]
+        if said and not self.figure[1:]:  # a caption of nothing is text
+            self.text.append(said)
+            self.caption = None
+            self.flush()
+        self.caption = None
+
     def handle_starttag(self, tag, attrs):
+        if tag in _BLOCK:
+            self.end_caption()
         if tag in ("script", "style", "title"):
             self.skip += 1
         elif tag in _MEDIA:
@@ -68,12 +86,10 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style", "title"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = re.sub(r"\s+", " ", "".join(self.caption)).strip()
-            for i in self.figure[1:]:
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in _BLOCK:
+            self.end_caption()
             self.flush()
             if tag == "figure":
                 self.figure = []
@@ -85,9 +101,14 @@ class _Reader(HTMLParser):
 
 def parse(html: str | None) -> list[dict]:
     """The sequence of one HTML text."""
+    html = html or ""
+    opened, closed = (re.findall(t, html, re.I) for t in (r"<title\b", r"</title\b"))
+    if len(opened) > len(closed):  # never closed: its tag alone is left out
+        html = re.sub(r"<title\b[^>]*>?", " ", html, flags=re.I)
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(html)
     reader.close()
+    reader.end_caption()
     reader.flush()
     return [{"pos": i, **x} for i, x in enumerate(reader.items)]
 
@@ -138,15 +159,22 @@ def features(payload: bytes) -> str:
 
 
 def store(texts: DataFrame, path: str, text_col: str = "text") -> None:
-    """Writes (digest, n_bytes, media) of each text to a table at path. Equal texts make equal rows under one digest."""
+    """Writes (digest, n_bytes, media) of each text to a table at path. Equal texts make equal rows under one digest, one for each task at most (while it remembers SEEN digests)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                part = [utf8(x) for x in b.column(0).slice(lo, 256).to_pylist()]
-                media = [to_media(pad(x)) for x in part]
-                keys = ["sha256:" + hashlib.sha256(x).hexdigest() for x in part]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) for x in part], pa.int64()), pa.array(media, pa.binary())], names=["digest", "n_bytes", "media"])
+                fresh = []
+                for x in b.column(0).slice(lo, 256):
+                    data = utf8(x.as_py())
+                    key = hashlib.sha256(data).digest()
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append((key, data))
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(["sha256:" + k.hex() for k, _ in fresh], pa.string()), pa.array([len(x) for _, x in fresh], pa.int64()), pa.array([to_media(pad(x)) for _, x in fresh], pa.binary())], names=["digest", "n_bytes", "media"])
 
     texts.select(text_col).mapInArrow(write, "digest string, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
@@ -169,20 +197,35 @@ def describe(spark, path: str) -> DataFrame:
     return made.dropDuplicates(["digest"])
 
 
-def resolve(sequences: DataFrame, media: DataFrame, seq_col: str = "sequence") -> DataFrame:
-    """A row for each media reference: the sequence's other columns, pos, kind, caption, digest and the media table's columns, which replace columns of their names."""
-    others = [c for c in sequences.columns if c not in {seq_col, "pos", "kind", "caption", *media.columns}]
-    refs = sequences.select(*others, F.explode(seq_col).alias("_item")).where("_item.kind <> 'text'")
-    refs = refs.select(*others, F.col("_item.pos").alias("pos"), F.col("_item.kind").alias("kind"), F.col("_item.caption").alias("caption"), F.col("_item.ref").alias("digest"))
-    return refs.join(media, "digest", "left")
+def resolve(sequences: DataFrame, media: DataFrame, seq_col: str = "sequence", with_text: bool = False) -> DataFrame:
+    """A row for each media reference (and, with_text, each stretch of text) in its place: the sequence's other columns, pos, kind, text, caption, digest and the media table's columns, which replace columns of their names."""
+    others = [c for c in sequences.columns if c not in {seq_col, "pos", "kind", "text", "caption", *media.columns}]
+    items = sequences.select(*(f"`{c}`" for c in others), F.explode(seq_col).alias("_item"))
+    if not with_text:
+        items = items.where("_item.kind <> 'text'")
+    items = stored(items.select(*(f"`{c}`" for c in others), *(F.col(f"_item.{n}").alias(n) for n in ("pos", "kind", "text", "caption")), F.col("_item.ref").alias("digest")), "references")
+    media = stored(media, "described")
+    often = max(1_000, items.count() // 1_000)
+    hot = F.broadcast(items.where("digest is not null").groupBy("digest").agg(F.count("*").alias("_c")).where(F.col("_c") > often).select("digest"))  # at most a thousand digests
+    by_hot = items.join(hot, "digest", "left_semi").join(F.broadcast(media.join(hot, "digest", "left_semi")), "digest", "left")
+    return by_hot.unionByName(items.join(hot, "digest", "left_anti").join(media, "digest", "left"))
+
+
+def as_html(text: str = "text", digest: str = "digest", caption: str = "caption"):
+    """A document as an article: its text, then a figure that shows its payload."""
+    escaped = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(F.lit("<article><p>"), escaped, F.lit("</p><figure><img src='"), F.col(digest), F.lit("'><figcaption>"), F.coalesce(F.col(caption), F.lit("")), F.lit("</figcaption></figure></article>"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: each document's text as stored media, referred to by an HTML figure, parsed, joined by digest and described."""
+    """op7: every document as an article of its own text and a figure of its payload: parsed, the payload joined by digest, read back and described. pos and caption show where the figure stands; text_sha256 is the digest of the running text before it (null without any)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = scratch(spark, "media")
     store(docs, path)
     digest = F.concat(F.lit("sha256:"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    html = F.concat(F.lit("<article><p>text</p><figure><img src='"), digest, F.lit("'><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
-    seqs = sequence(docs.select("doc_id", html.alias("html")))
-    return resolve(seqs, describe(spark, path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
+    articles = docs.select("doc_id", "text", digest.alias("digest"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("caption"))
+    seqs = sequence(articles.select("doc_id", as_html().alias("html")))
+    before = F.filter("sequence", lambda x: x.kind == "text")
+    figures = seqs.select("doc_id", F.sha2(F.get(before, F.lit(0))["text"], 256).alias("text_sha256"), F.filter("sequence", lambda x: x.kind != "text").alias("sequence"))
+    found = resolve(figures, describe(spark, path))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "text_sha256")
