@@ -7,9 +7,10 @@ Sets that are equal collapse first. Then links are sought in rounds, and each is
 2. Prefix filtering, for the rest: in any fixed order of all shingles, two sets of similarity t or more share one of the
    first n - ceil(t * n) + 1 shingles of each (n: the set's size). The order puts shingles that are common in a sample of
    the corpus last, so that lists of a shared passage stay out of the prefixes; the sample decides the cost only, never the
-   result. The shared shingles of the two prefixes are tallied: a pair whose tally leaves no room for the similarity goes
-   without a look at its texts. Lists are met by their smallest and their largest member before all remaining pairs are formed, and pairs that
-   earlier links connect are left out, so that a large cluster costs about a link a member.
+   result. Three bounds drop pairs without a look at their texts: the places of their first common shingle, the bits in
+   which two signatures of all shingles differ, and the tally of the shingles that the two prefixes share. Lists are met by
+   their smallest and their largest member first, and pairs that earlier links connect are left out, so that a large
+   cluster costs about a link a member; then a list's other members meet all of it.
 
 Defined results: words are lower-cased (ASCII); a text of fewer words than the width is one shingle; null and blank texts
 are copies of each other; null ids and repeated rows are kept apart by the caller; an empty table gives empty results.
@@ -31,6 +32,8 @@ from quantloom.llm.common import connected_components, stored, text_key, utf8
 WIDTH, PERCENT = 5, 80
 #: One text in so many is sampled for common shingles; at most so many of those are kept on the driver.
 SAMPLE, COMMON = 64, 100_000
+#: Bits of a set's signature: the parities of its shingles by residue.
+SIGNATURE = 512
 
 
 def shingles(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +75,12 @@ def plausible(a: np.ndarray, rare_a: int, size_a: int, b: np.ndarray, rare_b: in
     return most * (100 + percent) >= percent * (size_a + size_b)
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """SIGNATURE bits of a set: whether an odd number of its members has a residue. Two sets' signatures differ in no more bits than there are members of just one."""
+    odd = np.bincount((found % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets of distinct values have a Jaccard similarity of percent or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -102,13 +111,13 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np
 
 
 def keyed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """id, tk, fp (key of the shingle set), sim (its fingerprint), size, prefix and rare (see prefix()) for every row."""
+    """id, tk, fp (key of the shingle set), sim (its fingerprint), size, prefix and rare (see prefix()), sig (see signature()) for every row."""
     common, places = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1_000):
-                keys, sims, sizes, first, rare, part = [], [], [], [], [], b.slice(lo, 1_000)
+                keys, sims, sizes, first, rare, sig, part = [], [], [], [], [], [], b.slice(lo, 1_000)
                 for x in part.column(2):
                     every, found = shingles(x.as_py(), width)
                     keys.append(_key(found))
@@ -117,9 +126,10 @@ def keyed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFr
                     head, n = prefix(found, common, places, percent)
                     first.append(head.view(np.int64))
                     rare.append(n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(keys), _signed(sims), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(rare, pa.int32())], names=["id", "tk", "fp", "sim", "size", "prefix", "rare"])
+                    sig.append(signature(found))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(keys), _signed(sims), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], names=["id", "tk", "fp", "sim", "size", "prefix", "rare", "sig"])
 
-    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>, rare int")
+    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>, rare int, sig array<long>")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,25 +175,35 @@ def _proposed(rows: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def _pairs(lists: DataFrame, labels: DataFrame, pivot, percent: int) -> DataFrame:
-    """a, b: members of one list that are not yet connected and whose sizes allow the similarity: those of the pivot, or all."""
-    named = lists.join(labels, lists.fp == labels.node, "left").select("key", "fp", "size", F.coalesce("label", "fp").alias("label"))
-    over = Window.partitionBy("key")
-    named = named.withColumns({"lo": F.min("label").over(over), "hi": F.max("label").over(over)}).where("lo <> hi").drop("lo", "hi")
-    row = F.struct("fp", "size", "label")
-    if pivot is not None:
-        met = named.withColumns({"p": pivot(row).over(over)}).select("fp", "size", "label", F.col("p.fp").alias("fp2"), F.col("p.size").alias("size2"), F.col("p.label").alias("label2"))
+def _pairs(lists: DataFrame, nodes: DataFrame, pivot, percent: int) -> DataFrame:
+    """a, b: members of one list that are not yet connected and may be similar: those of the pivot, or all.
+
+    lists: key, fp, at (the place of the shingle in the set's order); nodes: fp, size, sig, label. Similar sets share no
+    shingle before their first common one, so there its places bound the overlap; and the bits in which two signatures
+    differ are at most the shingles that only one of the sets has. Members of a list's largest component are never
+    compared with each other."""
+    named = lists.join(nodes, "fp")
+    second = [F.col(c).alias(f"{c}2") for c in ("fp", "size", "sig", "label", "at")]
+    parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), *([pivot("fp").alias("p")] if pivot else []))
+    open_lists = parts.groupBy("key").agg(F.count("*").alias("labels"), *([pivot("p").alias("p")] if pivot else [F.max(F.struct("n", "label")).getField("label").alias("main")])).where("labels > 1").drop("labels")
+    if pivot:
+        pivots = named.join(open_lists, "key").where("fp = p").select("key", *second)
+        met = named.join(pivots, "key")
+        unlike = F.col("label") != F.col("label2")
     else:
-        other = named.select("key", F.col("fp").alias("fp2"), F.col("size").alias("size2"), F.col("label").alias("label2"))
-        met = named.join(other, "key").where("fp < fp2")
-    met = met.where((F.col("label") != F.col("label2")) & (F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent))
+        outside = named.join(open_lists, "key").where("label <> main")
+        met = outside.join(named.select("key", *second), "key")
+        unlike = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("fp") < F.col("fp2")))
+    both = F.col("size") + F.col("size2")
+    far = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("sig2")[i])) for i in range(SIGNATURE // 64)), F.lit(0))
+    met = met.where(unlike & (F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) * (100 + percent) >= both * percent) & (far * (100 + percent) <= both * (100 - percent)))
     return met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
 
 
 def components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """node, label: components of set keys under similarity of percent or more. rows: the result of keyed(), stored."""
-    sets = stored(rows.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare")), "sets")
-    posted = sets.select("fp", "size", F.explode("prefix").alias("key"))
+    sets = stored(rows.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("sig").alias("sig")), "sets")
+    posted = sets.select("fp", F.posexplode("prefix").alias("at", "key"))
     lists = stored(posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "lists")
     proposed = stored(_proposed(rows), "proposed")
     members = lists.select("fp").unionByName(proposed.select(F.col("a").alias("fp"))).unionByName(proposed.select(F.col("b").alias("fp"))).distinct()
@@ -192,7 +212,8 @@ def components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, width:
     links = stored(_verified(proposed, texts, percent, width), "links")
     labels = connected_components(links)
     for pivot in (F.min, F.max, None):
-        pairs = stored(_plausible(stored(_pairs(lists, labels, pivot, percent), "pairs"), sets, percent), "plausible")
+        nodes = sets.select("fp", "size", "sig").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        pairs = stored(_plausible(stored(_pairs(lists, nodes, pivot, percent), "pairs"), sets, percent), "plausible")
         fresh = stored(_verified(pairs, texts, percent, width), "links")
         links = links.unionByName(fresh)
         labels = connected_components(links)

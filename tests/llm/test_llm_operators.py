@@ -787,6 +787,16 @@ def test_tallies_never_lose_a_similar_pair():
     assert lost == 0 and spared > 500
 
 
+def test_signatures_never_differ_in_more_bits_than_members():
+    rng = np.random.default_rng(10)
+    assert not similarity.signature(np.zeros(0, dtype=np.uint64)).any()
+    for _ in range(2000):
+        both = rng.integers(0, 2**64 - 1, int(rng.integers(0, 900)), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64 - 1, int(rng.integers(0, 200)), dtype=np.uint64)])) for _ in range(2))
+        bits = int(np.bitwise_count(similarity.signature(a) ^ similarity.signature(b)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and len(similarity.signature(a)) * 64 == similarity.SIGNATURE
+
+
 def test_pipeline_near_dedup_links_all_pairs_of_similarity(spark, docs, empty, monkeypatch):
     """Against brute force on shingle sets: copies with a changed stretch mostly differ in more than three bits of a fingerprint."""
     rng = np.random.default_rng(8)
