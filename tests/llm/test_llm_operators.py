@@ -793,7 +793,7 @@ def test_signatures_never_differ_in_more_bits_than_members():
     for _ in range(2000):
         both = rng.integers(0, 2**64 - 1, int(rng.integers(0, 900)), dtype=np.uint64)
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64 - 1, int(rng.integers(0, 200)), dtype=np.uint64)])) for _ in range(2))
-        bits = int(np.bitwise_count(similarity.signature(a) ^ similarity.signature(b)).sum())
+        bits = int(np.bitwise_count((similarity.signature(a) ^ similarity.signature(b)).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(a, b)) and len(similarity.signature(a)) * 64 == similarity.SIGNATURE
 
 
