@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, cut, lower_ascii, n_partitions, packed, text_key, unpacked, utf8
+from quantloom.llm.common import SPACE, cut, lean, lower_ascii, n_partitions, packed, text_key, unpacked, utf8
 
 NO_ID = -(2**63)
 DROP, OPEN, MARK = 0, 1, 2
@@ -117,7 +117,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     """_id, _tk, pos of each line whose key stands in min_docs documents or more (all of them, or all but the first occurrence)."""
     spark = docs.sparkSession
     ordered = line_keys(docs, id_col, text_col).repartitionByRange(n_partitions(spark), "h1", "h2", "_id", "_tk").sortWithinPartitions("h1", "h2", "_id", "_tk", "pos")
-    streamed = cut(ordered.mapInArrow(_decide(min_docs, keep_first), _STREAM))
+    streamed = cut(ordered.mapInArrow(lean(_decide(min_docs, keep_first)), _STREAM))
     where = F.struct("_id", "_tk", "pos")
     edge = streamed.where(F.col("kind") > DROP)
     keys = edge.groupBy("h1", "h2").agg(F.count_distinct("_id", "_tk").alias("n"), F.max("kind").alias("k"), F.min(where).alias("first")).where((F.col("n") >= min_docs) | (F.col("k") == MARK))
@@ -181,7 +181,7 @@ def rebuild(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_co
             out = [None if x is None else x if m is None else _kept(x, m)[2].decode("utf-8", "surrogatepass") for x, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row", "text"])
 
-    made = marked.mapInArrow(text, f"row {marked.schema['row'].dataType.simpleString()}, text string")
+    made = marked.mapInArrow(lean(text), f"row {marked.schema['row'].dataType.simpleString()}, text string")
     return unpacked(made, docs.columns, **{text_col: F.col("text")})
 
 

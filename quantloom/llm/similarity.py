@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import simhash
-from quantloom.llm.common import connected_components, stored, text_key, utf8
+from quantloom.llm.common import connected_components, lean, stored, text_key, utf8
 
 WIDTH, PERCENT = 5, 80
 #: One text in so many is sampled for common shingles; at most so many of those are kept on the driver.
@@ -129,7 +129,7 @@ def keyed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFr
                     sig.append(signature(found))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(keys), _signed(sims), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], names=["id", "tk", "fp", "sim", "size", "prefix", "rare", "sig"])
 
-    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>, rare int, sig array<long>")
+    return docs.select(F.col("doc_id").alias("id"), text_key().alias("tk"), "text").mapInArrow(lean(run), f"id {dict(docs.dtypes)['doc_id']}, tk long, fp long, sim long, size long, prefix array<long>, rare int, sig array<long>")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), texts.select(F.col("fp").alias("b"), F.col("text").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _proposed(rows: DataFrame) -> DataFrame:

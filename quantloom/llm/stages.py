@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import line_dedup, mixing, segmentation, similarity, toxicity
-from quantloom.llm.common import packed, stored, text_key, unpacked
+from quantloom.llm.common import lean, packed, stored, text_key, unpacked
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,7 +90,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                         texts.append(said)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(texts, pa.string())], names=["row", "text"])
 
-    made = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    made = joined.mapInArrow(lean(run), f"row {joined.schema['row'].dataType.simpleString()}, text string")
     counted = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return unpacked(made, docs.columns, text=F.col("text"), **counted)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, n_partitions, stored, text_key
+from quantloom.llm.common import cut, lean, n_partitions, stored, text_key
 
 #: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
@@ -115,7 +115,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys(at)), pa.array(total[at])], names=["gram", "n"])
 
-    three = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    three = docs.select(text_col).mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     every = F.array("gram", *(F.col("gram").bitwiseAND(F.lit((1 << k * _BITS) - 1)) for k in (2, 1)), F.lit(0).cast("long"))
     return three.select(F.explode(every).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -277,7 +277,7 @@ def decoded_tokens(tokens: DataFrame, grams: DataFrame) -> DataFrame:
     asked = dealt.mapInArrow(_asks, "shard int, gram long").distinct().join(grams, "gram")
     none = lambda kind: F.lit(None).cast(kind)
     rows = asked.select("shard", "gram", "n", none("string").alias("token")).unionByName(dealt.select("shard", none("long").alias("gram"), none("long").alias("n"), "token"))
-    return rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("token").isNotNull()).mapInArrow(_decoded, "token string, said string")
+    return rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("token").isNotNull()).mapInArrow(lean(_decoded), "token string, said string")
 
 
 def decoded_documents(pairs: DataFrame, said: DataFrame) -> DataFrame:
@@ -399,7 +399,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", text_key()).alias("dk"))
     changes, table = spark.createDataFrame([], "dk long, changes array<struct<token:string,said:string>>"), None
     if decode:
-        pairs = stored(rows.select("dk", "text").mapInArrow(_tokens, "dk long, token string"), "tokens")
+        pairs = stored(rows.select("dk", "text").mapInArrow(lean(_tokens), "dk long, token string"), "tokens")
         said = stored(decoded_tokens(pairs, count_grams(docs)), "said")
         if (said.agg(F.sum(F.length("token") + F.length("said"))).first()[0] or 0) <= broadcast_chars:
             table = spark.sparkContext.broadcast({r.token: r.said for r in said.collect()})  # its size was checked
@@ -418,7 +418,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["row", "score", "predicted"])
 
     joined = with_changes(rows).select("row", "text", "changes")
-    return joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, score double, predicted int")
+    return joined.mapInArrow(lean(run), f"row {joined.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
