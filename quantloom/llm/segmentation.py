@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import utf8
+from quantloom.llm.common import lean, utf8
 
 SPACE = "▁"
 #: Units: letters, one digit, or other signs, each with the spaces before it; a newline; spaces at the end.
@@ -64,42 +65,47 @@ class Pieces:
     def __init__(self, model: str, alpha: float) -> None:
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        normal, self.byte = [], np.full(256, -1, dtype=np.int32)
-        for i in range(self.sp.get_piece_size()):
-            if self.sp.is_byte(i):
-                self.byte[int(self.sp.id_to_piece(i)[1:-1], 16)] = i
-            elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
-                normal.append((i, self.sp.id_to_piece(i)))
-        crossing = [p for _, p in normal if not UNIT.fullmatch(p)]
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.byte, self.texts = np.full(256, -1, dtype=np.int32), [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        ids, said = [], []  # of normal pieces; what each piece adds to a decoded text
+        for i, p in enumerate(self.texts):
+            if sp.is_byte(i):
+                self.byte[int(p[1:-1], 16)] = i
+                said.append(bytes([int(p[1:-1], 16)]))
+            elif sp.is_control(i) or sp.is_unknown(i):
+                said.append(b"")
+            else:
+                said.append(p.replace(SPACE, " ").encode())
+                if not sp.is_unused(i):
+                    ids.append(i)
+        self.said, normal = np.array(said, dtype=object), [self.texts[i] for i in ids]
+        crossing = [p for p in normal if not UNIT.fullmatch(p)]
         if crossing:
             raise ValueError(f"pieces cross units: {crossing[:3]}")
-        self.longest = max(len(p) for _, p in normal)
+        length = np.fromiter(map(len, normal), dtype=np.int64, count=len(normal))
+        self.longest = int(length.max())
+        if self.longest > 127:
+            raise ValueError("a piece's length must fit 8 bits")
         weight = [1 / (rank + 2.7) for rank in range(1, len(normal) + 257)]
         total = math.log(sum(weight))
         self.byte_logp = alpha * (math.log(weight[-1]) - total)
-        with np.errstate(over="ignore"):
-            by: list[list] = [[] for _ in range(self.longest + 1)]
-            for rank, (i, p) in enumerate(normal, 1):
-                h = np.uint64(0)
-                for ch in p:
-                    h = h * _BASE + np.uint64(ord(ch) + 1)
-                by[len(p)].append((int(h), i, alpha * (math.log(weight[rank - 1]) - total)))
-            starts: list[set] = [set() for _ in range(self.longest + 1)]
-            for _, p in normal:
-                h = np.uint64(0)
-                for n, ch in enumerate(p, 1):
-                    h = h * _BASE + np.uint64(ord(ch) + 1)
-                    starts[n].add(int(h))
+        logp = np.array([alpha * (math.log(w) - total) for w in weight[: len(normal)]])
         # by length: pieces in order of hash, and two bit tables that tell most hashes of no piece or of no piece's start
-        self.tables = []
-        for found, begun in zip(by, starts, strict=True):
-            found.sort()
-            hashes = np.array([x[0] for x in found], dtype=np.uint64)
+        codes = np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        first, number = np.cumsum(length) - length, np.array(ids, dtype=np.int32)
+        rows, h = np.arange(len(normal)), np.zeros(len(normal), dtype=np.uint64)
+        self.tables = [(codes[:0], number[:0], logp[:0], np.zeros((2, 1 << 18), dtype=bool))]
+        for n in range(1, self.longest + 1):
+            with np.errstate(over="ignore"):
+                h = h * _BASE + codes[first[rows] + n - 1]
+            whole = np.flatnonzero(length[rows] == n)
+            whole = whole[np.argsort(h[whole], kind="stable")]
             marks = np.zeros((2, 1 << 18), dtype=bool)
-            marks[0, _slot(hashes)] = True
-            marks[1, _slot(np.array(sorted(begun), dtype=np.uint64))] = True
-            self.tables.append((hashes, np.array([x[1] for x in found], dtype=np.int32), np.array([x[2] for x in found]), marks))
+            marks[0, _slot(h[whole])] = True
+            marks[1, _slot(h)] = True
+            self.tables.append((h[whole], number[rows[whole]], logp[rows[whole]], marks))
+            on = length[rows] > n
+            rows, h = rows[on], h[on]
 
 
 class Lattice:
@@ -139,7 +145,7 @@ class Lattice:
         node, size, weight, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(node, kind="stable")
         order = order[np.argsort(np.minimum(left[node[order]], 32767).astype(np.int16), kind="stable")] if len(left) and left.max() < 32767 else order[np.argsort(left[node[order]], kind="stable")]
-        self.node, self.size, weight, self.piece = node[order], size[order], weight[order], piece[order]
+        self.node, self.size, weight, self.piece = node[order], size[order].astype(np.int8), weight[order], piece[order]
         fresh = np.concatenate([[True], self.node[1:] != self.node[:-1]])
         heads = np.flatnonzero(fresh)  # first edge of each node
         degree = np.diff(np.concatenate([heads, [len(self.node)]]))
@@ -160,8 +166,6 @@ class Lattice:
         p = np.exp(self.logp)
         total = np.cumsum(p)
         self.cum = total - np.repeat(total[heads] - p[heads], degree)
-        with np.errstate(divide="ignore"):
-            self.rest = np.log(-np.expm1(self.logp))  # of a node's other edges
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
@@ -176,7 +180,7 @@ class Lattice:
 class Lattices(Lattice):
     """The lattices of the units added so far, in arrays with room to grow. cut() takes the last ones away again."""
 
-    BY_UNIT, BY_NODE, BY_EDGE = ("end", "start"), ("points", "first", "last"), ("node", "size", "piece", "logp", "cum", "rest")
+    BY_UNIT, BY_NODE, BY_EDGE = ("end", "start"), ("points", "first", "last"), ("node", "size", "piece", "logp", "cum")
 
     def __init__(self) -> None:
         self.room: dict[str, np.ndarray] = {}
@@ -228,7 +232,8 @@ class Path:
             return
         logp = self.logp[lo:hi]
         ahead = self.before + np.cumsum(logp)
-        loc = ahead - logp + self.lattice.rest[self.edge[lo:hi]]
+        with np.errstate(divide="ignore"):
+            loc = ahead - logp + np.log(-np.expm1(logp))  # of a step's other edges
         with np.errstate(over="ignore"):
             u = _uniform(np.uint64(self.seed) + np.arange(lo, hi, dtype=np.uint64) * _D)
         keys = loc - np.logaddexp(loc - self.gumbel, np.log(-np.log(u)))
@@ -303,38 +308,59 @@ class _Index(dict):
         return n
 
 
+class _Parts(dict):
+    """Numbers what stands between the spaces of texts, as it is first asked for: part n has the units flat[begin[n] : begin[n + 1]]."""
+
+    def __init__(self, index: _Index) -> None:
+        super().__init__()
+        self.index, self.begin, self.flat, self.new = index, array("q", [0]), array("i"), []
+
+    def __missing__(self, part: str) -> int:
+        self.flat.extend(map(self.index.__getitem__, UNIT.findall(SPACE + part)))
+        self.begin.append(len(self.flat))
+        self.new.append(part)
+        self[part] = n = len(self)
+        return n
+
+    def units(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all these parts, one after the other, and where each part ends."""
+        begin, flat = np.array(self.begin), np.array(self.flat)
+        first = begin[which]
+        n = begin[which + 1] - first
+        ends = np.cumsum(n)
+        return flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1])], ends
+
+    def forget(self) -> None:
+        """Takes the new parts away again."""
+        for part in self.new:
+            del self[part]
+        del self.begin[len(self) + 1 :]
+        del self.flat[self.begin[-1] :]
+        self.new = []
+
+
 class Sampler:
-    """Segments texts; see the module's docstring. Lattices of the units seen first serve all batches, up to KEPT characters of them."""
+    """Segments texts; see the module's docstring. Lattices of the units seen first serve all batches, up to KEPT characters of them, and the cuts of the parts seen first, up to KEPT_UNITS."""
 
-    KEPT = 400_000
+    KEPT, KEPT_UNITS = 400_000, 200_000
 
     def __init__(self, model: str = MODEL, k: int = 2, alpha: float = 0.5, seed: int = 1) -> None:
         self.pieces, self.k, self.seed = Pieces(model, alpha), k, seed
-        self.index, self.lattices = _Index(), Lattices()
-        self.said = np.array([self._bytes(i) for i in range(self.pieces.sp.get_piece_size())], dtype=object)
-
-    def _bytes(self, i: int) -> bytes:
-        """What a piece adds to a decoded text."""
-        sp = self.pieces.sp
-        if sp.is_byte(i):
-            return bytes([int(sp.id_to_piece(i)[1:-1], 16)])
-        return b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
+        self.index, self.lattices, self.said = _Index(), Lattices(), self.pieces.said
+        self.parts = _Parts(self.index)
 
     def texts(self) -> pa.Array:
         """Every piece's text, by id."""
-        return pa.array([self.pieces.sp.id_to_piece(i) for i in range(len(self.said))], pa.string())
-
-    def _lattice(self, units: list[str]) -> tuple[Lattices, np.ndarray, tuple[int, int, int]]:
-        """The lattices, each unit's place in them, and what of them was there before; _forget() takes the rest away once there are KEPT nodes."""
-        index, before = self.index, self.lattices.used
-        every = np.fromiter(map(index.__getitem__, units), dtype=np.int32, count=len(units))
-        if index.new:
-            self.lattices.add(Lattice(index.new, self.pieces))
-        return self.lattices, every, before
+        return pa.array(self.pieces.texts, pa.string())
 
     def _forget(self, before: tuple[int, int, int]) -> None:
+        """Takes away what came since `before`, once there are KEPT nodes or KEPT_UNITS."""
         new, self.index.new = self.index.new, []
-        if self.lattices.used[1] > self.KEPT and new:
+        full = self.lattices.used[1] > self.KEPT and bool(new)
+        if full or len(self.parts.flat) > self.KEPT_UNITS:
+            self.parts.forget()
+        self.parts.new = []
+        if full:
             for u in new:
                 del self.index[u]
             self.lattices.cut(before) if before[0] else self.lattices.__init__()
@@ -358,32 +384,32 @@ class Sampler:
 
     def batch(self, rows: list[tuple[object, str]]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each (key, text) its samples: ids, log-probability, perturbed log-probability, log of the inclusion probability."""
-        units, counts = [], []
+        parts, cuts = [], [0]
         for _, text in rows:
-            before, lead, parts = len(units), SPACE, text.split(" ") if text else []
-            if "" not in parts:
-                for part in parts:
-                    if part.isalpha():
-                        units.append(SPACE + part)
-                    else:
-                        units += UNIT.findall(SPACE + part)
-            else:
-                for part in parts:
+            own = text.split(" ") if text else []
+            if "" in own:  # a part takes the spaces before it, but for one; those at the end are a part of their own
+                said, lead = [], ""
+                for part in own:
                     if part:
-                        units += UNIT.findall(lead + part)
-                        lead = SPACE
+                        said.append(lead + part)
+                        lead = ""
                     else:
                         lead += SPACE
-                if len(lead) > 1:
-                    units.append(lead[1:])
-            counts.append(len(units) - before)
+                own = [*said, lead[1:]] if lead else said
+            parts += own
+            cuts.append(len(parts))
         seeds = [xxhash.xxh64_intdigest(repr(key), self.seed) for key, _ in rows]
-        if not units:
+        if not parts:
             return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)] for _ in rows]
-        lattice, every, before = self._lattice(units)
-        del units
+        before, lattice = self.lattices.used, self.lattices
+        which = np.fromiter(map(self.parts.__getitem__, parts), dtype=np.int32, count=len(parts))
+        if self.index.new:
+            lattice.add(Lattice(self.index.new, self.pieces))
+        del parts
+        every, ends = self.parts.units(which)
+        bounds = np.concatenate([[0], ends])[cuts]
+        counts = np.diff(bounds)
         owner = np.repeat(np.array(seeds, dtype=np.uint64), counts)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
         ordinal = np.arange(len(every)) - np.repeat(bounds[:-1], counts)
         fresh = [self._fresh(lattice, every, owner, ordinal, j) for j in range(self.k)]
         out = []
@@ -469,7 +495,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.5, seed:
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "pieces"][: len(arrays)])
 
     schema = f"doc_id {kind}, sample int, n_pieces long, logp double, gumbel double, log_inclusion double, round_trip boolean, ids array<int>" + (", pieces array<string>" if with_pieces else "")
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def decode_ids(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", out: str = "text") -> DataFrame:
