@@ -12,7 +12,7 @@ A passage of `window` words recurs if its word sequence starts at two places of
    smallest key, and by the shards of documents that hold it (a number a shard, however many copies there are).
 3. Passages. Known places that follow each other in a document, for one shard, are one passage: each shard gets the
    passages that its documents hold, every text once, whatever the number of its copies.
-4. Automata. A shard compiles its passages into an Aho-Corasick automaton (pyahocorasick; a word is one symbol) and streams
+4. Automata. A shard compiles its passages into an Aho-Corasick automaton (pyahocorasick; a word is one symbol of two letters) and streams
    all its documents, whole, through it. Patterns are each passage's blocks of (window + 1) / 2 words: every window of a
    passage holds one. A hit is extended to both sides on the words themselves, and `window` words or more are an occurrence.
    A block that stands in more than MANY places of passages gives way to the whole windows around it.
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import n_partitions, stored, text_key, words_of
+from quantloom.llm.common import lean, n_partitions, stored, text_key, words_of
 
 WINDOW, GRAM = 35, 8
 MANY, AUTOMATON_WORDS = 16, 1_000_000
@@ -178,6 +178,15 @@ def symbols(words: list[bytes]) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
+def letters(said: str) -> str:
+    """Two letters for each symbol, of 64 and of 2^14 kinds and none in both: a node's children are searched one after the
+    other, and with a letter a symbol the root would have a child for nearly every block."""
+    codes = np.frombuffer(said.encode("utf-32-le"), dtype="<u4")
+    out = np.empty(2 * len(codes), dtype="<u2")
+    out[::2], out[1::2] = 0x20 + (codes & 63), 0x1000 + (codes >> 6)
+    return out.tobytes().decode("utf-16-le")
+
+
 class PassageAutomaton:
     """An Aho-Corasick automaton over blocks of passages, and where in which passage they stand."""
 
@@ -185,9 +194,10 @@ class PassageAutomaton:
         self.passages, self.window, block = passages, window, (window + 1) // 2
         self.automaton, found = ahocorasick.Automaton(), {}
         self.said = said = [symbols(p) for p in passages]
-        for i, s in enumerate(said):
-            for at in range(0, len(s) - block + 1, block):
-                found.setdefault(s[at : at + block], []).append((i, at))
+        spelled = [letters(s) for s in said]
+        for i, s in enumerate(spelled):
+            for at in range(0, len(said[i]) - block + 1, block):
+                found.setdefault(s[2 * at : 2 * (at + block)], []).append((i, at))
         whole: dict[str, list] = {}
         for key, places in found.items():
             if len(places) <= MANY:
@@ -195,7 +205,7 @@ class PassageAutomaton:
                 continue
             for i, at in places:
                 for first in range(max(0, at + block - window), min(at, len(said[i]) - window) + 1):
-                    whole.setdefault(said[i][first : first + window], []).append((i, first))
+                    whole.setdefault(spelled[i][2 * first : 2 * (first + window)], []).append((i, first))
         for key, places in whole.items():
             self.automaton.add_word(key, (window, sorted(set(places))))
         if len(self.automaton):
@@ -207,8 +217,8 @@ class PassageAutomaton:
             return
         reach: dict[int, int] = {}
         text = symbols(words)
-        for end, (size, places) in self.automaton.iter(text):
-            x = end - size + 1
+        for end, (size, places) in self.automaton.iter(letters(text)):
+            x = end // 2 - size + 1
             for i, at in places:
                 line = (i << 32) + x - at
                 if reach.get(line, -1) >= x + size:
@@ -367,7 +377,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     patterns = passages.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"), "text")
     streamed = keyed.select(_shard("dk", n_shards).alias("shard"), F.lit(1).alias("kind"), "doc_id", "text")
     sharded = patterns.unionByName(streamed).repartition(n_partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "kind")
-    return sharded.mapInArrow(_stream(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    return sharded.mapInArrow(lean(_stream(window)), f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
