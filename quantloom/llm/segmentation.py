@@ -22,8 +22,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,19 +90,19 @@ class Pieces:
         total = math.log(sum(weight))
         self.byte_logp = alpha * (math.log(weight[-1]) - total)
         logp = np.array([alpha * (math.log(w) - total) for w in weight[: len(normal)]])
-        # by length: pieces in order of hash, and two bit tables that tell most hashes of no piece or of no piece's start
+        # by length: pieces in order of hash, and a table that tells most hashes of no piece (bit 0) or of no piece's start (bit 1)
         codes = np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         first, number = np.cumsum(length) - length, np.array(ids, dtype=np.int32)
         rows, h = np.arange(len(normal)), np.zeros(len(normal), dtype=np.uint64)
-        self.tables = [(codes[:0], number[:0], logp[:0], np.zeros((2, 1 << 18), dtype=bool))]
+        self.tables = [(codes[:0], number[:0], logp[:0], np.zeros(1, dtype=np.uint8))]
         for n in range(1, self.longest + 1):
             with np.errstate(over="ignore"):
                 h = h * _BASE + codes[first[rows] + n - 1]
             whole = np.flatnonzero(length[rows] == n)
             whole = whole[np.argsort(h[whole], kind="stable")]
-            marks = np.zeros((2, 1 << 18), dtype=bool)
-            marks[0, _slot(h[whole])] = True
-            marks[1, _slot(h)] = True
+            marks = np.zeros(1 << 18, dtype=np.uint8)
+            marks[_slot(h)] = 2
+            marks[_slot(h[whole])] |= 1
             self.tables.append((h[whole], number[rows[whole]], logp[rows[whole]], marks))
             on = length[rows] > n
             rows, h = rows[on], h[on]
@@ -126,8 +126,8 @@ class Lattice:
             for k in range(pieces.longest):
                 h = h * _BASE + codes[rows + k]
                 keys, ids, logp, marks = pieces.tables[k + 1]
-                slot = _slot(h)
-                may = np.flatnonzero(marks[0, slot])
+                mark = marks[_slot(h)]
+                may = np.flatnonzero(mark & 1)
                 if len(may):
                     at = np.minimum(np.searchsorted(keys, h[may]), len(keys) - 1)
                     hit = keys[at] == h[may]
@@ -135,7 +135,7 @@ class Lattice:
                     found.append((own, np.full(len(own), k + 1, dtype=np.int32), logp[at], ids[at]))
                     if not k:
                         single[own] = True
-                more = marks[1, slot] & (left[rows] > k + 1)
+                more = (mark > 1) & (left[rows] > k + 1)
                 rows, h = rows[more], h[more]
                 if not len(rows):
                     break
@@ -296,47 +296,51 @@ def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int,
 
 
 class _Index(dict):
-    """Numbers units as they are first asked for, and remembers those that are new."""
+    """Numbers units as they are first asked for."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
+    def numbers(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each key's number, and the keys that have none yet: they are numbered on, in this order, but only keep() remembers them."""
+        at = np.fromiter(map(self.get, keys, repeat(-1)), dtype=np.int32, count=len(keys))
+        miss = at < 0
+        if not miss.any():
+            return at, []
+        missed = list(compress(keys, miss.tolist()))
+        new = list(dict.fromkeys(missed))
+        number = dict(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        at[miss] = np.fromiter(map(number.__getitem__, missed), dtype=np.int32, count=len(missed))
+        return at, new
 
-    def __missing__(self, unit: str) -> int:
-        self.new.append(unit)
-        self[unit] = n = len(self)
-        return n
+    def keep(self, new: list[str]) -> None:
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
 
 
-class _Parts(dict):
-    """Numbers what stands between the spaces of texts, as it is first asked for: part n has the units flat[begin[n] : begin[n + 1]]."""
+class _Parts(_Index):
+    """Numbers what stands between the spaces of texts: part n has the units flat[begin[n] : begin[n + 1]]."""
 
-    def __init__(self, index: _Index) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.index, self.begin, self.flat, self.new = index, array("q", [0]), array("i"), []
-
-    def __missing__(self, part: str) -> int:
-        self.flat.extend(map(self.index.__getitem__, UNIT.findall(SPACE + part)))
-        self.begin.append(len(self.flat))
-        self.new.append(part)
-        self[part] = n = len(self)
-        return n
-
-    def units(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The units of all these parts, one after the other, and where each part ends."""
-        begin, flat = np.array(self.begin), np.array(self.flat)
+        self.begin, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    @staticmethod
+    def cut(parts: list[str]) -> tuple[list[str], np.ndarray]:
+        """What the parts' units are, each part's last one followed by a newline, and the places of these newlines. A newline is a unit of its own, so no unit holds signs of two parts."""
+        said = UNIT.findall(SPACE + f"\n{SPACE}".join(parts) + "\n")
+        ends = np.cumsum(np.fromiter(map(len, said), dtype=np.int64, count=len(said)))
+        return said, np.searchsorted(ends, np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 2))
+
+    def units(self, which: np.ndarray, *more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all these parts, one after the other, and where each part ends. more: the number of units of each part that is not kept, and these units."""
+        begin, flat = self.begin, self.flat
+        for sizes, unit in more:
+            begin, flat = np.concatenate([begin, begin[-1] + np.cumsum(sizes)]), np.concatenate([flat, unit])
         first = begin[which]
         n = begin[which + 1] - first
         ends = np.cumsum(n)
         return flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1])], ends
 
-    def forget(self) -> None:
-        """Takes the new parts away again."""
-        for part in self.new:
-            del self[part]
-        del self.begin[len(self) + 1 :]
-        del self.flat[self.begin[-1] :]
-        self.new = []
+    def keep(self, new: list[str], sizes: np.ndarray, unit: np.ndarray) -> None:
+        super().keep(new)
+        self.begin, self.flat = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)]), np.concatenate([self.flat, unit])
 
 
 class Sampler:
@@ -347,23 +351,25 @@ class Sampler:
     def __init__(self, model: str = MODEL, k: int = 2, alpha: float = 0.5, seed: int = 1) -> None:
         self.pieces, self.k, self.seed = Pieces(model, alpha), k, seed
         self.index, self.lattices, self.said = _Index(), Lattices(), self.pieces.said
-        self.parts = _Parts(self.index)
+        self.parts = _Parts()
 
     def texts(self) -> pa.Array:
         """Every piece's text, by id."""
         return pa.array(self.pieces.texts, pa.string())
 
-    def _forget(self, before: tuple[int, int, int]) -> None:
-        """Takes away what came since `before`, once there are KEPT nodes or KEPT_UNITS."""
-        new, self.index.new = self.index.new, []
-        full = self.lattices.used[1] > self.KEPT and bool(new)
-        if full or len(self.parts.flat) > self.KEPT_UNITS:
-            self.parts.forget()
-        self.parts.new = []
-        if full:
-            for u in new:
-                del self.index[u]
+    def _keep(self, before: tuple[int, int, int], units: list[str], parts: list[str], sizes: np.ndarray, unit: np.ndarray) -> None:
+        """Remembers a batch's new units, up to KEPT nodes, and its new parts of such units, up to KEPT_UNITS. before: what the lattices held without the new ones."""
+        if not units or self.lattices.used[1] <= self.KEPT:
+            self.index.keep(units)
+        else:
             self.lattices.cut(before) if before[0] else self.lattices.__init__()
+        room = self.KEPT_UNITS - len(self.parts.flat)
+        if room <= 0:
+            return
+        stays = np.maximum.reduceat(unit, np.cumsum(sizes) - sizes) < len(self.index)
+        stays &= np.cumsum(sizes * stays) <= room
+        if stays.any():
+            self.parts.keep(list(compress(parts, stays.tolist())), sizes[stays], unit[np.repeat(stays, sizes)])
 
     def ids(self, lattice: Lattice, path: Path) -> np.ndarray:
         out = lattice.piece[path.edge]
@@ -402,11 +408,18 @@ class Sampler:
         if not parts:
             return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)] for _ in rows]
         before, lattice = self.lattices.used, self.lattices
-        which = np.fromiter(map(self.parts.__getitem__, parts), dtype=np.int32, count=len(parts))
-        if self.index.new:
-            lattice.add(Lattice(self.index.new, self.pieces))
+        which, new = self.parts.numbers(parts)
         del parts
-        every, ends = self.parts.units(which)
+        if new:
+            said, stops = _Parts.cut(new)
+            unit, units = self.index.numbers(said)
+            if units:
+                lattice.add(Lattice(units, self.pieces))
+            unit, sizes = np.delete(unit, stops), np.diff(stops, prepend=-1) - 1
+            del said
+            every, ends = self.parts.units(which, (sizes, unit))
+        else:
+            every, ends = self.parts.units(which)
         bounds = np.concatenate([[0], ends])[cuts]
         counts = np.diff(bounds)
         owner = np.repeat(np.array(seeds, dtype=np.uint64), counts)
@@ -430,7 +443,8 @@ class Sampler:
                 inclusion = 0.0 if after == -np.inf or x > 700 else (x if x < -30 else math.log(-math.expm1(-math.exp(x))))
                 found.append((self.ids(lattice, p), logp, float(p.gumbel), inclusion))
             out.append(found)
-        self._forget(before)
+        if new:
+            self._keep(before, units, new, sizes, unit)
         return out
 
     @staticmethod
