@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, cut, n_partitions
+from quantloom.llm.common import SPACE, cut, few_rows, n_partitions
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 
@@ -129,8 +129,8 @@ def _slots(spark, owed: list[int], blocks: list[int], shard_slots: int, toleranc
         for first in range(got.get(src, 0), least, shard_slots):
             more.append((shard, src, 0, first, min(shard_slots, least - first)))
             shard += 1
-    dims = spark.createDataFrame([(i, b, most) for i, (b, (_, most)) in enumerate(zip(blocks, bounds, strict=True))], "src int, n_blocks long, most long")  # one row a source
-    plan = drawn.unionByName(spark.createDataFrame(more, "shard long, src int, at long, first long, n long"))
+    dims = few_rows(spark, [(i, b, most) for i, (b, (_, most)) in enumerate(zip(blocks, bounds, strict=True))], "src int, n_blocks long, most long")  # one row a source
+    plan = drawn.unionByName(few_rows(spark, more, "shard long, src int, at long, first long, n long"))
     plan = plan.join(F.broadcast(dims), "src").where("first < most").select("shard", "src", "at", "first", F.least("n", F.col("most") - F.col("first")).alias("n"), "n_blocks")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +156,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target = targets(sizes) if totals else []
     blocks = [-(-s // block) for s in sizes]
     owed = [min(2 * b, round(t / s * b)) if s else 0 for t, s, b in zip(target, sizes, blocks, strict=True)]
-    slots = _slots(spark, owed, blocks, shard_slots, tolerance, seed) if sum(owed) else spark.createDataFrame([], "shard long, slot long, src int, block long")
-    dims = spark.createDataFrame([(s, z, t, i) for i, ((s, z), t) in enumerate(zip(totals, target, strict=True))], f"source {dict(docs.dtypes)[source_col]}, source_size long, target double, src int")
+    slots = _slots(spark, owed, blocks, shard_slots, tolerance, seed) if sum(owed) else few_rows(spark, [], "shard long, slot long, src int, block long")
+    dims = few_rows(spark, [(s, z, t, i) for i, ((s, z), t) in enumerate(zip(totals, target, strict=True))], f"source {dict(docs.dtypes)[source_col]}, source_size long, target double, src int")
     documents = placed.alias("r").join(F.broadcast(dims).alias("d"), F.col("r.source").eqNullSafe(F.col("d.source"))).select("r.doc_id", "r._tk", "r.source", "r.size", "r.start", "d.source_size", "d.target", "d.src")
     taken = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     span = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, lean, n_partitions, stored, text_key
+from quantloom.llm.common import cut, few_rows, lean, n_partitions, stored, text_key
 
 #: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
@@ -397,7 +397,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     (checked) are broadcast, more are joined to their documents; the result is the same."""
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", text_key()).alias("dk"))
-    changes, table = spark.createDataFrame([], "dk long, changes array<struct<token:string,said:string>>"), None
+    changes, table = few_rows(spark, [], "dk long, changes array<struct<token:string,said:string>>"), None
     if decode:
         pairs = stored(rows.select("dk", "text").mapInArrow(lean(_tokens), "dk long, token string"), "tokens")
         said = stored(decoded_tokens(pairs, count_grams(docs)), "said")
