@@ -22,8 +22,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
-from itertools import compress, repeat
+from collections.abc import Iterable, Iterator
+from itertools import compress, pairwise, repeat
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,9 @@ _BASE = np.uint64(0x100000001B3)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _B
-        x = (x ^ (x >> np.uint64(27))) * _C
-        return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -54,9 +54,23 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (h * _A) >> np.uint64(46)
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes whose first bits can be used: 18 are a slot of the marks, 14 a bucket."""
+    return h * _A
+
+
+def _slot(spread: np.ndarray) -> np.ndarray:
+    return spread >> np.uint64(46)
+
+
+def _found(keys: np.ndarray, starts: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Where each hash lies in the ordered keys, which end with the largest number; elsewhere the first larger one's place. starts: each bucket's first place."""
+    at = starts[spread >> np.uint64(50)]
+    on = np.flatnonzero(keys[at] < spread)
+    while len(on):
+        at[on] += 1
+        on = on[keys[at[on]] < spread[on]]
+    return at
 
 
 class Pieces:
@@ -78,7 +92,7 @@ class Pieces:
                 said.append(p.replace(SPACE, " ").encode())
                 if not sp.is_unused(i):
                     ids.append(i)
-        self.said, normal = np.array(said, dtype=object), [self.texts[i] for i in ids]
+        self.said, normal = pa.array(said, pa.large_binary()), [self.texts[i] for i in ids]
         crossing = [p for p in normal if not UNIT.fullmatch(p)]
         if crossing:
             raise ValueError(f"pieces cross units: {crossing[:3]}")
@@ -95,15 +109,17 @@ class Pieces:
         first, number = np.cumsum(length) - length, np.array(ids, dtype=np.int32)
         rows, h = np.arange(len(normal)), np.zeros(len(normal), dtype=np.uint64)
         self.tables = [(codes[:0], number[:0], logp[:0], np.zeros(1, dtype=np.uint8))]
+        self.starts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]  # of each table's buckets
         for n in range(1, self.longest + 1):
             with np.errstate(over="ignore"):
                 h = h * _BASE + codes[first[rows] + n - 1]
-            whole = np.flatnonzero(length[rows] == n)
-            whole = whole[np.argsort(h[whole], kind="stable")]
-            marks = np.zeros(1 << 18, dtype=np.uint8)
-            marks[_slot(h)] = 2
-            marks[_slot(h[whole])] |= 1
-            self.tables.append((h[whole], number[rows[whole]], logp[rows[whole]], marks))
+            spread, whole = _spread(h), np.flatnonzero(length[rows] == n)
+            whole = whole[np.argsort(spread[whole], kind="stable")]
+            marks, keys = np.zeros(1 << 18, dtype=np.uint8), spread[whole]
+            marks[_slot(spread)] = 2
+            marks[_slot(keys)] |= 1
+            self.starts.append(np.searchsorted(keys >> np.uint64(50), np.arange(1 << 14, dtype=np.uint64)).astype(np.int32))
+            self.tables.append((np.append(keys, np.uint64(2**64 - 1)), number[rows[whole]], logp[rows[whole]], marks))
             on = length[rows] > n
             rows, h = rows[on], h[on]
 
@@ -126,11 +142,13 @@ class Lattice:
             for k in range(pieces.longest):
                 h = h * _BASE + codes[rows + k]
                 keys, ids, logp, marks = pieces.tables[k + 1]
-                mark = marks[_slot(h)]
+                spread = _spread(h)
+                mark = marks[_slot(spread)]
                 may = np.flatnonzero(mark & 1)
                 if len(may):
-                    at = np.minimum(np.searchsorted(keys, h[may]), len(keys) - 1)
-                    hit = keys[at] == h[may]
+                    spread = spread[may]
+                    at = _found(keys, pieces.starts[k + 1], spread)
+                    hit = (keys[at] == spread) & (at < len(ids))
                     at, own = at[hit], rows[may[hit]]
                     found.append((own, np.full(len(own), k + 1, dtype=np.int32), logp[at], ids[at]))
                     if not k:
@@ -144,21 +162,22 @@ class Lattice:
         found.append((bare.astype(np.int32), np.ones(len(bare), dtype=np.int32), pieces.byte_logp * (1.0 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)), np.where(c < 0x80, pieces.byte[np.minimum(c, 0x7F)], -1).astype(np.int32)))
         node, size, weight, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(node, kind="stable")
-        order = order[np.argsort(np.minimum(left[node[order]], 32767).astype(np.int16), kind="stable")] if len(left) and left.max() < 32767 else order[np.argsort(left[node[order]], kind="stable")]
+        far = left[node[order]]
+        order = order[np.argsort(far.astype(np.int16) if far.max() < 32767 else far, kind="stable")]
         self.node, self.size, weight, self.piece = node[order], size[order].astype(np.int8), weight[order], piece[order]
         fresh = np.concatenate([[True], self.node[1:] != self.node[:-1]])
         heads = np.flatnonzero(fresh)  # first edge of each node
         degree = np.diff(np.concatenate([heads, [len(self.node)]]))
         self.first, self.last = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
         self.first[self.node[heads]], self.last[self.node[heads]] = heads, heads + degree - 1
-        beta, to = np.zeros(n + 1), self.node + self.size
-        far = left[self.node[heads]]
+        own = left[self.node]
+        beta, to = np.zeros(n + 1), np.where(self.size == own, n, self.node + self.size)  # a unit's end counts as the last place, where beta is 0
+        far = own[heads]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(far)) + 1, [len(heads)]])
-        at_end = self.size == left[self.node]
         score = np.empty(len(weight))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             lo, hi = heads[a], heads[b] if b < len(heads) else len(weight)
-            s = weight[lo:hi] + np.where(at_end[lo:hi], 0.0, beta[to[lo:hi]])
+            s = weight[lo:hi] + beta[to[lo:hi]]
             score[lo:hi] = s
             top = np.maximum.reduceat(s, heads[a:b] - lo)
             beta[self.node[heads[a:b]]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree[a:b])), heads[a:b] - lo))
@@ -168,12 +187,15 @@ class Lattice:
         self.cum = total - np.repeat(total[heads] - p[heads], degree)
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """For each node an edge, by its share."""
-        edge, last = self.first[nodes], self.last[nodes]
-        on = np.flatnonzero((u >= self.cum[edge]) & (edge < last))
+        """For each node an edge, by its share. From its last edge down, since long pieces take most of it."""
+        first, edge = self.first[nodes], self.last[nodes]
+        on = np.flatnonzero(edge > first)
         while len(on):
-            edge[on] += 1
-            on = on[(u[on] >= self.cum[edge[on]]) & (edge[on] < last[on])]
+            below = edge[on] - 1
+            less = u[on] < self.cum[below]
+            on, below = on[less], below[less]
+            edge[on] = below
+            on = on[below > first[on]]
         return edge
 
 
@@ -215,29 +237,50 @@ class Path:
     A uniform draw has 53 bits, so no Gumbel exceeds NOISE; steps whose log-probability lies further below a key than that cannot have a larger one and are not drawn.
     """
 
-    NOISE = 38.0
+    NOISE, AHEAD = 38.0, 224
+
+    def __init__(self, lattice: Lattice, edge: np.ndarray, logp: np.ndarray, unit_of, gumbel: float, seed: int, first: int = 0, drawn: tuple[np.ndarray, float] | None = None) -> None:
+        self.edge, self.logp, self.unit_of, self.gumbel, self.seed, self.taken = edge, logp, unit_of, gumbel, seed, {}
+        self.total, self.lattice = float(logp.sum()), lattice
+        self.keys, self.before = drawn or (np.zeros(0), 0.0)
+        if not drawn:
+            self.extend(first + self.AHEAD)
+            self.keys[:first] = -np.inf  # those belong to the path it branched from
 
-    def __init__(self, lattice: Lattice, edge: np.ndarray, unit_of, gumbel: float, seed: int, first: int) -> None:
-        self.edge, self.unit_of, self.gumbel, self.seed, self.taken = edge, unit_of, gumbel, seed, {}
-        self.logp = lattice.logp[edge]
-        self.total, self.lattice = float(self.logp.sum()), lattice
-        self.before, self.keys = 0.0, np.zeros(0)
-        self.extend(first + 224)
-        self.keys[:first] = -np.inf  # those belong to the path it branched from
+    @staticmethod
+    def drawn(logp: np.ndarray, before, gumbel, seed: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the steps from `lo` on, of one path or a row for each, and the log-probabilities up to each step."""
+        ahead = before + np.cumsum(logp, axis=-1)
+        with np.errstate(divide="ignore"):
+            loc = ahead - logp + np.log(-np.expm1(logp))  # of a step's other edges
+        u = _uniform(seed + np.arange(lo, lo + logp.shape[-1], dtype=np.uint64) * _D)
+        keys = loc - np.logaddexp(loc - gumbel, np.log(-np.log(u)))
+        keys[~np.isfinite(loc)] = -np.inf
+        return keys, ahead
+
+    @classmethod
+    def roots(cls, lattice: Lattice, edge: np.ndarray, logp: np.ndarray, places: np.ndarray, bounds: list[tuple[int, int]], seeds: list[int]) -> Iterator[Path]:
+        """The first path of each row with the units lo to hi; 64 rows are drawn at once."""
+        for c in range(0, len(bounds), 64):
+            some, own = bounds[c : c + 64], seeds[c : c + 64]
+            at, end = (places[list(x)] for x in zip(*some, strict=True))
+            n = np.minimum(end - at, cls.AHEAD)
+            steps = np.arange(n.max())
+            of = np.where(steps < n[:, None], logp.take(at[:, None] + steps, mode="clip"), 0.0)  # a certain step has no key
+            u = np.array([(xxhash.xxh64_intdigest("('root',)", seed) >> 11) * 2.0**-53 + 2.0**-54 for seed in own])
+            turns = [xxhash.xxh64_intdigest("(0,)", seed) for seed in own]
+            gumbel = [-math.log(-math.log(x)) for x in u.tolist()]
+            keys, ahead = cls.drawn(of, 0.0, np.array(gumbel)[:, None], np.array(turns, dtype=np.uint64)[:, None], 0)
+            for i, (a, b, m) in enumerate(zip(at.tolist(), end.tolist(), n.tolist(), strict=True)):
+                own_places = places[some[i][0] : some[i][1]] - a
+                yield cls(lattice, edge[a:b], logp[a:b], lambda t, p=own_places: int(p.searchsorted(t, side="right")) - 1, gumbel[i], turns[i], drawn=(keys[i, :m], float(ahead[i, m - 1])))
 
     def extend(self, upto: int) -> None:
         """Draws the keys of the steps before `upto`."""
         lo, hi = len(self.keys), min(upto, len(self.edge))
         if hi <= lo:
             return
-        logp = self.logp[lo:hi]
-        ahead = self.before + np.cumsum(logp)
-        with np.errstate(divide="ignore"):
-            loc = ahead - logp + np.log(-np.expm1(logp))  # of a step's other edges
-        with np.errstate(over="ignore"):
-            u = _uniform(np.uint64(self.seed) + np.arange(lo, hi, dtype=np.uint64) * _D)
-        keys = loc - np.logaddexp(loc - self.gumbel, np.log(-np.log(u)))
-        keys[~np.isfinite(loc)] = -np.inf
+        keys, ahead = self.drawn(self.logp[lo:hi], self.before, self.gumbel, np.uint64(self.seed), lo)
         self.keys, self.before = np.concatenate([self.keys, keys]), float(ahead[-1])
 
     def best(self) -> tuple[float, int] | None:
@@ -249,12 +292,10 @@ class Path:
             self.extend(2 * len(self.keys) + 64)
 
 
-def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int, seed: int) -> tuple[list[Path], float]:
-    """Perturbed A*: the k segmentations with the largest keys, and the next key (-inf if there is none). fresh: for each sample the edges drawn top down and the first place of each unit."""
+def search(lattice: Lattice, root: Path, fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, seed: int) -> tuple[list[Path], float]:
+    """Perturbed A*: the k segmentations with the largest keys, and the next key (-inf if there is none). fresh: for each sample after the root the edges drawn top down, their log-probabilities and the first place of each unit."""
     h = lambda *x: xxhash.xxh64_intdigest(repr(x), seed)
-    edge, places = fresh[0]
-    u = (h("root") >> 11) * 2.0**-53 + 2.0**-54
-    paths = [Path(lattice, edge, lambda t, places=places: int(np.searchsorted(places, t, side="right")) - 1, -math.log(-math.log(u)), h(0), 0)]
+    paths = [root]
     queue: list[tuple[float, int, int]] = []
 
     def push(i: int) -> None:
@@ -282,14 +323,15 @@ def search(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray]], k: int,
         edges, now = [took], base.unit_of(t)
         stop = int(lattice.end[np.searchsorted(lattice.end, node, side="right")])
         while (at := int(lattice.node[edges[-1]] + lattice.size[edges[-1]])) < stop:
-            edges.append(int(lattice.draw(np.array([at]), np.array([(h("step", j, len(edges)) >> 11) * 2.0**-53]))[0]))
-        edge, places = fresh[j]
+            lo, hi = int(lattice.first[at]), int(lattice.last[at])
+            edges.append(lo + int(lattice.cum[lo:hi].searchsorted((h("step", j, len(edges)) >> 11) * 2.0**-53, side="right")))
+        edge, logp, places = fresh[j - 1]
         rest = int(places[now + 1]) if now + 1 < len(places) else len(edge)
 
         def unit_of(x: int, t=t, m=len(edges), base=base, now=now, rest=rest, places=places) -> int:
             return base.unit_of(x) if x < t else now if x < t + m else int(np.searchsorted(places, x - t - m + rest, side="right")) - 1
 
-        paths.append(Path(lattice, np.concatenate([base.edge[:t], edges, edge[rest:]]), unit_of, key, h(j), t + 1))
+        paths.append(Path(lattice, np.concatenate([base.edge[:t], edges, edge[rest:]]), np.concatenate([base.logp[:t], lattice.logp[edges], logp[rest:]]), unit_of, key, h(j), t + 1))
         push(i)
         push(j)
     return paths, -queue[0][0] if queue else -np.inf
@@ -315,11 +357,45 @@ class _Index(dict):
 
 
 class _Parts(_Index):
-    """Numbers what stands between the spaces of texts: part n has the units flat[begin[n] : begin[n + 1]]."""
+    """Numbers what stands between the spaces of texts: part n has the units flat[begin[n] : begin[n + 1]].
+
+    Most known parts are found by arrays: slots holds a part's number by its characters' hash, chars its characters from
+    places[n] on, with the space before it. A part whose slot another one has is found by name, as are new ones.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.begin, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.slots, self.powers = np.full(1 << 20, -1, dtype=np.int32), np.cumprod(np.full(1024, _BASE))
+        self.places, self.chars = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    @staticmethod
+    def found(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as one, each with a space before it, its characters, where the parts start in it, and each text's first part and the number of all. A part takes the spaces before it; those at a text's end are a part of their own."""
+        texts = [" " + text if text else "" for text in texts]
+        joined, ends = "".join(texts), np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        blank = chars == 32
+        head = blank.copy()
+        head[1:] &= ~blank[:-1]
+        head[ends[:-1][ends[:-1] < len(chars)]] = True
+        starts = np.flatnonzero(head)
+        return joined, np.where(blank, np.uint32(ord(SPACE)), chars), starts, np.searchsorted(starts, np.concatenate([[0], ends]))
+
+    def _slot(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        place = np.arange(len(chars), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        return _mix(np.add.reduceat(chars * self.powers[place & 1023], starts)) >> np.uint64(44)
+
+    def known(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Each part's number, or -1: it is new, or must be asked for by name."""
+        sizes = np.diff(starts, append=len(chars))
+        at = self.slots[self._slot(chars, starts, sizes)]
+        place = self.places[at]
+        same = (at >= 0) & (self.places[at + 1] - place == sizes)
+        if same.any():  # equal hashes are not enough
+            its = self.chars.take(np.arange(len(chars)) + np.repeat(place - starts, sizes), mode="clip")
+            same &= ~np.logical_or.reduceat(its != chars, starts)
+        return np.where(same, at, np.int32(-1))
 
     @staticmethod
     def cut(parts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -339,6 +415,12 @@ class _Parts(_Index):
         return flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1])], ends
 
     def keep(self, new: list[str], sizes: np.ndarray, unit: np.ndarray) -> None:
+        chars = np.frombuffer((SPACE + SPACE.join(new)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        length = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1
+        slot, at = self._slot(chars, np.cumsum(length) - length, length), np.arange(len(self), len(self) + len(new), dtype=np.int32)
+        free = self.slots[slot] < 0
+        self.slots[slot[free]] = at[free]
+        self.places, self.chars = np.concatenate([self.places, self.places[-1] + np.cumsum(length)]), np.concatenate([self.chars, chars])
         super().keep(new)
         self.begin, self.flat = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)]), np.concatenate([self.flat, unit])
 
@@ -382,34 +464,30 @@ class Sampler:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.decoded(ids).decode("utf-8", "replace")
+        return next(self.decoded(ids)).decode("utf-8", "replace")
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """A decoded text in UTF-8, without the space that encoding puts first."""
-        return b"".join(self.said[ids].tolist())[1:]
+    def decoded(self, ids: np.ndarray, ends: Iterable[int] | None = None) -> Iterator[bytes]:
+        """The decoded text, in UTF-8, of the ids up to each end, without the space that encoding puts first. ends: one text without them."""
+        said = self.said.take(pa.array(ids))
+        places, data = np.frombuffer(said.buffers()[1], dtype=np.int64), said.buffers()[2]
+        data, last = data.to_pybytes() if data else b"", 0
+        for end in places[[len(ids)] if ends is None else ends].tolist():
+            yield data[last + 1 : end]
+            last = end
 
     def batch(self, rows: list[tuple[object, str]]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each (key, text) its samples: ids, log-probability, perturbed log-probability, log of the inclusion probability."""
-        parts, cuts = [], [0]
-        for _, text in rows:
-            own = text.split(" ") if text else []
-            if "" in own:  # a part takes the spaces before it, but for one; those at the end are a part of their own
-                said, lead = [], ""
-                for part in own:
-                    if part:
-                        said.append(lead + part)
-                        lead = ""
-                    else:
-                        lead += SPACE
-                own = [*said, lead[1:]] if lead else said
-            parts += own
-            cuts.append(len(parts))
+        joined, chars, starts, cuts = _Parts.found([text for _, text in rows])
         seeds = [xxhash.xxh64_intdigest(repr(key), self.seed) for key, _ in rows]
-        if not parts:
+        if not len(starts):
             return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)] for _ in rows]
         before, lattice = self.lattices.used, self.lattices
-        which, new = self.parts.numbers(parts)
-        del parts
+        which = self.parts.known(chars, starts)
+        asked, stops = np.flatnonzero(which < 0), np.append(starts, len(chars))
+        joined = joined.replace(" ", SPACE)
+        named = [joined[a:b] for a, b in zip((starts[asked] + 1).tolist(), stops[asked + 1].tolist(), strict=True)]
+        which[asked], new = self.parts.numbers(named)
+        del joined, chars, named
         if new:
             said, stops = _Parts.cut(new)
             unit, units = self.index.numbers(said)
@@ -424,18 +502,19 @@ class Sampler:
         counts = np.diff(bounds)
         owner = np.repeat(np.array(seeds, dtype=np.uint64), counts)
         ordinal = np.arange(len(every)) - np.repeat(bounds[:-1], counts)
-        fresh = [self._fresh(lattice, every, owner, ordinal, j) for j in range(self.k)]
-        out = []
-        for d, seed in enumerate(seeds):
-            lo, hi = int(bounds[d]), int(bounds[d + 1])
+        fresh = [(edge, lattice.logp[edge], places) for edge, places in (self._fresh(lattice, every, owner, ordinal, j) for j in range(self.k))]
+        out, spans = [], list(pairwise(bounds.tolist()))
+        some = [d for d, (lo, hi) in enumerate(spans) if lo < hi]
+        roots = Path.roots(lattice, *fresh[0], [spans[d] for d in some], [seeds[d] for d in some])
+        for (lo, hi), seed in zip(spans, seeds, strict=True):
             if lo == hi:
                 out.append([(np.zeros(0, dtype=np.int32), 0.0, 0.0, 0.0)])
                 continue
             own = []
-            for edge, places in fresh:
+            for edge, logp, places in fresh[1:]:
                 a, b = int(places[lo]), int(places[hi])
-                own.append((edge[a:b], places[lo:hi] - a))
-            paths, after = search(lattice, own, self.k, seed)
+                own.append((edge[a:b], logp[a:b], places[lo:hi] - a))
+            paths, after = search(lattice, next(roots), own, self.k, seed)
             found = []
             for p in paths:
                 logp = p.total
@@ -486,7 +565,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tup
 def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.5, seed: int = 1, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 125_000, with_pieces: bool = False) -> DataFrame:
     """A row for each sample: doc_id, sample (0 first), n_pieces, logp, gumbel, log_inclusion, round_trip (the decoded ids are the text) and ids; with_pieces: the pieces' texts in addition."""
     kind = dict(docs.dtypes)[id_col]
-    names = ["doc_id", "sample", "n_pieces", "logp", "gumbel", "log_inclusion", "round_trip", "ids"]
+    names = ["doc_id", "sample", "n_pieces", "logp", "gumbel", "log_inclusion", "round_trip", "ids"]  # the columns of run() have the text in UTF-8 where round_trip will be
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model, k, alpha, seed)
@@ -495,14 +574,15 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 0.5, seed:
             for (key, text), found in zip(rows, sampler.batch(rows), strict=True):
                 data = utf8(text)
                 for i, (ids, logp, gumbel, inclusion) in enumerate(found):
-                    for c, v in zip(cols, (key, i, len(ids), logp, gumbel, inclusion, sampler.decoded(ids) == data, ids), strict=True):
+                    for c, v in zip(cols, (key, i, len(ids), logp, gumbel, inclusion, data, ids), strict=True):
                         c.append(v)
+            flat, ends = np.concatenate(cols[7]), np.cumsum(cols[2])
+            cols[6] = list(map(eq, cols[6], sampler.decoded(flat, ends)))
             kinds = [None, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]
             if arrays[0].type == pa.null():
                 arrays[0] = arrays[0].cast(pa.int64())
-            ends = pa.array(np.concatenate([[0], np.cumsum(cols[2])]).astype(np.int32))
-            flat = pa.array(np.concatenate(cols[7]))
+            ends, flat = pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)
             arrays.append(pa.ListArray.from_arrays(ends, flat))
             if with_pieces:
                 arrays.append(pa.ListArray.from_arrays(ends, sampler.texts().take(flat)))
